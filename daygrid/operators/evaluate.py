@@ -171,28 +171,35 @@ def _dense(groups: DataFrame, by: Sequence[str], values: list[float], name: str)
     return groups.select(*by, grid)
 
 
-def decision_curve(scores: DataFrame, by: Sequence[str], grid: list[float] | None = None) -> DataFrame:
-    """Net benefit of the model (score > t) and of treating all, per threshold.
+def cut_counts(scores: DataFrame, by: Sequence[str], cuts: list[float]) -> DataFrame:
+    """(keys, threshold, pos, neg, pos_above, neg_above): rows with score > threshold.
 
     Scores are counted by the number of thresholds below them: at most one row per
     threshold and key survives the map side, then a short reverse running sum.
     """
-    cuts = grid or thresholds()
     counted = _descending_bucket(scores.where(F.col("score").isNotNull()), F.col("score"), cuts, "_k")
-    tally = counted.groupBy(*by, "_k").agg(F.sum(_pos()).alias("pos"), F.sum(_neg()).alias("neg"))
-    totals = tally.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    tally = counted.groupBy(*by, "_k").agg(F.sum(_pos()).alias("_up"), F.sum(_neg()).alias("_un"))
+    totals = tally.groupBy(*by).agg(F.sum("_up").alias("pos"), F.sum("_un").alias("neg"))
     above = tally.where("_k > 0").withColumn("_j", F.col("_k") - 1).drop("_k")
     down = Window.partitionBy(*by).orderBy(F.desc("_j")).rowsBetween(Window.unboundedPreceding, 0)
     frame = _dense(totals.select(*by), by, cuts, "threshold").join(totals, list(by)).join(
         above, [*by, "_j"], "left"
     )
-    tp = F.sum(F.coalesce("pos", F.lit(0))).over(down)
-    fp = F.sum(F.coalesce("neg", F.lit(0))).over(down)
-    n, t = F.col("_p") + F.col("_n"), F.col("threshold")
-    odds = t / (1 - t)
     return frame.select(
-        *by, "threshold", (tp / n - fp / n * odds).alias("net_benefit"),
-        (F.col("_p") / n - F.col("_n") / n * odds).alias("treat_all"),
+        *by, "threshold", "pos", "neg",
+        F.sum(F.coalesce("_up", F.lit(0))).over(down).alias("pos_above"),
+        F.sum(F.coalesce("_un", F.lit(0))).over(down).alias("neg_above"),
+    )
+
+
+def decision_curve(scores: DataFrame, by: Sequence[str], grid: list[float] | None = None) -> DataFrame:
+    """Net benefit of the model (score > t) and of treating all, per threshold."""
+    n, t = F.col("pos") + F.col("neg"), F.col("threshold")
+    odds = t / (1 - t)
+    return cut_counts(scores, by, grid or thresholds()).select(
+        *by, "threshold",
+        (F.col("pos_above") / n - F.col("neg_above") / n * odds).alias("net_benefit"),
+        (F.col("pos") / n - F.col("neg") / n * odds).alias("treat_all"),
     )
 
 

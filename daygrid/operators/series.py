@@ -112,7 +112,7 @@ def window_features(
     min_points: int = 2,
     slope_default: float | None = None,
     peak_min_points: int = 1,
-    keys: Sequence[str] = KEYS,
+    partitioned: bool = False,
 ) -> DataFrame:
     """Per (entity, channel): count, mean, median, std, min, max, slope, auc,
     time_to_peak, last_value over the observed points of [lo, hi].
@@ -120,10 +120,12 @@ def window_features(
     ``ddof`` picks population (0) or sample (1) deviation; with 1, a single point
     gives null unless ``slope_default`` is set, which then fills both std and
     slope (the two-window flavour writes 0 there). One shuffle by entity serves
-    the lag window, the aggregate and a later pivot.
+    the lag window, the aggregate and a later pivot; ``partitioned`` says that the
+    caller has made it.
     """
-    points = _with_steps(observed(series, lo, hi).repartition(ENTITY))
-    return _aggregate(points, keys, ddof, min_points, slope_default, peak_min_points)
+    points = observed(series, lo, hi)
+    points = _with_steps(points if partitioned else points.repartition(ENTITY))
+    return _aggregate(points, KEYS, ddof, min_points, slope_default, peak_min_points)
 
 
 def _aggregate(points, keys, ddof, min_points, slope_default, peak_min_points) -> DataFrame:

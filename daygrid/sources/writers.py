@@ -25,12 +25,15 @@ def write_partitioned(
 ) -> None:
     """One folder per group for the static rows and for the series of their entities.
 
-    Series rows are hashed by (group, entity), so a large group is written by many
-    tasks. Groups outside ``known`` are left out here and counted by the integrity check.
+    Rows are hashed by group and entity (and day), so a large group or a heavy entity
+    is written by many tasks. Groups outside ``known`` are left out here and counted
+    by the integrity check.
     """
     kept = static.where(F.col(group).isin(list(known)))
-    for name, df in (("static", kept), ("series", partition_series(kept, series, group, entity))):
-        writer = df.repartition(group, entity).write.mode("overwrite").partitionBy(group)
+    placed = kept.repartition(group, entity)
+    days = partition_series(kept, series, group, entity).repartition(group, entity, "day")
+    for name, df in (("static", placed), ("series", days)):
+        writer = df.write.mode("overwrite").partitionBy(group)
         if fmt == "csv":
             writer = writer.option("header", True)
         writer.format(fmt).save(f"{path}/{name}")
