@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygrid.operators.running import running_row_sums, with_previous
+from daygrid.operators.running import BUCKET, running_row_sums, with_bucket, with_previous
 
 # Text that hints at program code.
 CODE_MARKERS = (
@@ -86,13 +86,13 @@ def with_rounds(
     A user turn opens a round and the reply directly after it shares it; any other
     reply opens a round of its own. (conv, turn) must be unique.
     """
-    prev = with_previous(turns, [conv], turn, {role: "_before"})
+    prev = with_previous(with_bucket(turns, turn), [conv], turn, {role: "_before"})
     user, answer = F.col(role) == "user", F.col(role) == reply
     paired = answer & F.coalesce(F.col("_before") == "user", F.lit(False))
     opens = (user | (answer & ~paired)).cast("int")
     flagged = prev.withColumns({"_opens": opens, "is_lone_reply": answer & ~paired})
     numbered = running_row_sums(flagged, [conv], turn, {"_opens": "_round"})
-    return numbered.withColumn("round", F.when(user | answer, F.col("_round"))).drop("_before", "_opens", "_round")
+    return numbered.withColumn("round", F.when(user | answer, F.col("_round"))).drop("_before", "_opens", "_round", BUCKET)
 
 
 def is_code_like(text: Column) -> Column:

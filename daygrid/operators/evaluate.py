@@ -62,16 +62,19 @@ def confusion(scores: DataFrame, by: Sequence[str], threshold: float = 0.5) -> D
 def roc_points(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """(keys, threshold, fpr, tpr) for every distinct score, and the origin with null threshold."""
     run = curve(scores, by)
-    points = run.select(
-        *by, F.col("score").alias("threshold"),
-        F.try_divide(F.col("cum_neg").cast("double"), "total_neg").alias("fpr"),
-        F.try_divide(F.col("cum_pos").cast("double"), "total_pos").alias("tpr"),
-    )
-    groups = scores.select(*by).distinct() if by else scores.sparkSession.range(1).select()
-    origin = groups.withColumns(
-        {"threshold": F.lit(None).cast("double"), "fpr": F.lit(0.0), "tpr": F.lit(0.0)}
+
+    def point(threshold: Column, fpr: Column, tpr: Column) -> Column:
+        return F.struct(threshold.alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"))
+
+    here = point(
+        F.col("score"),
+        F.try_divide(F.col("cum_neg").cast("double"), F.col("total_neg")),
+        F.try_divide(F.col("cum_pos").cast("double"), F.col("total_pos")),
     )
-    return points.unionByName(origin)
+    origin = point(F.lit(None).cast("double"), F.lit(0.0), F.lit(0.0))
+    # the highest score of a key carries the origin along: no second pass for the keys
+    highest = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
+    return run.select(*by, F.inline(F.when(highest, F.array(origin, here)).otherwise(F.array(here))))
 
 
 def _areas() -> dict[str, Column]:

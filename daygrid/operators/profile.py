@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daygrid.operators.columns import missing_by_column, q
 from daygrid.operators.running import exact_quantiles
+from daygrid.session import bounded, durable
 
 
 def melted(df: DataFrame, columns: Sequence[str], as_type: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -19,11 +20,10 @@ def melted(df: DataFrame, columns: Sequence[str], as_type: str, keep: Sequence[s
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(variable, value, n, pct): null is no value, but counts in the denominator."""
-    long = melted(df, columns, "string")
+    long = melted(df, columns, "string").where(F.col("value").isNotNull())
+    n_rows = df.agg(F.count(F.lit(1))).scalar()
     counts = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
-    # the counts are the only rows left; their sum per variable is the row count
-    total = F.sum("n").over(Window.partitionBy("variable"))
-    return counts.withColumn("pct", F.col("n") * 100.0 / total).where(F.col("value").isNotNull())
+    return counts.withColumn("pct", F.try_divide(F.col("n") * F.lit(100.0), n_rows))
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -156,20 +156,26 @@ def availability_matrix(long: DataFrame, lo: int, hi: int, value: str = "fractio
 def crosstab(df: DataFrame, variables: Sequence[str], group: str) -> DataFrame:
     """(variable, value, group, observed, expected) with empty cells kept.
 
-    Only the counted cells are widened, never the rows.
+    The counted cells are stored once, as every test on them reads them several
+    times; margins and the grid of cells then come from that small table. A
+    variable may have many values: they are spread by (variable, value), and only
+    the few group totals travel to them.
     """
     long = melted(df.where(F.col(q(group)).isNotNull()), variables, "string", keep=[group])
-    cells = long.where(F.col("value").isNotNull()).groupBy("variable", "value", group).agg(
-        F.count(F.lit(1)).alias("observed")
+    cells = durable(
+        long.where(F.col("value").isNotNull()).groupBy("variable", "value", group).agg(
+            F.count(F.lit(1)).alias("observed")
+        ), "cells",
     )
-    by_value = cells.groupBy("variable", "value").agg(F.sum("observed").alias("_row"))
     by_group = cells.groupBy("variable", group).agg(F.sum("observed").alias("_col"))
-    frame = by_value.join(by_group, "variable")
-    total = F.sum("observed").over(Window.partitionBy("variable"))
-    full = frame.join(cells, ["variable", "value", group], "left").withColumn(
-        "observed", F.coalesce("observed", F.lit(0))
+    total = by_group.groupBy("variable").agg(F.sum("_col").alias("_all"))
+    sides = bounded(by_group.join(total, "variable"))
+    by_value = cells.groupBy("variable", "value").agg(F.sum("observed").alias("_row"))
+    full = by_value.join(sides, "variable").join(cells, ["variable", "value", group], "left")
+    return full.select(
+        "variable", "value", group, F.coalesce("observed", F.lit(0)).alias("observed"),
+        (F.col("_row") * F.col("_col") / F.col("_all").cast("double")).alias("expected"),
     )
-    return full.withColumn("expected", F.col("_row") * F.col("_col") / total.cast("double")).drop("_row", "_col")
 
 
 def class_weight(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:

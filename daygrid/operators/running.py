@@ -167,16 +167,22 @@ def exact_quantiles(
     return grouped.select(*by, *outs)
 
 
+def with_bucket(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
+    """Add the bucket column once, for several windows over the same order."""
+    return numeric_bucket(df, order, numeric_cuts(df, order, buckets))
+
+
 def with_previous(
-    df: DataFrame, by: Sequence[str], order: str, previous: dict[str, str],
-    buckets: int | None = None,
+    df: DataFrame, by: Sequence[str], order: str, previous: dict[str, str]
 ) -> DataFrame:
     """Columns of the preceding row of the group, for groups of any size.
 
     (group, order) must be unique. ``previous`` maps a source column to the new
-    one. A bucket's first row looks at the last row of the bucket before it.
+    one. A bucket's first row looks at the last row of the bucket before it. A
+    bucket column already present is used and kept.
     """
-    bucketed = numeric_bucket(df, order, numeric_cuts(df, order, buckets))
+    given = BUCKET in df.columns
+    bucketed = df if given else with_bucket(df, order)
     row = F.struct(*previous)
     tails = bucketed.groupBy(*by, BUCKET).agg(F.max_by(row, F.col(order)).alias("_tail"))
     across = Window.partitionBy(*_group(by)).orderBy(BUCKET)
@@ -187,18 +193,19 @@ def with_previous(
     )
     for field, name in previous.items():
         joined = joined.withColumn(name, F.col(f"_prev.{field}"))
-    return joined.drop("_prev", "_carry", BUCKET)
+    return joined.drop("_prev", "_carry", *([] if given else [BUCKET]))
 
 
 def running_row_sums(
-    df: DataFrame, by: Sequence[str], order: str, flags: dict[str, str],
-    buckets: int | None = None,
+    df: DataFrame, by: Sequence[str], order: str, flags: dict[str, str]
 ) -> DataFrame:
     """Running sum of flag columns kept on every row; (group, order) must be unique.
 
-    ``flags`` maps a source column to the name of its running sum.
+    ``flags`` maps a source column to the name of its running sum. A bucket column
+    already present is used and kept.
     """
-    bucketed = numeric_bucket(df, order, numeric_cuts(df, order, buckets))
+    given = BUCKET in df.columns
+    bucketed = df if given else with_bucket(df, order)
     totals = bucketed.groupBy(*by, BUCKET).agg(*[F.sum(c).alias(f"_s_{c}") for c in flags])
     earlier = (
         Window.partitionBy(*_group(by)).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -214,4 +221,4 @@ def running_row_sums(
     joined = attach(bucketed, offsets, [*by, BUCKET])
     for c, name in flags.items():
         joined = joined.withColumn(name, F.sum(c).over(inside) + F.col(f"_before_{c}"))
-    return joined.drop(BUCKET, *[f"_before_{c}" for c in flags])
+    return joined.drop(*([] if given else [BUCKET]), *[f"_before_{c}" for c in flags])

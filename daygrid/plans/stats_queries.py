@@ -289,12 +289,25 @@ def part_name_codes(t):
     return coded.withColumnRenamed("o_orderpriority", "code")
 
 
-@query("prepared_features", "M7")
+@query("prepared_features", "M7", """
+, tr AS (SELECT * FROM sides WHERE split = 'train'),
+md AS (SELECT median(acctbal) AS a, median(age) AS g FROM tr),
+mode AS (SELECT CAST(crs AS VARCHAR) AS v FROM tr WHERE crs IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+sc AS (SELECT avg(coalesce(acctbal, a)) AS ma, stddev_pop(coalesce(acctbal, a)) AS sa,
+              avg(coalesce(CAST(age AS DOUBLE), g)) AS mg, stddev_pop(coalesce(CAST(age AS DOUBLE), g)) AS sg FROM tr, md)
+SELECT entity_id, split, (coalesce(acctbal, a) - ma) / sa AS acctbal, (coalesce(CAST(age AS DOUBLE), g) - mg) / sg AS age,
+       CASE segment WHEN 'AUTOMOBILE' THEN 1 ELSE 0 END AS automobile, CASE segment WHEN 'MACHINERY' THEN 1 ELSE 0 END AS machinery,
+       CASE WHEN coalesce(CAST(crs AS VARCHAR), v) = '0' THEN 1 ELSE 0 END AS crs_0, CASE WHEN coalesce(CAST(crs AS VARCHAR), v) = '5' THEN 1 ELSE 0 END AS crs_5
+FROM sides, md, mode, sc""", SPLIT, "acctbal age")
 def prepared_features(t):
     rows = sides(t)
     ready = prep.Preprocessor(["acctbal", "age"], ["segment", "crs"]).fit(rows.where("split = 'train'"))
-    out = ready.transform(rows)
-    return out.select("entity_id", "split", vector_to_array("features").alias("features"))
+    v = vector_to_array("features")
+    # two numbers, five segments and six grades, in order
+    named = {"acctbal": v[0], "age": v[1]} | {
+        n: v[i].cast("int") for n, i in (("automobile", 2), ("machinery", 6), ("crs_0", 7), ("crs_5", 12))
+    }
+    return ready.transform(rows).select("entity_id", "split", *[c.alias(n) for n, c in named.items()])
 
 
 @query("smote_counts", "M8", """

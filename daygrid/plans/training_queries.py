@@ -6,7 +6,8 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from daygrid.operators import evaluate, prep, training
-from daygrid.plans.bindings import STATIC
+from daygrid.plans.bindings import SERIES, STATIC
+from daygrid.plans.model_table import model_table
 from daygrid.plans.registry import query
 from daygrid.session import durable
 
@@ -88,3 +89,21 @@ def linear_contributions(t):
 def l1_path(t):
     table, _ = training.l1_path(model_rows(t), [0.001, 0.01, 0.05, 0.1])
     return table
+
+
+@query("model_table", "J1 J7a P5 P9 F7 W5 W6", """
+, base AS (SELECT * FROM static WHERE age IS NOT NULL AND crs IS NOT NULL),
+lab AS (SELECT entity_id, segment, CASE WHEN crs > 2 THEN 1 ELSE 0 END AS crs FROM base),
+last AS (SELECT entity_id, max(v) AS baseline_click FROM (
+  SELECT entity_id, last_value(value IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY day
+    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v
+  FROM series WHERE day BETWEEN -15 AND 0 AND channel = 'click') AS x GROUP BY 1),
+sp AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY crs ORDER BY md5(concat('42-', entity_id)))
+                        <= round(count(*) OVER (PARTITION BY crs) * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM lab),
+f AS (SELECT entity_id, CAST(ntile(5) OVER (PARTITION BY crs ORDER BY md5(concat('42-', entity_id))) AS INTEGER) AS fold FROM sp WHERE split = 'train')
+SELECT sp.entity_id, segment, crs, baseline_click, split, fold
+FROM sp LEFT JOIN f ON f.entity_id = sp.entity_id LEFT JOIN last ON last.entity_id = sp.entity_id""",
+       SERIES + "," + STATIC, "baseline_click")
+def model_table_query(t):
+    out = model_table(t.static, t.series, t.channels, "crs", ["age"], max_missing_pct=None)
+    return out.select("entity_id", "segment", "crs", "baseline_click", "split", "fold")
