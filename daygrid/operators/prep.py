@@ -17,7 +17,7 @@ from daygrid.operators.profile import melted
 from daygrid.operators.running import (
     BUCKET, dense_numbers, exact_quantiles, numeric_bucket, numeric_cuts,
 )
-from daygrid.operators.splits import _cuts_at, shuffle_key
+from daygrid.operators.splits import hashes_at, members_of, shuffle_key
 from daygrid.session import bounded
 
 
@@ -244,9 +244,8 @@ def smote(
     each, extra = divmod(new, have)
     times = F.lit(each)
     if extra:
-        members = minority.select(F.lit("all").alias("stratum"), shuffle_key("id", seed).alias("hash"))
-        rank = df.sparkSession.range(1).select(F.lit("all").alias("stratum"), F.lit(1).alias("cut"), F.lit(extra).alias("rank"))
-        limit = _cuts_at(members, rank).first()["hash"]
+        rank = df.sparkSession.range(1).select(F.lit("all").alias("stratum"), F.lit(extra).alias("rank"))
+        limit = hashes_at(members_of(minority, "id", None, seed), rank).first()["hash"]
         times = times + (shuffle_key("id", seed) <= limit).cast("int")
     copies = near.withColumn("_s", F.explode(F.sequence(F.lit(1), times))) if each else near.where(times > 0).withColumn("_s", F.lit(1))
 

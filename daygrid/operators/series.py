@@ -98,10 +98,16 @@ def last_row_before(wide: DataFrame, cutoff: int = 0) -> DataFrame:
     )
 
 
-def _with_steps(points: DataFrame) -> DataFrame:
-    order = Window.partitionBy(*KEYS).orderBy(DAY)
-    area = (F.col(VALUE) + F.lag(VALUE).over(order)) / 2 * (F.col(DAY) - F.lag(DAY).over(order))
-    return points.withColumn("_step", area)
+def with_steps(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Trapezoid from the previous observed point to each observed one; rows without
+    a value stay and have no trapezoid."""
+    before = (
+        Window.partitionBy(*keys).orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    day = F.when(F.col(VALUE).isNotNull(), F.col(DAY))
+    width = F.col(DAY) - F.last(day, ignorenulls=True).over(before)
+    area = (F.col(VALUE) + F.last(VALUE, ignorenulls=True).over(before)) / 2 * width
+    return rows.withColumn("_step", area)
 
 
 def window_features(
@@ -112,31 +118,35 @@ def window_features(
     min_points: int = 2,
     slope_default: float | None = None,
     peak_min_points: int = 1,
-    partitioned: bool = False,
 ) -> DataFrame:
     """Per (entity, channel): count, mean, median, std, min, max, slope, auc,
     time_to_peak, last_value over the observed points of [lo, hi].
 
-    ``ddof`` picks population (0) or sample (1) deviation; with 1, a single point
-    gives null unless ``slope_default`` is set, which then fills both std and
-    slope (the two-window flavour writes 0 there). One shuffle by entity serves
-    the lag window, the aggregate and a later pivot; ``partitioned`` says that the
-    caller has made it.
+    A channel that has rows but no value counts 0 and is null otherwise. ``ddof``
+    picks population (0) or sample (1) deviation; with 1, a single point gives null
+    unless ``slope_default`` is set, which then fills both std and slope (the
+    two-window flavour writes 0 there). One shuffle by entity serves the window,
+    the aggregate and a later pivot.
     """
-    points = observed(series, lo, hi)
-    points = _with_steps(points if partitioned else points.repartition(ENTITY))
-    return _aggregate(points, KEYS, ddof, min_points, slope_default, peak_min_points)
+    points = with_steps(in_window(series, lo, hi).repartition(ENTITY))
+    return aggregate_points(points, KEYS, ddof, min_points, slope_default, peak_min_points)
 
 
-def _aggregate(points, keys, ddof, min_points, slope_default, peak_min_points) -> DataFrame:
+def aggregate_points(
+    points: DataFrame, keys: Sequence[str] = KEYS, ddof: int = 0, min_points: int = 2,
+    slope_default: float | None = None, peak_min_points: int = 1,
+) -> DataFrame:
+    """One row per key with every statistic of ``STATS`` over its points."""
     n = F.count(VALUE)
+    seen_day = F.when(F.col(VALUE).isNotNull(), F.col(DAY))
     std = F.stddev_pop(VALUE) if ddof == 0 else F.stddev_samp(VALUE)
     slope = F.regr_slope(F.col(VALUE), F.col(DAY).cast("double"))
     if slope_default is not None:
-        std, slope = F.coalesce(std, F.lit(slope_default)), F.coalesce(slope, F.lit(slope_default))
+        fill = F.when(n > 0, F.lit(slope_default))
+        std, slope = F.coalesce(std, fill), F.coalesce(slope, fill)
     elif min_points > 2:
         slope = F.when(n >= min_points, slope)
-    peak = F.max_by(DAY, F.struct(F.col(VALUE), -F.col(DAY)))
+    peak = F.max_by(DAY, F.when(F.col(VALUE).isNotNull(), F.struct(F.col(VALUE), -F.col(DAY))))
     return points.groupBy(*keys).agg(
         n.alias("count"),
         F.avg(VALUE).alias("mean"),
@@ -147,7 +157,7 @@ def _aggregate(points, keys, ddof, min_points, slope_default, peak_min_points) -
         slope.alias("slope"),
         F.sum("_step").alias("auc"),
         F.when(n >= peak_min_points, peak).alias("time_to_peak"),
-        F.max_by(VALUE, DAY).alias("last_value"),
+        F.max_by(VALUE, seen_day).alias("last_value"),
     )
 
 
@@ -183,17 +193,24 @@ def carried_auc(series: DataFrame, lo: int, hi: int) -> DataFrame:
     return pairs.join(found, KEYS, "left").withColumn("auc", F.coalesce("auc", F.lit(0.0)))
 
 
+def day_mask(lo: int, hi: int) -> Column:
+    """Bit set of the observed days of the window (at most 62 days)."""
+    if hi - lo > 61:
+        raise ValueError("a day mask holds at most 62 days")
+    bit = F.expr(f"shiftleft(1L, cast({DAY} - ({lo}) as int))")
+    return F.coalesce(F.bit_or(F.when(F.col(VALUE).isNotNull(), bit)), F.lit(0))
+
+
 def intensity(series: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Per entity: non-missing cells and days with any measurement in the window."""
-    # distinct days are at most hi - lo + 1 bits of a mask
-    width = hi - lo + 1
+    """Per entity: non-missing cells and days with any measurement in the window.
+
+    Distinct days are bits of a mask, so one partial aggregate does it.
+    """
     inside = in_window(series, lo, hi)
-    seen = F.col(VALUE).isNotNull()
-    if width <= 62:
-        bit = F.when(seen, F.expr(f"shiftleft(1L, cast({DAY} - ({lo}) as int))"))
-        days = F.bit_count(F.coalesce(F.bit_or(bit), F.lit(0)))
+    if hi - lo <= 61:
+        days = F.bit_count(day_mask(lo, hi))
     else:
-        days = F.count_distinct(F.when(seen, F.col(DAY)))
+        days = F.count_distinct(F.when(F.col(VALUE).isNotNull(), F.col(DAY)))
     return inside.groupBy(ENTITY).agg(
         F.count(VALUE).alias("total_nonmiss"), days.cast("long").alias("days_with_any")
     )
@@ -213,22 +230,23 @@ def multi_window_features(
         observed(series, lo, hi).withColumn("window", name).where(F.col("window").isNotNull())
         .repartition(ENTITY)
     )
-    order = Window.partitionBy(*KEYS, "window").orderBy(DAY)
-    area = (F.col(VALUE) + F.lag(VALUE).over(order)) / 2 * (F.col(DAY) - F.lag(DAY).over(order))
-    points = tagged.withColumn("_step", area)
+    points = with_steps(tagged, [*KEYS, "window"])
     settings = {"ddof": 1, "min_points": 2, "slope_default": 0.0, "peak_min_points": 1, **options}
-    return _aggregate(points, [*KEYS, "window"], **settings)
+    return aggregate_points(points, [*KEYS, "window"], **settings)
 
 
 def pivot_features(
     features: DataFrame, channels: Sequence[str], stats: Sequence[str], window: str | None = None,
-    windows: Sequence[str] = (),
+    windows: Sequence[str] = (), keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per entity, columns ``<channel>[_<window>]_<stat>``, in one pivot."""
+    """One row per entity, columns ``<channel>[_<window>]_<stat>``, in one pivot.
+
+    ``keep`` names columns that are constant per entity.
+    """
     key = F.col(CHANNEL) if window is None else F.concat_ws("_", CHANNEL, window)
     values = list(channels) if window is None else [f"{c}_{w}" for c in channels for w in windows]
     aggs = [F.first(s).alias(s) for s in stats]
-    wide = features.withColumn("_key", key).groupBy(ENTITY).pivot("_key", values).agg(*aggs)
+    wide = features.withColumn("_key", key).groupBy(ENTITY, *keep).pivot("_key", values).agg(*aggs)
     if len(stats) == 1:
         wide = wide.withColumnsRenamed({v: f"{v}_{stats[0]}" for v in values})
     return wide

@@ -23,10 +23,19 @@ def shuffle_key(entity: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(entity).cast("string")))
 
 
-def _cuts_at(members: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(stratum, cut, hash): hash of the member at each wanted rank of its stratum.
+def _stratum(label: str | None) -> Column:
+    return F.coalesce(F.col(label).cast("string"), F.lit("")) if label else F.lit("all")
 
-    ``members`` holds (stratum, hash); ``ranks`` holds (stratum, cut, rank).
+
+def members_of(entities: DataFrame, entity: str, label: str | None, seed: int) -> DataFrame:
+    return entities.select(_stratum(label).alias("stratum"), shuffle_key(entity, seed).alias("hash"))
+
+
+def hashes_at(members: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The hash of the member at each wanted rank of its stratum.
+
+    ``members`` holds (stratum, hash); ``ranks`` holds (stratum, rank) and whatever
+    names the cut.
     """
     prefix = F.substring("hash", 1, PREFIX)
     counts = members.groupBy("stratum", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
@@ -37,29 +46,14 @@ def _cuts_at(members: DataFrame, ranks: DataFrame) -> DataFrame:
     holding = bounded(
         placed.join(ranks, "stratum").where(
             (F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n"))
-        ).select("stratum", "prefix", "cut", (F.col("rank") - F.col("before")).alias("place"))
+        ).withColumn("place", F.col("rank") - F.col("before")).drop("n", "before", "rank")
     )
     near = members.withColumn("prefix", prefix).join(
         holding.select("stratum", "prefix").distinct(), ["stratum", "prefix"], "left_semi"
     )
     inside = Window.partitionBy("stratum", "prefix").orderBy("hash")
     ranked = near.withColumn("place", F.row_number().over(inside))
-    return ranked.join(holding, ["stratum", "prefix", "place"]).select("stratum", "cut", "hash")
-
-
-def _members(entities: DataFrame, entity: str, label: str | None, seed: int) -> DataFrame:
-    stratum = F.coalesce(F.col(label).cast("string"), F.lit("")) if label else F.lit("all")
-    return entities.select(stratum.alias("stratum"), shuffle_key(entity, seed).alias("hash"))
-
-
-def _with_thresholds(entities, entity, label, seed, cuts) -> DataFrame:
-    arrays = bounded(
-        cuts.groupBy("stratum").agg(F.sort_array(F.collect_list("hash")).alias("_cuts"))
-    )
-    stratum = F.coalesce(F.col(label).cast("string"), F.lit("")) if label else F.lit("all")
-    tagged = entities.withColumns({"_stratum": stratum, "_hash": shuffle_key(entity, seed)})
-    side = arrays.withColumnRenamed("stratum", "_stratum")
-    return tagged.join(side, "_stratum", "left")
+    return ranked.join(holding, ["stratum", "prefix", "place"]).drop("prefix", "place")
 
 
 def shuffled(entities: DataFrame, entity: str, seed: int = 42) -> DataFrame:
@@ -67,41 +61,62 @@ def shuffled(entities: DataFrame, entity: str, seed: int = 42) -> DataFrame:
     return entities.withColumn("shuffle_key", shuffle_key(entity, seed))
 
 
-def stratified_split(
-    entities: DataFrame, entity: str, label: str | None, test_share: float = 0.2, seed: int = 42
+def assign(
+    entities: DataFrame, entity: str, label: str | None = None, test_share: float | None = None,
+    k: int | None = None, seed: int = 42,
 ) -> DataFrame:
-    """Adds ``split``: the first round(n · share) members of each label are test.
+    """Adds ``split`` (when a test share is given) and ``fold`` 1…k (when k is given).
 
-    ``entities`` holds one row per entity.
+    The first round(n · share) members of each label are test. Folds cut each label's
+    members into k near-equal runs, longer ones first. ``entities`` holds one row per
+    entity; null labels form a stratum of their own.
     """
-    members = _members(entities, entity, label, seed)
-    wanted = F.round(F.count(F.lit(1)) * F.lit(test_share)).cast("long")
-    ranks = members.groupBy("stratum").agg(wanted.alias("rank")).withColumn("cut", F.lit(1))
-    cuts = _cuts_at(members, ranks.where("rank > 0"))
-    joined = _with_thresholds(entities, entity, label, seed, cuts)
-    is_test = F.coalesce(F.col("_hash") <= F.col("_cuts")[0], F.lit(False))
-    split = F.when(is_test, "test").otherwise("train")
-    return joined.withColumn("split", split).drop("_stratum", "_hash", "_cuts")
+    members = members_of(entities, entity, label, seed)
+    n = F.col("n")
+    wanted = []
+    if test_share is not None:
+        share = F.round(n * F.lit(test_share)).cast("long")
+        wanted.append(F.struct(F.lit("split").alias("kind"), share.alias("rank")))
+    for i in range(1, k or 0):
+        # runs of an uneven division: the first n % k are one longer
+        upto = F.floor(n / k) * i + F.least(F.lit(i).cast("long"), n % k)
+        wanted.append(F.struct(F.lit("fold").alias("kind"), upto.cast("long").alias("rank")))
+    if not wanted:
+        return entities.withColumn("fold", F.lit(1)) if k else entities
+    sizes = members.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    ranks = sizes.select("stratum", F.inline(F.array(*wanted))).where("rank > 0")
+
+    def cuts(kind: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("hash"))))
+
+    # a few hashes per stratum; ranks repeated by empty runs repeat their hash
+    limits = bounded(
+        hashes_at(members, ranks).groupBy("stratum").agg(cuts("split").alias("_split"), cuts("fold").alias("_fold"))
+    ).withColumnRenamed("stratum", "_stratum")
+    tagged = entities.withColumns({"_stratum": _stratum(label), "_hash": shuffle_key(entity, seed)})
+    out = tagged.join(limits, "_stratum", "left")
+    own = F.col("_hash")
+    if test_share is not None:
+        is_test = F.coalesce(own <= F.try_element_at("_split", F.lit(1)), F.lit(False))
+        out = out.withColumn("split", F.when(is_test, "test").otherwise("train"))
+    if k:
+        below = F.size(F.filter(F.coalesce("_fold", F.array().cast("array<string>")), lambda c: c < own))
+        out = out.withColumn("fold", (below + 1).cast("int"))
+    return out.drop("_stratum", "_hash", "_split", "_fold")
+
+
+def stratified_split(
+    entities: DataFrame, entity: str, label: str | None, test_share: float = 0.2, seed: int = 42
+) -> DataFrame:
+    """Adds ``split``: each label keeps its share in test and in train."""
+    return assign(entities, entity, label, test_share=test_share, seed=seed)
 
 
 def stratified_folds(
     entities: DataFrame, entity: str, label: str | None, k: int = 5, seed: int = 42
 ) -> DataFrame:
-    """Adds ``fold`` 1…k: each label's members are cut into k near-equal runs, longer
-    ones first. ``entities`` holds one row per entity."""
-    members = _members(entities, entity, label, seed)
-    sizes = members.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
-    cut = F.explode(F.sequence(F.lit(1), F.lit(k - 1))) if k > 1 else F.explode(F.array().cast("array<int>"))
-    base, extra = F.floor(F.col("_n") / k), F.col("_n") % k
-    ranks = sizes.withColumn("cut", cut).select(
-        "stratum", "cut", (F.col("cut") * base + F.least(F.col("cut").cast("long"), extra)).alias("rank")
-    )
-    # a rank repeated by empty runs (fewer members than folds) gives the same hash again
-    cuts = _cuts_at(members, ranks.where("rank > 0"))
-    joined = _with_thresholds(entities, entity, label, seed, cuts)
-    hash_ = F.col("_hash")
-    passed = F.size(F.filter(F.coalesce(F.col("_cuts"), F.array().cast("array<string>")), lambda c: c < hash_))
-    return joined.withColumn("fold", (passed + 1).cast("int")).drop("_stratum", "_hash", "_cuts")
+    """Adds ``fold`` 1…k with each label spread evenly."""
+    return assign(entities, entity, label, k=k, seed=seed)
 
 
 def group_folds(rows: DataFrame, entity: str, k: int = 5, seed: int = 42) -> DataFrame:

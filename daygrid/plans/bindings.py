@@ -115,8 +115,7 @@ class Tables:
 
     @cached_property
     def folds(self) -> DataFrame:
-        folded = splits.stratified_folds(self.members, "id", "y", 5, 42)
-        return splits.stratified_split(folded, "id", "y", 0.3, 42)
+        return splits.assign(self.members, "id", "y", test_share=0.3, k=5, seed=42)
 
     @cached_property
     def scores(self) -> DataFrame:

@@ -4,24 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from daygrid.operators import series as S
 from daygrid.operators.columns import prefix_columns
 
 
-def feature_table(
-    static: DataFrame, series: DataFrame, channels: Sequence[str],
-    stats: Sequence[str] = S.STATS, lo: int = -15, hi: int = 2, entity: str = "entity_id",
+def series_features(
+    series: DataFrame, channels: Sequence[str], stats: Sequence[str] = S.STATS, lo: int = -15, hi: int = 2,
 ) -> DataFrame:
-    """Nothing of the static side is lost; entities without series get nulls.
+    """Wide window features and measurement intensity per entity.
 
-    The series is shuffled once by entity: points, features, pivot and intensity
-    all share that partitioning, and so does the final join.
+    The series is shuffled once, by entity: the trapezoids, the per-channel
+    aggregate, the intensity and the pivot all work within that partitioning.
     """
-    placed = S.in_window(series, lo, hi).repartition(entity)
-    features = S.window_features(placed, lo, hi, partitioned=True)
-    wide = S.pivot_features(features, channels, stats)
-    meter = S.intensity(placed, lo, hi)
+    rows = S.in_window(series, lo, hi).repartition(S.ENTITY)
+    per_entity = Window.partitionBy(S.ENTITY)
+    day = F.when(F.col(S.VALUE).isNotNull(), F.expr(f"shiftleft(1L, cast(day - ({lo}) as int))"))
+    metered = rows.withColumns(
+        {
+            "total_nonmiss": F.count(S.VALUE).over(per_entity),
+            "days_with_any": F.bit_count(F.coalesce(F.bit_or(day).over(per_entity), F.lit(0))).cast("long"),
+        }
+    )
+    keep = ["total_nonmiss", "days_with_any"]
+    points = S.with_steps(metered)
+    features = S.aggregate_points(points, [*S.KEYS, *keep])
+    return S.pivot_features(features, channels, stats, keep=keep)
+
+
+def feature_table(
+    static: DataFrame, series: DataFrame, channels: Sequence[str],
+    stats: Sequence[str] = S.STATS, lo: int = -15, hi: int = 2, entity: str = S.ENTITY,
+) -> DataFrame:
+    """Nothing of the static side is lost; entities without series get nulls."""
     named = prefix_columns(static, "s_", keep=[entity])
-    return named.join(wide, entity, "left").join(meter, entity, "left")
+    return named.join(series_features(series, channels, stats, lo, hi), entity, "left")

@@ -16,12 +16,15 @@ WINDOW = """
 , w AS (SELECT * FROM series WHERE day BETWEEN -15 AND 2 AND value IS NOT NULL),
 steps AS (SELECT *, (value + lag(value) OVER o) / 2 * (day - lag(day) OVER o) AS step
           FROM w WINDOW o AS (PARTITION BY entity_id, channel ORDER BY day)),
-feats AS (
+points AS (
   SELECT entity_id, channel, count(*) AS count, avg(value) AS mean, median(value) AS median,
          stddev_pop(value) AS std, min(value) AS min, max(value) AS max,
          CASE WHEN count(*) >= 2 THEN regr_slope(value, day) END AS slope,
          sum(step) AS auc, arg_max(day, (value, -day)) AS time_to_peak, arg_max(value, day) AS last_value
-  FROM steps GROUP BY 1, 2)"""
+  FROM steps GROUP BY 1, 2),
+feats AS (SELECT p.entity_id, p.channel, coalesce(count, 0) AS count, mean, median, std, min, max, slope, auc, time_to_peak, last_value
+          FROM (SELECT DISTINCT entity_id, channel FROM series WHERE day BETWEEN -15 AND 2) AS p
+          LEFT JOIN points USING (entity_id, channel))"""
 
 
 @query("daily_series", "S3", "SELECT * FROM series", SERIES, "value")
@@ -41,9 +44,10 @@ def window_features(t):
 
 
 @query("window_features_sample_deviation", "A12 A16", WINDOW + """
-SELECT entity_id, channel, count(*) AS count, stddev_samp(value) AS std,
-       CASE WHEN count(*) >= 2 THEN arg_max(day, (value, -day)) END AS time_to_peak
-FROM w GROUP BY 1, 2""", SERIES, "std")
+SELECT p.entity_id, p.channel, count(w.value) AS count, stddev_samp(w.value) AS std,
+       CASE WHEN count(w.value) >= 2 THEN arg_max(w.day, (w.value, -w.day)) FILTER (WHERE w.value IS NOT NULL) END AS time_to_peak
+FROM (SELECT DISTINCT entity_id, channel FROM series WHERE day BETWEEN -15 AND 2) AS p
+LEFT JOIN w ON w.entity_id = p.entity_id AND w.channel = p.channel GROUP BY 1, 2""", SERIES, "std")
 def window_features_sample_deviation(t):
     f = S.window_features(t.series, -15, 2, ddof=1, peak_min_points=2)
     return f.select("entity_id", "channel", "count", "std", "time_to_peak")
