@@ -92,7 +92,8 @@ def with_rounds(
     opens = (user | (answer & ~paired)).cast("int")
     flagged = prev.withColumns({"_opens": opens, "is_lone_reply": answer & ~paired})
     numbered = running_row_sums(flagged, [conv], turn, {"_opens": "_round"})
-    return numbered.withColumn("round", F.when(user | answer, F.col("_round"))).drop("_before", "_opens", "_round", BUCKET)
+    placed = numbered.withColumn("round", F.when(user | answer, F.col("_round")))
+    return placed.drop("_before", "_opens", "_round", BUCKET)
 
 
 def is_code_like(text: Column) -> Column:

@@ -38,7 +38,9 @@ def learn_modes(train: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     counts = melted(train, columns, "string").where(F.col("value").isNotNull()).groupBy(
         "variable", "value"
     ).agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("variable").agg(F.max("n").alias("_top"), F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"))
+    best = counts.groupBy("variable").agg(
+        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode")
+    )
     return {r["variable"]: r["mode"] for r in best.collect()}
 
 
@@ -247,7 +249,8 @@ def smote(
         rank = df.sparkSession.range(1).select(F.lit("all").alias("stratum"), F.lit(extra).alias("rank"))
         limit = hashes_at(members_of(minority, "id", None, seed), rank).first()["hash"]
         times = times + (shuffle_key("id", seed) <= limit).cast("int")
-    copies = near.withColumn("_s", F.explode(F.sequence(F.lit(1), times))) if each else near.where(times > 0).withColumn("_s", F.lit(1))
+    serving = near.withColumn("_times", times).where("_times > 0")
+    copies = serving.withColumn("_s", F.explode(F.sequence(F.lit(1), F.col("_times"))))
 
     def uniform(tag: str) -> Column:
         return F.pmod(F.xxhash64(F.lit(f"{tag}{seed}"), "id", "_s"), F.lit(2**31)) / float(2**31)

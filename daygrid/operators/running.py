@@ -96,16 +96,19 @@ def running_sums(
     descending: bool = False,
     text: bool = False,
     buckets: int | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """One row per distinct (group, key) with each sum ``x``, ``cum_x`` up to and
-    including the key and ``total_x`` over the group.
+    including the key and ``total_x`` over the group. With ``once``, repeated rows
+    of a key count a single time (the sums must not differ between them).
 
     Ties collapse to one row before anything is ordered, so a single heavy key
     costs nothing beyond the partial aggregate.
     """
     names = list(sums)
     source = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, order]]))
-    keys = source.groupBy(*by, order).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    combine = F.max if once else F.sum
+    keys = source.groupBy(*by, order).agg(*[combine(e).alias(n) for n, e in sums.items()])
     if text:
         bucketed = text_bucket(keys, order, text_cuts(source, order, buckets))
     else:
@@ -142,7 +145,7 @@ def average_ranks(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
 def dense_numbers(df: DataFrame, key: str, name: str = "number", by: Sequence[str] = (),
                   text: bool = False) -> DataFrame:
     """1…n over the sorted distinct keys (of each group)."""
-    run = running_sums(df.select(*by, key).distinct(), by, key, {"n": F.lit(1)}, text=text)
+    run = running_sums(df, by, key, {"n": F.lit(1).cast("long")}, text=text, once=True)
     return run.select(*by, key, F.col("cum_n").alias(name))
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daygrid.session import bounded
+from daygrid.session import bounded, durable
 
 PREFIX = 4  # hex digits: 65,536 evenly filled buckets
 
@@ -120,15 +120,18 @@ def stratified_folds(
 
 
 def group_folds(rows: DataFrame, entity: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Folds by entity alone, ``(entity, fold)``."""
-    return stratified_folds(rows.select(entity).distinct(), entity, None, k, seed)
+    """Folds by entity alone, ``(entity, fold)``.
+
+    The entities are stored once: thresholds and assignment each read them.
+    """
+    return stratified_folds(durable(rows.select(entity).distinct(), "entities"), entity, None, k, seed)
 
 
 def folds_for_rows(rows: DataFrame, entity: str, label: str, order: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Stratified entity folds carried to all rows of each entity."""
     from daygrid.operators.cohort import first_label
 
-    entities = first_label(rows, entity, label, order)
+    entities = durable(first_label(rows, entity, label, order), "entities")
     folds = stratified_folds(entities, entity, label, k, seed).select(entity, "fold")
     return rows.join(folds, entity)
 

@@ -17,7 +17,8 @@ from daygrid.functions.pvalues import chi2_p, fisher_p, normal_p, t_p
 from daygrid.functions.recode import count_pct_text, mean_sd_text, median_iqr_text
 from daygrid.operators.columns import q
 from daygrid.operators.profile import crosstab, melted
-from daygrid.operators.running import exact_quantiles, running_sums
+from daygrid.operators.running import average_ranks, exact_quantiles, running_sums
+from daygrid.session import durable
 
 
 def normality(df: DataFrame, variables: Sequence[str], alpha: float = 0.05) -> DataFrame:
@@ -82,16 +83,12 @@ def mann_whitney(df: DataFrame, variables: Sequence[str], group: str, levels: Se
     return out.withColumn("p_value", F.least(F.lit(1.0), F.when(F.col("z") > 0, normal_p("z")).otherwise(1.0)))
 
 
-def _cells(df: DataFrame, variables: Sequence[str], group: str) -> DataFrame:
-    return crosstab(df, variables, group)
-
-
 def chi_square(
     df: DataFrame, variables: Sequence[str], group: str, yates: bool = True,
     cells: DataFrame | None = None,
 ) -> DataFrame:
     """Pearson chi-square; 2×2 tables get Yates' correction unless switched off."""
-    found = _cells(df, variables, group) if cells is None else cells
+    found = crosstab(df, variables, group) if cells is None else cells
     shape = found.groupBy("variable").agg(
         F.count(F.lit(1)).alias("_cells"), F.count_distinct("value").alias("_rows")
     )
@@ -118,14 +115,26 @@ def cochran_rule(cells: DataFrame) -> DataFrame:
 
 
 def fisher_exact(cells: DataFrame) -> DataFrame:
-    """Fisher's exact test of the 2×2 tables among the cells, with the odds ratio."""
+    """Fisher's exact test of the 2×2 tables among the cells, with the odds ratio.
+
+    The ends of a variable's values and groups pick the four cells, so variables
+    with many values are never gathered.
+    """
     group = [c for c in cells.columns if c not in ("variable", "value", "observed", "expected")][0]
-    names = cells.select("variable", "value", F.col(group).cast("string").alias("_g"), "observed")
-    table = names.groupBy("variable").agg(
-        F.sort_array(F.collect_list(F.struct("value", "_g", "observed"))).alias("t"),
-        F.count_distinct("value").alias("r"), F.count_distinct("_g").alias("c"),
-    ).where("r = 2 and c = 2")
-    four = table.select("variable", *[F.col("t")[i]["observed"].alias(n) for i, n in enumerate("abcd")])
+    named = cells.select("variable", "value", F.col(group).cast("string").alias("g"), "observed")
+    ends = named.groupBy("variable").agg(
+        F.min("value").alias("_v1"), F.max("value").alias("_v2"), F.min("g").alias("_g1"),
+        F.max("g").alias("_g2"), F.count(F.lit(1)).alias("_n"),
+    ).where("_n = 4 and _v1 <> _v2 and _g1 <> _g2")
+
+    def cell(value: str, side: str) -> Column:
+        here = (F.col("value") == F.col(value)) & (F.col("g") == F.col(side))
+        return F.sum(F.when(here, F.col("observed")).otherwise(0))
+
+    four = named.join(ends, "variable").groupBy("variable").agg(
+        cell("_v1", "_g1").alias("a"), cell("_v1", "_g2").alias("b"),
+        cell("_v2", "_g1").alias("c"), cell("_v2", "_g2").alias("d"),
+    )
     odds = F.try_divide((F.col("a") * F.col("d")).cast("double"), F.col("b") * F.col("c"))
     return four.select(
         "variable", F.lit("fisher").alias("test"), odds.alias("statistic"),
@@ -238,22 +247,43 @@ def adjust_p(tests: DataFrame, p: str = "p_value") -> DataFrame:
     ).drop("_m", "_r")
 
 
+def rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns replaced by their tie-averaged ranks.
+
+    All columns are ranked in one pass over their distinct values; each then looks
+    its ranks up. A value shared by many rows is one row of the lookup, and on the
+    data side adaptive execution splits it.
+    """
+    ranks = durable(
+        average_ranks(melted(df, columns, "double"), ["variable"], "value").select("variable", "value", "avg_rank"),
+        "ranks",
+    )
+    out = df.select(*[F.col(q(c)).cast("double").alias(c) for c in columns])
+    for c in columns:
+        side = ranks.where(F.col("variable") == c).select(F.col("value").alias("_v"), F.col("avg_rank").alias("_r"))
+        out = out.join(side, F.col(q(c)) == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_v", "_r")
+    return out
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
     """(i, j, left, right, r) for i <= j; columns must be imputed first.
 
-    One Gram-matrix pass over the rows (ranks first for Spearman); what returns is
+    One Gram-matrix pass over the rows (over ranks for Spearman); what returns is
     columns² numbers. Constant columns correlate 0 with others and 1 with themselves.
     """
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(
-        df.select(*[F.col(q(c)).cast("double").alias(c) for c in columns])
-    ).select("_v")
-    matrix = Correlation.corr(vectors, "_v", method).first()[0].toArray()
-    rows = [
+    if method not in ("pearson", "spearman"):
+        raise ValueError(f"unknown method {method!r}")
+    rows = rank_columns(df, columns) if method == "spearman" else df.select(
+        *[F.col(q(c)).cast("double").alias(c) for c in columns]
+    )
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(rows).select("_v")
+    matrix = Correlation.corr(vectors, "_v", "pearson").first()[0].toArray()
+    values = [
         (i, j, columns[i], columns[j],
          1.0 if i == j else (0.0 if matrix[i, j] != matrix[i, j] else float(matrix[i, j])))
         for i in range(len(columns)) for j in range(i, len(columns))
     ]
-    return df.sparkSession.createDataFrame(rows, "i int, j int, left string, right string, r double")
+    return df.sparkSession.createDataFrame(values, "i int, j int, left string, right string, r double")
 
 
 def correlated_columns(df: DataFrame, columns: Sequence[str], limit: float = 0.9) -> list[str]:

@@ -42,8 +42,9 @@ def query(name: str, covers: str, sql: str | None = None, with_: str = "", doubl
         body = sql.strip()
         inner = f"WITH {with_.strip()}{'' if body.startswith(',') else ' '}{body}" if with_ else body
         if names:
-            fixed = ", ".join(f'round(CAST("{c}" AS DOUBLE) + CAST(2e-10 AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS "{c}"' for c in names)
-            text = f"SELECT * REPLACE ({fixed}) FROM ({inner}) AS answer"
+            nudge, zero = "CAST(2e-10 AS DOUBLE)", "CAST(0 AS DOUBLE)"
+            fixed = [f'round(CAST("{c}" AS DOUBLE) + {nudge}, 6) + {zero} AS "{c}"' for c in names]
+            text = f"SELECT * REPLACE ({', '.join(fixed)}) FROM ({inner}) AS answer"
         else:
             text = inner
 

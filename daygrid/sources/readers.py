@@ -116,7 +116,8 @@ def read_series_dir(spark: SparkSession, path: str, entity: str = "stem") -> Dat
 def series_headers(lines: DataFrame) -> DataFrame:
     """(file, pos, column) of the measure columns, for the column checks."""
     one = lines.groupBy("file").agg(F.any_value("header").alias("header"))
-    return one.select("file", F.posexplode(F.expr("slice(header, 2, greatest(size(header) - 1, 0))")).alias("pos", "column"))
+    measures = F.expr("slice(header, 2, greatest(size(header) - 1, 0))")
+    return one.select("file", F.posexplode(measures).alias("pos", "column"))
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
