@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from daygrid.functions.recode import is_numeric_or_missing, number, parse_date
 from daygrid.operators.columns import q
 from daygrid.operators.running import running_sums
+from daygrid.session import durable
 
 
 @dataclass(frozen=True)
@@ -210,7 +211,8 @@ def check_id_continuity(df: DataFrame, column: str) -> DataFrame:
     id differs from its position.
     """
     ids = df.select(number(F.col(q(column))).try_cast("long").alias("id"))
-    run = running_sums(ids, [], "id", {"n": F.lit(1)})
+    # the three kinds of finding each read the distinct ids
+    run = durable(running_sums(ids, [], "id", {"n": F.lit(1)}), "ids")
     place = F.col("cum_n") - F.col("n") + 1
     broken = F.when(F.col("id") != place, F.struct(place.alias("p"), F.col("id").alias("a"))).when(
         F.col("n") > 1, F.struct((place + 1).alias("p"), F.col("id").alias("a"))

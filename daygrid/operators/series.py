@@ -132,6 +132,16 @@ def window_features(
     return aggregate_points(points, KEYS, ddof, min_points, slope_default, peak_min_points)
 
 
+def _median() -> Column:
+    """Median of the few values one window of a channel holds (as many as days).
+
+    Much lighter than a percentile aggregate, which keeps a hash map per group.
+    """
+    values = F.sort_array(F.collect_list(VALUE))
+    low, high = F.floor((F.size(values) - 1) / 2), F.floor(F.size(values) / 2)
+    return (F.get(values, low.cast("int")) + F.get(values, high.cast("int"))) / 2
+
+
 def aggregate_points(
     points: DataFrame, keys: Sequence[str] = KEYS, ddof: int = 0, min_points: int = 2,
     slope_default: float | None = None, peak_min_points: int = 1,
@@ -150,7 +160,7 @@ def aggregate_points(
     return points.groupBy(*keys).agg(
         n.alias("count"),
         F.avg(VALUE).alias("mean"),
-        F.percentile(VALUE, 0.5).alias("median"),
+        _median().alias("median"),
         std.alias("std"),
         F.min(VALUE).alias("min"),
         F.max(VALUE).alias("max"),

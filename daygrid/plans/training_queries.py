@@ -6,7 +6,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from daygrid.operators import evaluate, prep, training
-from daygrid.plans.bindings import SERIES, STATIC
+from daygrid.plans.bindings import FOLDS, SERIES, STATIC
 from daygrid.plans.model_table import model_table
 from daygrid.plans.registry import query
 from daygrid.session import durable
@@ -56,11 +56,20 @@ def classifier_scores(t):
     return evaluate.auc(durable(scored, "scores"), ["model"])
 
 
-@query("out_of_fold_scores", "M12 M11 E11")
+@query("out_of_fold_scores", "M12 M11", "SELECT id, fold, y, true AS scored FROM folds JOIN documents ON id = doc_id", FOLDS)
 def out_of_fold_scores(t):
+    """Every labelled document is scored once, in its own fold."""
     rows = model_rows(t)
     estimator = training.classifier("logistic_regression", maxIter=30)
-    return training.out_of_fold(rows, estimator, keep=["id"], weighted=True)
+    held = training.out_of_fold(rows, estimator, keep=["id"], weighted=True)
+    return held.select("id", "fold", "y", F.col("score").between(0, 1).alias("scored"))
+
+
+@query("out_of_fold_metrics", "M12 M11 E11")
+def out_of_fold_metrics(t):
+    estimator = training.classifier("logistic_regression", maxIter=30)
+    held = training.out_of_fold(model_rows(t), estimator, keep=["id"], weighted=True)
+    return evaluate.summary(durable(held, "held_out"), ["fold"])
 
 
 @query("grid_search", "M10 K3")

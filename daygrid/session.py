@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Adaptive settings matter most: skewed join partitions are split at run time even
-# when that costs one more shuffle, and object-hash aggregates (exact percentiles
-# over the few days of one series) stay hashed for many groups.
+# when that costs one more shuffle. Aggregates over rows that a window has already
+# sorted run as sort aggregates (several times faster for window features).
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.session.timeZone": "UTC",
 }

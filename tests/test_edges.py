@@ -224,3 +224,11 @@ def test_code_detection(spark):
     texts = ["import os\nprint(1)\nreturn x", "```\nimport os print( return \n```", "plain", "\n" * 11]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(dialogue.is_code_like(F.col("t"))).collect()] == [True, False, False, True]
+
+
+def test_binarizer_in_a_pipeline(spark):
+    from pyspark.ml import Pipeline
+
+    df = spark.createDataFrame([(3,), (1,), (None,)], "g int")
+    model = Pipeline(stages=[columns.Binarizer({"g": 2}, suffix="_hi")]).fit(df)
+    assert [r["g_hi"] for r in model.transform(df).collect()] == [1, 0, None]
