@@ -33,15 +33,20 @@ def observed(series: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def densify(series: DataFrame, lo: int, hi: int, channels: Sequence[str] | None = None) -> DataFrame:
-    """One row per (entity, channel, day of the window); absent days get null."""
+    """One row per (entity, channel, day of the window); absent days get null.
+
+    The pairs are those with rows in the window, or every listed channel of the
+    entities that have any.
+    """
+    inside = in_window(series, lo, hi)
     if channels is None:
-        pairs = series.select(*KEYS).distinct()
+        pairs = inside.select(*KEYS).distinct()
     else:
-        pairs = series.select(ENTITY).distinct().withColumn(
+        pairs = inside.select(ENTITY).distinct().withColumn(
             CHANNEL, F.explode(F.array(*[F.lit(c) for c in channels]))
         )
     grid = pairs.withColumn(DAY, F.explode(F.sequence(F.lit(lo), F.lit(hi))))
-    return grid.join(in_window(series, lo, hi), [ENTITY, CHANNEL, DAY], "left")
+    return grid.join(inside, [ENTITY, CHANNEL, DAY], "left")
 
 
 def forward_fill(series: DataFrame, lo: int, hi: int) -> DataFrame:
