@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrid.llm import line_dedup
+from daygrid.llm import licenses, line_dedup, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,3 +42,53 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+
+@query
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents", "doc_id", "text", "lang", "source"))
+
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+_NONSYMBOLS = "[^#*$%&|<>]"
+_FENCED = " ".join(
+    f"max(CASE WHEN feature = '{n}' THEN a - greatest({quality_rules.REACH} * (b - a), {least}) END) AS {n}_low, "
+    f"max(CASE WHEN feature = '{n}' THEN b + greatest({quality_rules.REACH} * (b - a), {least}) END) AS {n}_high,"
+    for n, (_, least) in quality_rules.FEATURES.items()).rstrip(",")
+SQL["op10_quality_rules"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+g AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM d WHERE len(w) >= 5),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i:i+4]) AS times FROM g),
+p AS (SELECT r, count(DISTINCT i + o) AS n FROM h, range(0, 5) AS x(o) WHERE times > 1 GROUP BY r),
+l AS (SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '{_WORDS}') GROUP BY ALL),
+m AS (SELECT r, sum(n - 1) AS dup, sum(n) AS n FROM l GROUP BY r),
+c AS (SELECT d.r, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             length(regexp_replace(t, '{_NONSYMBOLS}', '', 'g'))::BIGINT AS n_symbols, coalesce(m.dup, 0)::BIGINT AS n_dup_lines,
+             coalesce(p.n, 0)::BIGINT AS n_repeat_words, coalesce(m.n, 0)::BIGINT AS n_lines
+      FROM d LEFT JOIN p USING (r) LEFT JOIN m USING (r)),
+f AS (SELECT *, 1000 * n_symbols // greatest(n_words, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines,
+             1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * word_chars // greatest(n_words, 1) AS word_size FROM c),
+u AS (SELECT lang, source, feature, (v >> s) << s AS v FROM (
+        SELECT *, greatest(length(bin(v)) - {quality_rules.BITS}, 0) AS s FROM (
+          SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_size']) AS feature,
+                 unnest([symbols, dup_lines, repeats, word_size]) AS v FROM f))),
+q AS (SELECT lang, source, feature, count(*) AS n, list_sort(list(v)) AS vs FROM u GROUP BY ALL),
+z AS (SELECT lang, feature, count(*) AS n, list_sort(list(v)) AS vs FROM u GROUP BY ALL),
+e AS (SELECT q.lang, q.source, q.feature,
+             CASE WHEN q.n >= {quality_rules.MIN_DOCS} THEN q.vs[(q.n + 3) // 4] ELSE z.vs[(z.n + 3) // 4] END AS a,
+             CASE WHEN q.n >= {quality_rules.MIN_DOCS} THEN q.vs[(3 * q.n + 3) // 4] ELSE z.vs[(3 * z.n + 3) // 4] END AS b
+      FROM q JOIN z ON q.lang IS NOT DISTINCT FROM z.lang AND q.feature = z.feature),
+y AS (SELECT lang, source, {_FENCED} FROM e GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND symbols <= symbols_high AND dup_lines <= dup_lines_high
+         AND repeats <= repeats_high AND word_size BETWEEN word_size_low AND word_size_high AS kept
+FROM f JOIN y ON f.lang IS NOT DISTINCT FROM y.lang AND f.source IS NOT DISTINCT FROM y.source
+"""
