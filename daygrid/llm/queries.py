@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrid.llm import licenses, line_dedup, quality_rules
+from daygrid.llm import licenses, line_dedup, quality_rules, sanitise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,3 +92,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
          AND repeats <= repeats_high AND word_size BETWEEN word_size_low AND word_size_high AS kept
 FROM f JOIN y ON f.lang IS NOT DISTINCT FROM y.lang AND f.source IS NOT DISTINCT FROM y.source
 """
+
+
+@query
+def op8_sanitise(spark: SparkSession, folder: str) -> DataFrame:
+    found = sanitise.find_personal_data(table(spark, folder, "documents", "doc_id", "text"))
+    each = [sanitise.count_of("base", k).alias(f"n_{name}") for k, name in enumerate(sanitise.KINDS)]
+    return found.select("doc_id", *each, F.sha2(sanitise.shown(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        sanitise.shown(F.col("spans")).alias("spans"))
