@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrid.llm import licenses, line_dedup, quality_rules, sanitise
+from daygrid.llm import licenses, line_dedup, near_dedup, quality_rules, sanitise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,3 +100,8 @@ def op8_sanitise(spark: SparkSession, folder: str) -> DataFrame:
     each = [sanitise.count_of("base", k).alias(f"n_{name}") for k, name in enumerate(sanitise.KINDS)]
     return found.select("doc_id", *each, F.sha2(sanitise.shown(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         sanitise.shown(F.col("spans")).alias("spans"))
+
+
+@query
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents", "doc_id", "text"), width=2)
