@@ -12,7 +12,6 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(WHITE)] = True
 _BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_CACHE: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,15 +26,12 @@ def hash_number(value: int, salt: int = 0) -> int:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n > len(_CACHE.get("up", ())):
-        size = max(n, BLOCK + (BLOCK >> 2))
-        up, down = _BASE, pow(_BASE, -1, 2**64)
-        for name, base in (("up", up), ("down", down)):
-            _CACHE[name] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, base, dtype=np.uint64)]))
-    return _CACHE["up"], _CACHE["down"]
+    """Powers of the base and of its inverse."""
+    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, dtype=np.uint64)]))
+                 for base in (_BASE, pow(_BASE, -1, 2**64)))
 
 
-def _hash_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _hash_block(data: bytes, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and first bytes of the words of one block."""
     if not data:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
@@ -43,7 +39,7 @@ def _hash_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     space = np.concatenate([[True], _SPACE[codes], [True]])
     edges = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edges[0::2], edges[1::2]
-    up, down = _powers(len(codes))
+    up, down = powers if len(powers[0]) > len(codes) else _powers(len(codes))
     sums = np.zeros(len(codes) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[codes] * up[: len(codes)], out=sums[1:])
     found = (sums[ends] - sums[starts]) * down[starts]
@@ -66,9 +62,10 @@ def doc_words(docs: list[bytes | None], lower: bool) -> Iterator[np.ndarray]:
     fold = (lambda b: b.lower()) if lower else (lambda b: b)
     held: list[bytes] = []
     size = 0
+    powers = _powers(min(BLOCK + 1, sum(len(d or b"") + 1 for d in docs)))
 
     def flush() -> Iterator[np.ndarray]:
-        hashes, starts = _hash_block(fold(b" ".join(held)))
+        hashes, starts = _hash_block(fold(b" ".join(held)), powers)
         begins = np.cumsum([0, *[len(d) + 1 for d in held]])
         cuts = np.searchsorted(starts, begins)
         for i in range(len(held)):
@@ -80,7 +77,7 @@ def doc_words(docs: list[bytes | None], lower: bool) -> Iterator[np.ndarray]:
             yield from flush()
             held, size = [], 0
         if len(doc) > BLOCK:
-            yield np.concatenate([_hash_block(fold(p))[0] for p in _pieces(doc)])
+            yield np.concatenate([_hash_block(fold(p), powers)[0] for p in _pieces(doc)])
         else:
             held.append(doc)
             size += len(doc) + 1
