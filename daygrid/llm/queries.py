@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrid.llm import licenses, line_dedup, near_dedup, packing, quality_rules, sanitise
+from daygrid.llm import language_model, licenses, line_dedup, near_dedup, packing, quality_rules, sanitise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,3 +116,8 @@ def word_vocabulary() -> str:
 @query
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents", "doc_id", "text"), word_vocabulary())
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_texts(table(spark, folder, "documents", "doc_id", "text"))
