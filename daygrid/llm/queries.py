@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrid.llm import language_model, licenses, line_dedup, near_dedup, packing, quality_rules, sanitise
+from daygrid.llm import (
+    decontaminate,
+    language_model,
+    licenses,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality_rules,
+    resampling,
+    sanitise,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -121,3 +132,30 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.score_texts(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query
+def op2_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    source = warc.archive_pages(table(spark, folder, "pages", "page_id", "url", "html"))
+    return warc.archived(spark, warc.deduplicated_archives(spark, source))
+
+
+SQL["op2_warc_revisits"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest FROM p),
+o AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS original FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN original <> page_id THEN original END AS refers_to FROM o
+"""
+
+
+@query
+def op6_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return resampling.resample(docs, table(spark, folder, "labels", "doc_id", "quality", "toxic"))
+
+
+@query
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return decontaminate.contaminated_regions(docs, table(spark, folder, "benchmark", "item_id", "text"))
