@@ -4,16 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daygrid.llm import line_dedup
+from daygrid.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
+from daygrid.llm.queries import word_vocabulary
 from daygrid.session import durable
 
 
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs)
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep_good(docs)
 
 
-STAGES = [("line dedup", drop_repeated_lines)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that a document with a smaller id holds go, and documents of nothing else;
+    n_chars follows the text."""
+    return line_dedup.dedup_lines(docs, count_col="n_chars")
 
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces of training sequences with their ids."""
+    return packing.pack(docs, word_vocabulary(), with_ids=True)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near dedup", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
+
+#: SQL cannot state quantile fences, similarity joins, alignments and a tokenizer together.
 ORACLE_SQL = None
 
 

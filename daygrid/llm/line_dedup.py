@@ -106,8 +106,12 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """``docs`` with the text of every row reduced to its kept lines; a null text stays null."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
+                count_col: str | None = None) -> DataFrame:
+    """``docs`` with the text of every row reduced to its kept lines; a null text stays
+    null. Rows all of whose lines stand in documents before them have nothing left and go.
+    ``count_col``, if given, takes the new length in characters."""
     done = apply_bitmaps(docs, keep_bitmaps(docs, id_col, text_col, min_chars), id_col, text_col)
-    text = F.when(F.col(f"`{text_col}`").isNull(), F.col(f"`{text_col}`")).otherwise(F.col("_kept_text"))
-    return done.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = F.when(F.col(f"`{text_col}`").isNotNull(), F.col("_kept_text"))
+    fresh = {text_col: kept} | ({count_col: F.length(kept).cast("long")} if count_col in docs.columns else {})
+    return done.where(F.col("_n_dropped") < F.col("_n_lines")).select(*[fresh.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
