@@ -29,11 +29,6 @@ def line_key(line: Column) -> Column:
     return F.btrim(ascii_lower(line), F.lit(SPACES))
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.withColumns({"_id": F.col(f"`{id_col}`"), "_row": F.xxhash64(text)})
-
-
 def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(_id, _row, _lines, _pos, _h1, _h2) of every line whose key is long enough."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -89,20 +84,18 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_kept_text``, ``_n_lines`` and ``_n_dropped`` (all columns of docs stay)."""
-    side = bitmaps.select(F.col("_id").alias("_bid"), F.col("_row").alias("_brow"), F.col("n_dropped").alias("_n_dropped"),
-                          F.col("keep").alias("_keep"))
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    lines = F.split(text, "\n")
-    rest = F.array_join(F.flatten(F.transform("_keep", lambda r: F.slice(F.col("_all"), r["first"] + 1, r["length"]))), "\n")
+    """(doc, n_lines, n_dropped, kept_text) per row of ``docs``; ``doc`` is the row itself,
+    as a struct, so that its columns may have any names."""
+    side = bitmaps.select(F.col("_id").alias("_bid"), F.col("_row").alias("_brow"), "n_dropped", "keep")
+    text = F.coalesce(F.col("doc")[text_col], F.lit(""))
+    rest = F.array_join(F.flatten(F.transform("keep", lambda r: F.slice(F.col("lines"), r["first"] + 1, r["length"]))), "\n")
     return (
-        _numbered(docs, id_col, text_col)
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+        .withColumns({"_id": F.col("doc")[id_col], "_row": F.xxhash64(text)})
         .join(side, F.col("_id").eqNullSafe(F.col("_bid")) & (F.col("_row") == F.col("_brow")), "left")
-        .withColumn("_all", lines)
-        .withColumns({"_n_lines": F.size("_all").cast("long"),
-                      "_kept_text": F.when(F.col("_keep").isNull(), text).otherwise(rest)})
-        .withColumn("_n_dropped", F.coalesce("_n_dropped", F.lit(0).cast("long")))
-        .drop("_id", "_row", "_bid", "_brow", "_keep", "_all")
+        .withColumn("lines", F.split(text, "\n"))
+        .select("doc", F.size("lines").cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"),
+                F.when(F.col("keep").isNull(), text).otherwise(rest).alias("kept_text"))
     )
 
 
@@ -112,6 +105,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null. Rows all of whose lines stand in documents before them have nothing left and go.
     ``count_col``, if given, takes the new length in characters."""
     done = apply_bitmaps(docs, keep_bitmaps(docs, id_col, text_col, min_chars), id_col, text_col)
-    kept = F.when(F.col(f"`{text_col}`").isNotNull(), F.col("_kept_text"))
+    kept = F.when(F.col("doc")[text_col].isNotNull(), F.col("kept_text"))
     fresh = {text_col: kept} | ({count_col: F.length(kept).cast("long")} if count_col in docs.columns else {})
-    return done.where(F.col("_n_dropped") < F.col("_n_lines")).select(*[fresh.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return done.where("n_dropped < n_lines").select(*[fresh.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

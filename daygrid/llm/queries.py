@@ -37,8 +37,7 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     done = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
-    return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-                       F.sha2(F.col("_kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return done.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL["op1_line_dedup"] = """
