@@ -85,19 +85,51 @@ def t_two_sided(t: float, df: float) -> float:
 
 
 def fisher_two_sided(a: float, b: float, c: float, d: float) -> float:
-    """Sum of the hypergeometric probabilities no larger than the observed one."""
+    """Sum of the hypergeometric probabilities no larger than the observed one.
+
+    Terms are walked from the mode, and outwards in both tails, by their ratio until
+    they vanish beside the first: memory is constant and the steps are some standard
+    deviations.
+    """
     row, col, n = a + b, a + c, a + b + c + d
     lo, hi = int(max(0, row + col - n)), int(min(row, col))
-    k = np.arange(lo, hi + 1, dtype="float64")
-    lg = np.vectorize(math.lgamma)
 
-    def choose(m, j):
-        return math.lgamma(m + 1) - lg(j + 1) - lg(m - j + 1)
+    def log_p(k: float) -> float:
+        lg = math.lgamma
+        return -(lg(k + 1) + lg(col - k + 1) + lg(row - k + 1) + lg(n - col - row + k + 1))
+
+    def walk(start: int, step: int) -> float:
+        """Sum of p(k) / p(start) from ``start`` in one direction."""
+        k, term, total = start, 1.0, 1.0
+        while lo <= k + step <= hi and term > total * 1e-17:
+            up = (col - k) * (row - k) / ((k + 1) * (n - col - row + k + 1)) if step > 0 else \
+                k * (n - col - row + k) / ((col - k + 1) * (row - k + 1))
+            term *= up
+            total += term
+            k += step
+        return total
+
+    mode = min(hi, max(lo, int((row + 1) * (col + 1) / (n + 2))))
+    peak = log_p(mode)
+    limit = log_p(a) - peak + 1e-7
+    if limit >= 0:
+        return 1.0
 
-    logs = choose(col, k) + choose(n - col, row - k)
-    p = np.exp(logs - logs.max())
-    p /= p.sum()
-    return float(min(1.0, p[p <= p[int(a) - lo] * (1 + 1e-7)].sum()))
+    def edge(inner: int, outer: int) -> int | None:
+        """The place nearest the mode, between it and the end, that is no likelier than observed."""
+        if log_p(outer) - peak > limit:
+            return None
+        while abs(outer - inner) > 1:
+            mid = (inner + outer) // 2
+            inner, outer = (inner, mid) if log_p(mid) - peak <= limit else (mid, outer)
+        return outer
+
+    tails = 0.0
+    for outer, step in ((lo, -1), (hi, 1)):
+        at = edge(mode, outer)
+        if at is not None:
+            tails += math.exp(log_p(at) - peak) * walk(at, step)
+    return min(1.0, tails / (walk(mode, 1) + walk(mode, -1) - 1.0))
 
 
 def _mapped(fn, *series: pd.Series) -> pd.Series:

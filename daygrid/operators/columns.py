@@ -13,38 +13,16 @@ from pyspark.sql import types as T
 
 from daygrid.functions.recode import number
 
-# Short names of the static table.
-SHORT_NAMES = {
-    "BM disease burden": "BMDB",
-    "Bone marrow cellularity": "BMC",
-    "extramedullary mass": "EM",
-    "extranodal involvement": "EI",
-    "B symptoms": "B_symptoms",
-    "Ann Arbor stage": "AAS",
-    "Number of prior therapy lines": "NL",
-    "Prior hematopoietic stem cell": "PHSC",
-    "Prior CAR-T therapy": "PCT",
-    "Bridging therapy": "BT",
-    "CAR-T therapy following auto-HSCT": "CTFA",
-    "Costimulatory molecule": "CM",
-    "Type of construct(tandem/single target)": "TYPE",
-    "CAR-T cell infusion date": "CCID",
-    "CRS grade": "CRS",
-    "ICANS grade": "ICANS",
-    "Early ICAHT grade": "E_ICAHT",
-    "Late ICAHT grade": "L_ICAHT",
-    "Infection grade": "Infection",
-}
 # Columns that are labels or identify a row.
 LABEL_COLUMNS = ("ID", "Infection", "CRS", "ICANS", "E_ICAHT", "L_ICAHT")
-LEAKAGE_WORDS = ("infection", "crs", "icans", "icaht", "grade", "label", "target")
+LEAKAGE_WORDS = ("infection", "crs", "icans", "icaht", "grade", "label", "target", "outcome", "result")
 
 
 def q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def rename_columns(df: DataFrame, mapping: Mapping[str, str] = SHORT_NAMES) -> DataFrame:
+def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """Explicit new names; elsewhere blanks become underscores."""
     return df.toDF(*[mapping.get(c, c.replace(" ", "_")) for c in df.columns])
 
@@ -66,6 +44,12 @@ def drop_channels(series: DataFrame, names: Sequence[str]) -> DataFrame:
     return series.where(~F.col("channel").isin(list(names)))
 
 
+def absent_channels(series: DataFrame, names: Sequence[str]) -> list[str]:
+    """Which of ``names`` the long form lacks: the warnings of a drop."""
+    have = {r["channel"] for r in series.where(F.col("channel").isin(list(names))).select("channel").distinct().collect()}
+    return [n for n in names if n not in have]
+
+
 def renumbered(columns: Sequence[str], prefix: str) -> dict[str, str]:
     """Old to new names so that the numbers of one prefix run 001, 002, …
 

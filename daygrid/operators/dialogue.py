@@ -153,20 +153,10 @@ def document_blocks(
     return heading.unionByName(toc).unionByName(body)
 
 
-def render_documents(
-    turns: DataFrame, conv: str = "conv_id", blocks_per_part: int = 1000, **names: str
-) -> DataFrame:
-    """(conv, part, markdown): documents in order, one row per ``blocks_per_part`` blocks.
+def write_documents(blocks: DataFrame, path: str, conv: str = "conv_id") -> None:
+    """One Markdown text per conversation, under ``<conv>=…`` in ``path``.
 
-    Ordinary conversations are a single part 0. Longer ones continue in further
-    parts whose concatenation is the document, so no task holds a whole one.
+    Blocks are sorted and streamed to their file; no conversation is held in memory.
     """
-    blocks = document_blocks(turns, conv, **names).withColumn(
-        "_order", F.col("section") * F.lit(2.0**50) + F.col("place")
-    ).withColumn("_one", F.lit(1))
-    placed = running_row_sums(blocks, [conv], "_order", {"_one": "_n"})
-    part = F.floor((F.col("_n") - 1) / blocks_per_part).cast("int")
-    grouped = placed.groupBy(conv, part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("_n", "block"))).alias("_b")
-    )
-    return grouped.select(conv, "part", F.array_join(F.transform("_b", lambda b: b["block"]), "\n").alias("markdown"))
+    ordered = blocks.repartition(conv).sortWithinPartitions(conv, "section", "place")
+    ordered.select(conv, "block").write.partitionBy(conv).text(path)

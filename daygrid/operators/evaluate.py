@@ -7,6 +7,7 @@ are exact and heavy ties are cheap; no group is ever sorted in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daygrid.functions.recode import clip
-from daygrid.operators.running import INF, running_sums
+from daygrid.operators.running import BUCKET, INF, numeric_bucket, numeric_cuts, running_sums
 
 def _pos() -> Column:
     return (F.col("y") == 1).cast("long")
@@ -140,10 +141,12 @@ def summary(scores: DataFrame, by: Sequence[str], threshold: float = 0.5) -> Dat
 
 
 def calibration(scores: DataFrame, by: Sequence[str], bins: int = 10) -> DataFrame:
-    """(keys, bin, n, prob_true, prob_pred) over right-closed uniform bins that hold rows."""
+    """(keys, bin, n, prob_true, prob_pred) over right-closed uniform bins that hold rows;
+    rows without score or label are in none."""
+    known = scores.where(F.col("score").isNotNull() & F.col("y").isNotNull())
     p = clip(F.col("score"))
     number = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil(p * bins))).cast("int")
-    return scores.groupBy(*by, number.alias("bin")).agg(
+    return known.groupBy(*by, number.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("y").alias("prob_true"), F.avg(p).alias("prob_pred")
     )
 
@@ -248,39 +251,69 @@ def subgroup_auc(scores: DataFrame, by: Sequence[str], subgroup: str) -> DataFra
 
 def split_gap(metrics: DataFrame, metric: str = "auc", split: str = "split") -> DataFrame:
     """Train minus test value of a metric per model."""
-    sides = {
-        s: metrics.where(F.col(split) == s).select("model", F.col(metric).alias(f"{s}_{metric}"))
-        for s in ("train", "test")
-    }
+    sides = {s: F.max(F.when(F.col(split) == s, F.col(metric))).alias(f"{s}_{metric}") for s in ("train", "test")}
+    both = metrics.where(F.col(split).isin(*sides)).groupBy("model").agg(*sides.values(), F.count_distinct(split).alias("_s"))
     gap = F.col(f"train_{metric}") - F.col(f"test_{metric}")
-    return sides["train"].join(sides["test"], "model").withColumn("gap", gap)
+    return both.where("_s = 2").drop("_s").withColumn("gap", gap)
 
 
 def best_models(metrics: DataFrame, metric: str = "auc", n: int = 3) -> DataFrame:
     return metrics.orderBy(F.desc(metric), "model").limit(n)
 
 
-def bootstrap_replicates(
-    scores: DataFrame, row_id: str, replicates: int = 1000, seed: int = 42
-) -> DataFrame:
-    """(replicate, score, pos, neg): weighted tallies of Poisson(1) resamples.
+def poisson_steps() -> list[float]:
+    """Cumulative Poisson(1) probabilities, until the tail is below the resolution of the draw."""
+    steps, term, total, k = [], math.exp(-1.0), 0.0, 0
+    while not steps or 1.0 - total > 2.0**-52:
+        total += term
+        steps.append(total)
+        k += 1
+        term /= k
+    return [s for s in steps if s < 1.0]
 
-    Every row draws its own weight per replicate from a hash, so no row order or
-    partitioning matters; zero weights are dropped and equal scores merge on the map side.
-    """
-    each = scores.where(F.col("score").isNotNull()).withColumn(
-        "replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    )
+
+def _weight(row_id: str, seed: int) -> Column:
+    """Poisson(1) weight of a row in a replicate, from a hash of both."""
     key = F.concat_ws("-", F.lit(str(seed)), F.col(row_id).cast("string"), F.col("replicate").cast("string"))
     uniform = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(2**52)
-    # Cumulative Poisson(1) probabilities.
-    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-             0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
-    weight = sum((F.when(uniform > s, 1).otherwise(0) for s in steps), F.lit(0)).cast("long")
-    weighted = each.withColumn("_w", weight).where("_w > 0")
-    return weighted.select(
-        "replicate", "score", (F.col("_w") * _pos()).alias("pos"), (F.col("_w") * _neg()).alias("neg")
-    )
+    return sum((F.when(uniform > s, 1).otherwise(0) for s in poisson_steps()), F.lit(0)).cast("long")
+
+
+def _replicated(rows: DataFrame, row_id: str, replicates: int, seed: int) -> DataFrame:
+    each = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = each.withColumn("_w", _weight(row_id, seed)).where("_w > 0")
+    return drawn.withColumns({"pos": F.col("_w") * _pos(), "neg": F.col("_w") * _neg()})
+
+
+def bootstrap_auc_values(scores: DataFrame, row_id: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(replicate, value): AUC of each Poisson resample.
+
+    The rows are shuffled once, by score bucket, before the weights are drawn; what the
+    buckets pass on to each other is a total per (bucket, replicate).
+    """
+    known = scores.where(F.col("score").isNotNull() & F.col("y").isin(0, 1)).select(F.col(row_id).alias("_id"), "score", "y")
+    cuts = numeric_cuts(known.select("score").distinct(), "score")
+    dealt = numeric_bucket(known, "score", cuts).repartition(BUCKET)
+    drawn = _replicated(dealt, "_id", replicates, seed)
+    ties = drawn.groupBy(BUCKET, "replicate", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    above = Window.partitionBy(BUCKET, "replicate").orderBy(F.desc("score"))
+    inside = ties.withColumn("_p", F.sum("pos").over(above.rowsBetween(Window.unboundedPreceding, 0)))
+    cells = inside.groupBy(BUCKET, "replicate").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+        F.sum(F.col("neg") * (F.col("_p") - F.col("pos") / 2.0)).alias("pairs"))
+    earlier = Window.partitionBy("replicate").orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.withColumn("_before", F.coalesce(F.sum("pos").over(earlier), F.lit(0)))
+    pairs = F.sum(F.col("pairs") + F.col("neg") * F.col("_before"))
+    return carried.groupBy("replicate").agg(F.try_divide(pairs, F.sum("pos").cast("double") * F.sum("neg")).alias("value"))
+
+
+def bootstrap_brier_values(scores: DataFrame, row_id: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(replicate, value): Brier score of each resample; only sums per replicate are shuffled."""
+    known = scores.where(F.col("score").isNotNull() & F.col("y").isin(0, 1)).select(F.col(row_id).alias("_id"), "score", "y")
+    s = F.col("score")
+    loss = F.col("pos") * F.pow(s - 1, F.lit(2.0)) + F.col("neg") * F.pow(s, F.lit(2.0))
+    return _replicated(known, "_id", replicates, seed).groupBy("replicate").agg(
+        F.try_divide(F.sum(loss), F.sum(F.col("pos") + F.col("neg"))).alias("value"))
 
 
 def bootstrap_ci(
@@ -288,18 +321,7 @@ def bootstrap_ci(
     level: float = 0.95, seed: int = 42,
 ) -> DataFrame:
     """Mean and percentile interval of a metric over resamples (undefined ones left out)."""
-    drawn = bootstrap_replicates(scores, row_id, replicates, seed)
-    if metric == "brier":
-        s = F.col("score")
-        loss = F.col("pos") * F.pow(s - 1, F.lit(2.0)) + F.col("neg") * F.pow(s, F.lit(2.0))
-        per = drawn.groupBy("replicate").agg(
-            F.try_divide(F.sum(loss), F.sum(F.col("pos") + F.col("neg"))).alias("value")
-        )
-    else:
-        run = running_sums(
-            drawn, ["replicate"], "score", {"pos": F.col("pos"), "neg": F.col("neg")}, descending=True
-        )
-        per = run.groupBy("replicate").agg(_areas()[metric].alias("value"))
+    per = (bootstrap_brier_values if metric == "brier" else bootstrap_auc_values)(scores, row_id, replicates, seed)
     tail = (1 - level) / 2
     return per.agg(
         F.avg("value").alias("mean"),

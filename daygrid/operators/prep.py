@@ -6,19 +6,16 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygrid.operators.columns import q
+from daygrid.operators.columns import constant_flags, q
 from daygrid.operators.profile import melted
-from daygrid.operators.running import (
-    BUCKET, dense_numbers, exact_quantiles, numeric_bucket, numeric_cuts,
-)
+from daygrid.operators.running import dense_numbers, exact_quantiles, running_sums
 from daygrid.operators.splits import hashes_at, members_of, shuffle_key
-from daygrid.session import bounded
+from daygrid.session import bounded, durable
 
 
 def learn_medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
@@ -153,6 +150,9 @@ class Preprocessor:
     model: object = None
 
     def fit(self, train: DataFrame) -> Preprocessor:
+        flat = {r["column"] for r in constant_flags(train, [*self.numeric, *self.categorical]).where("is_constant").collect()}
+        self.numeric = [c for c in self.numeric if c not in flat]
+        self.categorical = [c for c in self.categorical if c not in flat]
         self.medians = learn_medians(train, self.numeric)
         self.modes = learn_modes(train, self.categorical) if self.categorical else {}
         filled = self._fill(train)
@@ -172,84 +172,72 @@ def _distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
 
 
-def _exact_neighbours(points: DataFrame, k: int) -> DataFrame:
-    """k nearest other points of every point; the point table is small and shipped to
-    the tasks, which keep k rows per point."""
-    pdf = points.toPandas()
-    ids, matrix = pdf["id"].to_numpy(), np.stack(pdf["x"].to_numpy()) if len(pdf) else np.empty((0, 0))
-    shared = points.sparkSession.sparkContext.broadcast((ids, matrix))
+def _places(points: DataFrame, at: str) -> DataFrame:
+    """``points`` with their place in the order of ``at``, whatever the layout.
 
-    def nearest(batches):
-        all_ids, all_x = shared.value
-        for batch in batches:
-            rows = []
-            for own, x in zip(batch["id"], batch["x"], strict=True):
-                d = ((all_x - np.asarray(x)) ** 2).sum(axis=1)
-                d[all_ids == own] = np.inf
-                order = np.lexsort((all_ids, d))[: min(k, len(all_ids) - 1)]
-                rows.append((own, x, [all_x[i] for i in order]))
-            yield pd.DataFrame(rows, columns=["id", "x", "near"])
-
-    return points.mapInPandas(nearest, "id long, x array<double>, near array<array<double>>")
+    Equal values share their run of places evenly, by the hash of the id.
+    """
+    run = running_sums(points, [], at, {"n": F.lit(1).cast("long")})
+    ties = run.select(F.col(at).alias("_v"), "n", (F.col("cum_n") - F.col("n")).alias("_before"))
+    spread = F.pmod(F.xxhash64("id"), F.lit(2**31)) / float(2**31)
+    return points.join(ties, F.col(at) == F.col("_v")).withColumn(
+        "place", F.col("_before") + F.floor(spread * F.col("n"))).drop("_v", "n", "_before")
 
 
-def _projected_neighbours(points: DataFrame, k: int, width: int, projections: int, seed: int, size: int) -> DataFrame:
-    """k nearest among the points next to each point along random directions.
+def near_neighbours(points: DataFrame, k: int, size: int, width: int = 32, projections: int = 4, seed: int = 42) -> DataFrame:
+    """(id, x, near): the k nearest points among those close by along random directions.
 
-    Each direction orders the points in buckets and looks ``width`` places either
-    way, so work and memory per point are fixed whatever the data looks like.
+    Along each seeded direction the points are numbered, the numbers are cut into bands of
+    ``width`` places, and a point meets its own band and the two beside it. Work and memory
+    per point are fixed, and the result depends neither on partitions nor on row order.
     """
     rng = np.random.default_rng(seed)
     found = None
-    for direction in rng.standard_normal((projections, size)):
+    for number, direction in enumerate(rng.standard_normal((projections, size))):
         weights = F.array(*[F.lit(float(w)) for w in direction])
         at = F.aggregate(F.zip_with("x", weights, lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
-        keyed = points.withColumn("_at", at)
-        placed = numeric_bucket(keyed, "_at", numeric_cuts(keyed, "_at"))
-        around = Window.partitionBy(BUCKET).orderBy("_at", "id").rowsBetween(-width, width)
-        near = placed.select("id", "x", F.collect_list(F.struct("id", "x")).over(around).alias("_c"))
+        placed = _places(points.withColumn("_at", at), "_at")
+        band = F.floor(F.col("place") / width)
+        near = placed.select("id", "x", F.lit(number).alias("way"), band.alias("own"),
+                             F.explode(F.array(band - 1, band, band + 1)).alias("band"))
         found = near if found is None else found.unionByName(near)
-    merged = found.groupBy("id").agg(
-        F.any_value("x").alias("x"), F.array_distinct(F.flatten(F.collect_list("_c"))).alias("_c")
-    )
-    ranked = F.array_sort(
-        F.transform(
-            F.filter("_c", lambda c: c["id"] != F.col("id")),
-            lambda c: F.struct(_distance(c["x"], F.col("x")).alias("d"), c["id"].alias("id"), c["x"].alias("x")),
-        )
-    )
+    member = F.struct("id", "x", (F.col("own") == F.col("band")).alias("home"))
+    bands = found.groupBy("way", "band").agg(F.collect_list(member).alias("_m"))
+    meets = bands.select(F.explode(F.filter("_m", lambda m: m["home"])).alias("p"), "_m").select(
+        F.col("p.id").alias("id"), F.col("p.x").alias("x"), F.transform("_m", lambda m: F.struct(m["id"].alias("id"), m["x"].alias("x"))).alias("_c"))
+    merged = meets.groupBy("id").agg(F.any_value("x").alias("x"), F.array_distinct(F.flatten(F.collect_list("_c"))).alias("_c"))
+    ranked = F.array_sort(F.transform(
+        F.filter("_c", lambda c: c["id"] != F.col("id")),
+        lambda c: F.struct(_distance(c["x"], F.col("x")).alias("d"), c["id"].alias("id"), c["x"].alias("x"))))
     return merged.select("id", "x", F.transform(F.slice(ranked, 1, k), lambda c: c["x"]).alias("near"))
 
 
 def smote(
     df: DataFrame, entity: str, label: str, features: Sequence[str], k: int = 5, seed: int = 42,
-    exact_rows: int = 5_000,
 ) -> DataFrame:
     """Synthetic minority rows (label 1) until both classes are equal in number.
 
     Each is a random point on the line from a minority row to one of its k nearest
-    minority neighbours. Every minority row serves equally often; the remainder
-    goes to the rows first in seeded hash order. Neighbours are exact up to
-    ``exact_rows`` minority rows and found along random projections beyond.
+    neighbours among the minority rows close by (``near_neighbours``). Every minority row
+    serves equally often; the remainder goes to the rows first in seeded hash order. A
+    synthetic row is no entity: its entity is null, and ``source`` names the row it began from.
     """
     counts = df.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
-    minority = df.where(F.col(label) == 1).select(
-        F.col(entity).cast("long").alias("id"), F.array(*[F.col(q(c)).cast("double") for c in features]).alias("x")
-    )
+    kind = df.schema[entity].dataType
+    minority = durable(df.where(F.col(label) == 1).select(
+        F.col(entity).alias("id"), F.array(*[F.col(q(c)).cast("double") for c in features]).alias("x")
+    ), "minority")
     new, have = counts["n"] - counts["p"], counts["p"]
     if have < 2 or new <= 0:
-        return df.select(entity, label, *features).limit(0)
-    near = (
-        _exact_neighbours(minority, k) if have <= exact_rows
-        else _projected_neighbours(minority, k, 2 * k, 4, seed, len(features))
-    )
+        return df.select(F.lit(None).cast(kind).alias(entity), label, *features, F.col(entity).alias("source")).limit(0)
+    near = near_neighbours(minority, k, len(features), seed=seed)
     each, extra = divmod(new, have)
     times = F.lit(each)
     if extra:
         rank = df.sparkSession.range(1).select(F.lit("all").alias("stratum"), F.lit(extra).alias("rank"))
         limit = hashes_at(members_of(minority, "id", None, seed), rank).first()["hash"]
         times = times + (shuffle_key("id", seed) <= limit).cast("int")
-    serving = near.withColumn("_times", times).where("_times > 0")
+    serving = near.withColumn("_times", times).where("_times > 0 and size(near) > 0")
     copies = serving.withColumn("_s", F.explode(F.sequence(F.lit(1), F.col("_times"))))
 
     def uniform(tag: str) -> Column:
@@ -257,5 +245,5 @@ def smote(
 
     pick = F.floor(uniform("n") * F.size("near")).cast("int")
     mixed = F.zip_with("x", F.col("near")[pick], lambda a, b: a + (b - a) * uniform("g"))
-    points = copies.select(F.col("id").alias(entity), F.lit(1).alias(label), mixed.alias("_x"))
-    return points.select(entity, label, *[F.col("_x")[i].alias(c) for i, c in enumerate(features)])
+    points = copies.select(F.lit(None).cast(kind).alias(entity), F.lit(1).alias(label), mixed.alias("_x"), F.col("id").alias("source"))
+    return points.select(entity, label, *[F.col("_x")[i].alias(c) for i, c in enumerate(features)], "source")

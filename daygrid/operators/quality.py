@@ -17,44 +17,20 @@ from daygrid.session import durable
 
 @dataclass(frozen=True)
 class Rule:
-    """What one column may hold: kind is integer, float, category, number_category or date."""
+    """What one column may hold: kind is integer, float, category, number_category or date.
+
+    ``lo`` and ``hi`` are the possible range, ``usual`` the range that is met in practice:
+    values outside the first are errors, outside the second warnings.
+    """
 
     column: str
     kind: str
     lo: float | None = None
     hi: float | None = None
     categories: tuple[str, ...] = ()
+    usual: tuple[float, float] | None = None
 
 
-# Rules of the raw static table. Grades are compared as numbers, so
-# "3" and "3.0" are the same grade.
-GRADES = ("0", "1", "2", "3", "4", "5")
-STATIC_RULES = (
-    Rule("ID", "integer", 1, 700),
-    Rule("Age", "integer", 0, 80),
-    Rule("Sex", "category", categories=("male", "female")),
-    Rule("BM disease burden", "float", 0, 100),
-    Rule("Bone marrow cellularity", "category",
-         categories=("NA", "极度减低", "减低", "活跃", "明显活跃", "极度活跃")),
-    Rule("extramedullary mass", "category", categories=("有", "无")),
-    Rule("extranodal involvement", "number_category",
-         categories=("0", "1", "2", "3", "4", "5", "6", "7")),
-    Rule("B symptoms", "category", categories=("有", "无")),
-    Rule("Ann Arbor stage", "category", categories=("NA", "I", "II", "III", "IV")),
-    Rule("Number of prior therapy lines", "number_category",
-         categories=("1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11")),
-    Rule("Prior hematopoietic stem cell", "category", categories=("无", "自体", "异体")),
-    Rule("Prior CAR-T therapy", "category", categories=("有", "无")),
-    Rule("Bridging therapy", "category", categories=("有", "无")),
-    Rule("CAR-T therapy following auto-HSCT", "category", categories=("是", "否")),
-    Rule("Costimulatory molecule", "category", categories=("41BB", "CD28", "41BB+CD28")),
-    Rule("CAR-T cell infusion date", "date"),
-    Rule("CRS grade", "number_category", categories=("NA", *GRADES)),
-    Rule("ICANS grade", "number_category", categories=("NA", *GRADES)),
-    Rule("Early ICAHT grade", "number_category", categories=("NA", *GRADES)),
-    Rule("Late ICAHT grade", "number_category", categories=("NA", *GRADES)),
-    Rule("Infection grade", "number_category", categories=("NA", *GRADES)),
-)
 # Channels per group of the series files.
 CHANNEL_GROUPS = {
     "CBC": 24,
@@ -163,6 +139,11 @@ def check_day_grid(
              F.array_min("_gaps").alias("first_gap"))
 
 
+def with_position(lines: DataFrame, file: str, line: str) -> DataFrame:
+    """``lines`` with ``position`` 0, 1, … within each file, in line order."""
+    return lines.withColumn("position", F.row_number().over(Window.partitionBy(file).orderBy(line)) - 1)
+
+
 def check_entity_count(df: DataFrame, expected: int, entity: str = "entity_id") -> DataFrame:
     found = df.select(entity).distinct().agg(F.count(F.lit(1)).alias("actual"))
     return found.select(
@@ -181,6 +162,8 @@ def _rule_issue(rule: Rule) -> Column:
         issue = F.when(value.isNull(), "type_error").when(
             ~value.between(rule.lo, rule.hi), "range_error"
         )
+        if rule.usual is not None:
+            issue = issue.when(~value.between(*rule.usual), "range_warning")
     elif rule.kind == "category":
         issue = F.when(~text.isin(*rule.categories), "categorical_error")
     elif rule.kind == "number_category":

@@ -18,28 +18,37 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daygrid.session import durable
+
 BUCKET = "_bucket"
 INF = float("inf")
 
 
+#: Keys that are looked at for each bucket, and the length of a text boundary.
+PER_BUCKET, BOUNDARY = 16, 64
+
+
 def default_buckets(df: DataFrame) -> int:
-    return max(8, min(4096, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def numeric_cuts(df: DataFrame, key: str, buckets: int | None = None) -> list[float]:
-    """At most ``buckets`` - 1 cut points: one light job, a sketch per task.
+def _sampled(df: DataFrame, key: str, n: int) -> list:
+    """About PER_BUCKET keys per bucket, chosen by their hashes: a count and a filter,
+    no sketch to merge. That is for balance only; the sums are exact for any cuts."""
+    keys = df.select(F.col(key).alias("k")).where("k is not null")
+    share = min(1.0, PER_BUCKET * n / max(1, keys.count()))
+    chosen = keys.where(F.pmod(F.xxhash64("k"), F.lit(2**31)) <= int(share * 2**31))
+    return [r["k"] for r in chosen.distinct().collect()]
 
-    The sketches see one row in ten. That is for balance only: every row is later
-    put in the bucket its key belongs to, and the sums are exact for any cuts.
-    """
+
+def numeric_cuts(df: DataFrame, key: str, buckets: int | None = None) -> list[float]:
+    """At most ``buckets`` - 1 cut points over the distinct keys of ``df``."""
     n = buckets or default_buckets(df)
     if n <= 1:
         return []
-    steps = [i / n for i in range(1, n)]
-    row = df.select(F.col(key).cast("double").alias("k")).sample(0.1, 7).agg(
-        F.percentile_approx("k", steps, max(1000, 8 * n)).alias("cuts")
-    ).first()
-    return sorted(set(row["cuts"] or []))
+    values = sorted(_sampled(df.select(F.col(key).cast("double").alias("_c")).where("not isnan(_c)"), "_c", n))
+    step = max(1, -(-len(values) // n))
+    return values[step::step]
 
 
 def numeric_bucket(df: DataFrame, key: str, cuts: list[float]) -> DataFrame:
@@ -53,15 +62,10 @@ def numeric_bucket(df: DataFrame, key: str, cuts: list[float]) -> DataFrame:
 
 
 def text_cuts(df: DataFrame, key: str, buckets: int | None = None) -> list[str]:
-    """Cut points from a bounded sample of distinct texts: the smallest hashes, a
-    top-k rather than a sort of the data."""
-    n = min(128, buckets or default_buckets(df))
-    sample = (
-        df.select(F.col(key).alias("k")).where("k is not null").distinct()
-        .withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(16 * n)
-    )
-    values = sorted((r["k"] for r in sample.select("k").collect()), key=str.encode)
-    step = max(1, len(values) // n)
+    """The same for texts; a boundary is the beginning of a text."""
+    n = buckets or default_buckets(df)
+    values = sorted(set(_sampled(df.select(F.left(F.col(key), F.lit(BOUNDARY)).alias("_c")), "_c", n)), key=str.encode)
+    step = max(1, -(-len(values) // n))
     return values[step::step]
 
 
@@ -108,11 +112,12 @@ def running_sums(
     names = list(sums)
     source = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, order]]))
     combine = F.max if once else F.sum
-    keys = source.groupBy(*by, order).agg(*[combine(e).alias(n) for n, e in sums.items()])
+    # stored once: the cut points are taken where the work will be, on the distinct keys
+    keys = durable(source.groupBy(*by, order).agg(*[combine(e).alias(n) for n, e in sums.items()]), "keys")
     if text:
-        bucketed = text_bucket(keys, order, text_cuts(source, order, buckets))
+        bucketed = text_bucket(keys, order, text_cuts(keys, order, buckets))
     else:
-        bucketed = numeric_bucket(keys, order, numeric_cuts(source, order, buckets))
+        bucketed = numeric_bucket(keys, order, numeric_cuts(keys, order, buckets))
     direction = F.desc if descending else F.asc
     across = Window.partitionBy(*_group(by))
     earlier = across.orderBy(direction(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)

@@ -208,26 +208,14 @@ def carried_auc(series: DataFrame, lo: int, hi: int) -> DataFrame:
     return pairs.join(found, KEYS, "left").withColumn("auc", F.coalesce("auc", F.lit(0.0)))
 
 
-def day_mask(lo: int, hi: int) -> Column:
-    """Bit set of the observed days of the window (at most 62 days)."""
-    if hi - lo > 61:
-        raise ValueError("a day mask holds at most 62 days")
-    bit = F.expr(f"shiftleft(1L, cast({DAY} - ({lo}) as int))")
-    return F.coalesce(F.bit_or(F.when(F.col(VALUE).isNotNull(), bit)), F.lit(0))
-
-
 def intensity(series: DataFrame, lo: int, hi: int) -> DataFrame:
     """Per entity: non-missing cells and days with any measurement in the window.
 
-    Distinct days are bits of a mask, so one partial aggregate does it.
+    A set of days holds no more than the window does, in partial aggregates too.
     """
-    inside = in_window(series, lo, hi)
-    if hi - lo <= 61:
-        days = F.bit_count(day_mask(lo, hi))
-    else:
-        days = F.count_distinct(F.when(F.col(VALUE).isNotNull(), F.col(DAY)))
-    return inside.groupBy(ENTITY).agg(
-        F.count(VALUE).alias("total_nonmiss"), days.cast("long").alias("days_with_any")
+    day = F.when(F.col(VALUE).isNotNull(), F.col(DAY))
+    return in_window(series, lo, hi).groupBy(ENTITY).agg(
+        F.count(VALUE).alias("total_nonmiss"), F.size(F.collect_set(day)).cast("long").alias("days_with_any")
     )
 
 

@@ -24,7 +24,8 @@ def shuffle_key(entity: str, seed: int) -> Column:
 
 
 def _stratum(label: str | None) -> Column:
-    return F.coalesce(F.col(label).cast("string"), F.lit("")) if label else F.lit("all")
+    """A name per label; null has one of its own, which no text can take."""
+    return F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("null")) if label else F.lit("all")
 
 
 def members_of(entities: DataFrame, entity: str, label: str | None, seed: int) -> DataFrame:

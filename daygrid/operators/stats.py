@@ -60,7 +60,8 @@ def t_test(df: DataFrame, variables: Sequence[str], group: str, levels: Sequence
 
 
 def mann_whitney(df: DataFrame, variables: Sequence[str], group: str, levels: Sequence) -> DataFrame:
-    """Two-sided Mann-Whitney U with tie and continuity correction."""
+    """Two-sided Mann-Whitney U with tie and continuity correction; z and p are null where
+    they are undefined (one row, or all values equal)."""
     long = melted(_two_groups(df, group, levels), variables, "double", keep=["_g"])
     run = running_sums(
         long, ["variable"], "value",
@@ -75,12 +76,13 @@ def mann_whitney(df: DataFrame, variables: Sequence[str], group: str, levels: Se
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
     z = F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, sigma)
     out = sums.select(
         "variable", F.lit("mann_whitney").alias("test"), u.alias("statistic"), z.alias("z")
     )
-    return out.withColumn("p_value", F.least(F.lit(1.0), F.when(F.col("z") > 0, normal_p("z")).otherwise(1.0)))
+    upper = F.least(F.lit(1.0), F.when(F.col("z") > 0, normal_p("z")).otherwise(1.0))
+    return out.withColumn("p_value", F.when(F.col("z").isNotNull(), upper))
 
 
 def chi_square(

@@ -81,8 +81,8 @@ class Tables:
 
     @cached_property
     def channels(self) -> list[str]:
-        rows = self.events.select("event_type").distinct().orderBy("event_type").limit(1000)
-        return [r[0] for r in rows.collect()]
+        """All channels: the width of the wide tables."""
+        return sorted(r[0] for r in self.events.select("event_type").distinct().collect() if r[0] is not None)
 
     @cached_property
     def static(self) -> DataFrame:

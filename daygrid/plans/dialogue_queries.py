@@ -90,7 +90,7 @@ def contents_tables(t):
     || chr(10) || CASE WHEN NOT contains(text, '```') AND (({MARKERS}) >= 3 OR length(text) - length(replace(text, chr(10), '')) > 10)
                        THEN '```python' || chr(10) || text || chr(10) || '```' ELSE text END || chr(10)
   FROM rounds WHERE role IN ('user', 'assistant'))
-SELECT conv_id, CAST(0 AS INTEGER) AS part, string_agg(block, chr(10) ORDER BY section, place) AS markdown FROM blocks GROUP BY 1""",
+SELECT * FROM blocks""",
        ROUNDS + "," + TOC)
 def conversation_documents(t):
-    return D.render_documents(t.conversations, reply="assistant")
+    return D.document_blocks(t.conversations, reply="assistant")

@@ -153,26 +153,25 @@ def fold_summary(t):
 
 
 @query("best_models", "K3", sql(CURVE, AREAS, """
-SELECT model, auc FROM areas WHERE split = 'test' ORDER BY auc DESC, model LIMIT 1"""), SCORES, "auc")
+SELECT model, auc FROM areas WHERE split = 'test' ORDER BY auc DESC, model LIMIT 2"""), SCORES, "auc")
 def best_models(t):
-    return E.best_models(E.auc(t.scores.where("split = 'test'"), ["model"]), "auc", 1)
+    return E.best_models(E.auc(t.scores.where("split = 'test'"), ["model"]), "auc", 2)
 
 
 @query("predictions", "S9", """
-SELECT id, y AS label, score AS probability, CAST(score >= 0.5 AS INTEGER) AS prediction FROM scores WHERE model = 'size'""",
+SELECT id, y AS label, score AS probability, CAST(score >= 0.5 AS INTEGER) AS prediction FROM scores""",
        SCORES, "probability")
 def predictions(t):
     path = fresh_path(t.spark, "predictions")
-    write_predictions(t.scores.where("model = 'size'"), path, "id", fmt="parquet")
+    write_predictions(t.scores, path, "id", fmt="parquet")
     return t.spark.read.parquet(path)
 
 
-BOOT = """
-, drawn AS (SELECT b, score, y, (u > 0.36787944117144233::DOUBLE)::INT + (u > 0.7357588823428847::DOUBLE)::INT + (u > 0.9196986029286058::DOUBLE)::INT
-              + (u > 0.9810118431238462::DOUBLE)::INT + (u > 0.9963401531726563::DOUBLE)::INT + (u > 0.9994058151824183::DOUBLE)::INT
-              + (u > 0.9999167588507119::DOUBLE)::INT + (u > 0.9999897508033253::DOUBLE)::INT AS w
+STEPS = " + ".join(f"(u > {s!r}::DOUBLE)::INT" for s in E.poisson_steps())
+BOOT = f"""
+, drawn AS (SELECT b, score, y, {STEPS} AS w
             FROM (SELECT b, score, y, CAST(('0x' || substr(md5(concat('42-', id, '-', b)), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496 AS u
-                  FROM scores, (SELECT unnest(generate_series(1, 40)) AS b) AS r WHERE model = 'size') AS x),
+                  FROM scores, (SELECT unnest(generate_series(1, 1000)) AS b) AS r WHERE model = 'size') AS x),
 """
 
 
@@ -181,7 +180,7 @@ v AS (SELECT b, sum(w * pow(score - y, 2)) / sum(w) AS value FROM drawn GROUP BY
 SELECT avg(value) AS mean, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper, count(value) AS n_replicates FROM v""",
        SCORES, "mean lower upper")
 def bootstrap_brier(t):
-    return E.bootstrap_ci(t.scores.where("model = 'size'"), "id", "brier", 40)
+    return E.bootstrap_ci(t.scores.where("model = 'size'"), "id", "brier")
 
 
 @query("bootstrap_auc", "T12", BOOT + """
@@ -191,7 +190,7 @@ v AS (SELECT b, sum(neg * (cp - pos / CAST(2 AS DOUBLE))) / (sum(pos) * CAST(sum
 SELECT avg(value) AS mean, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper, count(value) AS n_replicates FROM v""",
        SCORES, "mean lower upper")
 def bootstrap_auc(t):
-    return E.bootstrap_ci(t.scores.where("model = 'size'"), "id", "auc", 40)
+    return E.bootstrap_ci(t.scores.where("model = 'size'"), "id", "auc")
 
 
 @query("thresholded_counts", "J10", """
@@ -201,3 +200,11 @@ def thresholded_counts(t):
     cuts = [i / 10 for i in range(1, 10)]
     counted = E.cut_counts(t.scores, ["model"], cuts)
     return counted.select("model", "threshold", (F.col("pos_above") + F.col("neg_above")).alias("n_above"))
+
+
+@query("calibration_with_gaps", "E6", """
+, g AS (SELECT model, y, CASE WHEN id % 7 = 0 THEN NULL ELSE score END AS score FROM scores)
+SELECT model, CAST(greatest(1, least(10, ceil(score * 10))) AS INTEGER) AS bin, count(*) AS n, avg(y) AS prob_true, avg(score) AS prob_pred
+FROM g WHERE score IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2""", SCORES, "prob_true prob_pred")
+def calibration_with_gaps(t):
+    return E.calibration(t.scores.withColumn("score", F.when(F.col("id") % 7 != 0, F.col("score"))), ["model"])

@@ -21,11 +21,11 @@ def series_features(
     """
     rows = S.in_window(series, lo, hi).repartition(S.ENTITY)
     per_entity = Window.partitionBy(S.ENTITY)
-    day = F.when(F.col(S.VALUE).isNotNull(), F.expr(f"shiftleft(1L, cast(day - ({lo}) as int))"))
+    day = F.when(F.col(S.VALUE).isNotNull(), F.col(S.DAY))  # at most one per day of the window
     metered = rows.withColumns(
         {
             "total_nonmiss": F.count(S.VALUE).over(per_entity),
-            "days_with_any": F.bit_count(F.coalesce(F.bit_or(day).over(per_entity), F.lit(0))).cast("long"),
+            "days_with_any": F.size(F.collect_set(day).over(per_entity)).cast("long"),
         }
     )
     keep = ["total_nonmiss", "days_with_any"]

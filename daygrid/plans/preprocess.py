@@ -2,65 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrid.functions import recode as R
 from daygrid.functions.recode import number
 from daygrid.operators import columns as C
 from daygrid.operators import quality as Q
+from daygrid.session import durable
 from daygrid.sources import readers
 
-# How each raw column is recoded, in table order.
-STATIC_RECODING = {
-    "Sex": lambda c: R.recode(c, R.SEX),
-    "Disease": R.disease_group,
-    "Bone marrow cellularity": lambda c: R.recode(c, R.CELLULARITY),
-    "extramedullary mass": lambda c: R.recode(c, R.PRESENT),
-    "extranodal involvement": R.extranodal_level,
-    "B symptoms": lambda c: R.recode(c, R.PRESENT),
-    "Ann Arbor stage": lambda c: R.recode(c, R.STAGE),
-    "Number of prior therapy lines": R.therapy_line_level,
-    "Prior hematopoietic stem cell": lambda c: R.recode(c, R.PRIOR_HSCT),
-    "Prior CAR-T therapy": lambda c: R.recode(c, R.PRESENT),
-    "Bridging therapy": lambda c: R.recode(c, R.PRESENT),
-    "CAR-T therapy following auto-HSCT": lambda c: R.recode(c, R.YES_NO),
-    "Costimulatory molecule": lambda c: R.recode(c, R.COSTIMULATORY),
-    "Type of construct(tandem/single target)": lambda c: R.recode(c, R.CONSTRUCT),
-    "CAR-T cell infusion date": R.normalize_date,
-    "CRS grade": R.grade_to_int,
-    "ICANS grade": R.grade_to_int,
-    "Early ICAHT grade": R.grade_to_int,
-    "Late ICAHT grade": R.grade_to_int,
-    "Infection grade": R.grade_to_int,
-}
-INTEGER_COLUMNS = (
-    "Sex", "BMC", "EM", "EI", "B_symptoms", "AAS", "NL", "PCT", "BT", "CTFA",
-    "CRS", "ICANS", "E_ICAHT", "L_ICAHT", "Infection",
-)
-
-
-def recode_static(raw: DataFrame) -> DataFrame:
+Recoding = Mapping[str, Callable[[Column], Column]]
+
+
+def recode_static(raw: DataFrame, recoding: Recoding) -> DataFrame:
     """Recoded text columns; columns a table lacks are passed over. "NA" becomes null."""
     missing = [c for c in raw.columns if raw.schema[c].dataType.simpleString() == "string"]
     clean = raw.withColumns(
         {c: F.when(~F.trim(F.col(C.q(c))).isin(*readers.MISSING_TEXTS), F.col(C.q(c))) for c in missing}
     )
-    return clean.withColumns(
-        {c: rule(F.col(C.q(c))) for c, rule in STATIC_RECODING.items() if c in raw.columns}
-    )
+    return clean.withColumns({c: rule(F.col(C.q(c))) for c, rule in recoding.items() if c in raw.columns})
 
 
-def standardize_static(raw: DataFrame) -> DataFrame:
-    """Recoded, renamed and typed static table: one projection over the raw one."""
-    named = C.rename_columns(recode_static(raw))
-    typed = C.cast_nullable_int(named, [c for c in ("ID", "Age", *INTEGER_COLUMNS) if c in named.columns])
-    if "BMDB" in named.columns:
-        typed = typed.withColumn("BMDB", number(F.col("BMDB")))
-    return typed
+def standardize_static(
+    raw: DataFrame, recoding: Recoding, names: Mapping[str, str], integers: Sequence[str] = (), numbers: Sequence[str] = (),
+) -> DataFrame:
+    """Recoded, renamed and typed static table: one projection over the raw one.
+
+    ``recoding`` maps raw columns to the functions that recode them, ``names`` raw to new
+    names; ``integers`` and ``numbers`` are new names.
+    """
+    named = C.rename_columns(recode_static(raw, recoding), names)
+    typed = C.cast_nullable_int(named, [c for c in integers if c in named.columns])
+    return typed.withColumns({c: number(F.col(C.q(c))) for c in numbers if c in named.columns})
 
 
 @dataclass
@@ -90,9 +66,8 @@ def validate_series(
     )
     counts = Q.check_counts(files, len(expected), lo, hi, rows_with_header or hi - lo + 2)
     bad = Q.check_cells(cells)
-    days = Q.check_day_grid(
-        lines.select("file", number(F.col("cells")[0]).try_cast("int").alias("day")), lo, hi, entity="file"
-    )
+    placed = Q.with_position(lines.select("file", "line", number(F.col("cells")[0]).try_cast("int").alias("day")), "file", "line")
+    days = Q.check_day_grid(placed, lo, hi, entity="file", position="position")
     found = Q.union_findings(
         columns.select("file", "severity"), counts.select("file", "severity"),
         bad.select("file", F.lit("error").alias("severity")),
@@ -101,11 +76,25 @@ def validate_series(
     return SeriesReport(columns, counts, bad, days, Q.file_verdicts(files, found))
 
 
+def validate_and_process(
+    spark: SparkSession, path: str, expected: Sequence[str], lo: int = -15, hi: int = 30, entity: str = "stem", **options,
+) -> tuple[SeriesReport, DataFrame]:
+    """Validate the series files of a folder and process those that are valid.
+
+    Fails if no file is valid; the report says why.
+    """
+    report = validate_series(durable(readers.read_series_lines(spark, path, entity), "lines"), expected, lo, hi)
+    if not Q.any_valid(report.verdicts):
+        raise ValueError(f"no valid series file in {path}")
+    return report, process_series(spark, path, entity=entity, valid=report.verdicts.where("valid"), **options)
+
+
 def process_series(
     spark: SparkSession, path: str, drop: Mapping[str, Iterable[int]] | None = None,
-    renumber: Sequence[str] = ("CBC", "Biochemistry", "Coagulation"), entity: str = "stem",
+    renumber: Sequence[str] = (), entity: str = "stem", valid: DataFrame | None = None,
 ) -> DataFrame:
-    """Series files as a long table without the dropped channels, numbering closed up."""
-    series = readers.read_series_dir(spark, path, entity)
+    """Series files as a long table without the dropped channels, numbering closed up.
+    ``valid``, if given, names the files (``file``) to take."""
+    series = readers.read_series_dir(spark, path, entity, valid)
     kept = C.drop_channels(series, C.indexed_names(drop)) if drop else series
     return C.rename_channels(kept, C.renumber_channels(kept, renumber)) if renumber else kept

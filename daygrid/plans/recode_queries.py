@@ -159,7 +159,7 @@ def renamed_columns(t):
     named = t.customer.select("c_custkey", "c_acctbal", "c_mktsegment", "c_name").toDF(
         "ID", "BM disease burden", "Ann Arbor stage", "full name"
     )
-    return C.rename_columns(named)
+    return C.rename_columns(named, {"BM disease burden": "BMDB", "Ann Arbor stage": "AAS"})
 
 
 @query("renumbered_channels", "P2 P3", """

@@ -9,7 +9,7 @@ from daygrid.operators import series as S
 from daygrid.operators.columns import drop_unmeasured
 from daygrid.operators.cohort import left_features
 from daygrid.plans.bindings import HI, LO, SERIES, STATIC
-from daygrid.plans.feature_table import feature_table
+from daygrid.plans.feature_table import feature_table, series_features
 from daygrid.plans.registry import query
 
 WINDOW = """
@@ -103,6 +103,14 @@ def measurement_intensity(t):
     return drop_unmeasured(S.intensity(t.series, -15, 2))
 
 
+@query("measurement_intensity_of_100_days", "A18", """
+SELECT entity_id, count(value) AS total_nonmiss, count(DISTINCT CASE WHEN value IS NOT NULL THEN day END) AS days_with_any
+FROM series WHERE day BETWEEN -50 AND 49 GROUP BY 1""", SERIES)
+def measurement_intensity_of_100_days(t):
+    wide = series_features(t.series, t.channels, ["count"], -50, 49).select("entity_id", "total_nonmiss", "days_with_any")
+    return wide.join(S.intensity(t.series, -50, 49), ["entity_id", "total_nonmiss", "days_with_any"])
+
+
 @query("baseline_last_observation", "J7a W1", """
 SELECT * FROM (
   SELECT entity_id, 0 - max(day) AS baseline_gap_days,
@@ -122,14 +130,16 @@ def baseline_last_observation(t):
 
 @query("last_row_before_cutoff", "J7b", """
 , wide AS (SELECT entity_id, day,
-           max(CASE WHEN channel = 'click' THEN value END) AS click,
+           max(CASE WHEN channel = 'click' THEN value END) AS click, max(CASE WHEN channel = 'error' THEN value END) AS error,
+           max(CASE WHEN channel = 'purchase' THEN value END) AS purchase, max(CASE WHEN channel = 'signup' THEN value END) AS signup,
            max(CASE WHEN channel = 'view' THEN value END) AS view
            FROM series GROUP BY 1, 2)
-SELECT entity_id, click AS baseline_click, view AS baseline_view, 0 - day AS baseline_gap_days
+SELECT entity_id, click AS baseline_click, error AS baseline_error, purchase AS baseline_purchase, signup AS baseline_signup,
+       view AS baseline_view, 0 - day AS baseline_gap_days
 FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY day DESC) AS r FROM wide WHERE day < 0) AS x
-WHERE r = 1""", SERIES, "baseline_click baseline_view")
+WHERE r = 1""", SERIES, "baseline_click baseline_error baseline_purchase baseline_signup baseline_view")
 def last_row_before_cutoff(t):
-    return S.last_row_before(S.to_wide(t.series, ["click", "view"]), 0)
+    return S.last_row_before(S.to_wide(t.series, t.channels), 0)
 
 
 @query("two_window_features", "A19", """
@@ -170,21 +180,22 @@ def feature_table_query(t):
     return feature_table(t.static, t.series, t.channels, FEATURE_STATS, -15, 2)
 
 
+TWO_MEANS = [f"""avg(CASE WHEN channel = '{c}' AND "window" = '{w}' THEN value END) AS {c}_{w}_mean"""
+             for c in ("click", "error", "purchase", "signup", "view") for w in ("baseline", "early_post")]
+
+
 @query("two_window_pivot", "A19 J2", """
 , tagged AS (SELECT *, CASE WHEN day BETWEEN -15 AND -1 THEN 'baseline' ELSE 'early_post' END AS "window"
              FROM series WHERE day BETWEEN -15 AND 7 AND value IS NOT NULL)
-SELECT s.entity_id, s.segment, p.click_baseline_mean, p.click_early_post_mean FROM static s JOIN (
-  SELECT entity_id,
-         avg(CASE WHEN channel = 'click' AND "window" = 'baseline' THEN value END) AS click_baseline_mean,
-         avg(CASE WHEN channel = 'click' AND "window" = 'early_post' THEN value END) AS click_early_post_mean
+SELECT s.entity_id, s.segment, p.* EXCLUDE (entity_id) FROM static s JOIN (
+  SELECT entity_id, """ + ", ".join(TWO_MEANS) + """
   FROM tagged GROUP BY 1) AS p ON p.entity_id = s.entity_id""", SERIES + "," + STATIC,
-       "click_baseline_mean click_early_post_mean")
+       [m.split(" AS ")[1] for m in TWO_MEANS])
 def two_window_pivot(t):
     names = {"baseline": (-15, -1), "early_post": (0, 7)}
     f = S.multi_window_features(t.series, names)
     wide = S.pivot_features(f, t.channels, ["mean"], "window", list(names))
-    kept = wide.select("entity_id", "click_baseline_mean", "click_early_post_mean")
-    return t.static.select("entity_id", "segment").join(kept, "entity_id")
+    return t.static.select("entity_id", "segment").join(wide, "entity_id")
 
 
 @query("availability", "A10 J9", """
@@ -232,13 +243,15 @@ def variable_monitor(t):
 @query("variable_monitor_summary", "V11", """
 , has AS (SELECT v.variable, e.entity_id,
                  max(CASE WHEN s.channel = v.variable AND s.value IS NOT NULL THEN 1 ELSE 0 END) AS hit
-          FROM (VALUES ('click'), ('error')) AS v(variable)
+          FROM (SELECT DISTINCT channel AS variable FROM series) AS v
           CROSS JOIN (SELECT DISTINCT entity_id FROM series) AS e
           LEFT JOIN series s ON s.entity_id = e.entity_id AND s.day BETWEEN -15 AND 0 GROUP BY 1, 2)
-SELECT variable, count(*) AS n_entities, count(*) FILTER (WHERE hit = 0) AS n_empty FROM has GROUP BY 1""", SERIES)
+SELECT variable, count(*) AS n_entities, count(*) FILTER (WHERE hit = 0) AS n_empty, CAST(0 AS BIGINT) AS n_no_file,
+       count(*) FILTER (WHERE hit = 0 AND NOT seen) AS n_no_window, count(*) FILTER (WHERE hit = 0 AND seen) AS n_nan
+FROM has JOIN (SELECT entity_id, bool_or(day BETWEEN -15 AND 0) AS seen FROM series GROUP BY 1) AS w USING (entity_id) GROUP BY 1""", SERIES)
 def variable_monitor_summary(t):
-    found = quality.monitor_variables(t.series.select("entity_id").distinct(), t.series, ["click", "error"], -15, 0)
-    return quality.monitor_summary(found).select("variable", "n_entities", "n_empty")
+    found = quality.monitor_variables(t.series.select("entity_id").distinct(), t.series, t.channels, -15, 0)
+    return quality.monitor_summary(found)
 
 
 @query("day_grid_check", "V4", """
@@ -251,6 +264,23 @@ def day_grid_check(t):
     return quality.check_day_grid(t.series.select("entity_id", "day").distinct(), LO, HI)
 
 
+@query("day_order_check", "V4", """
+, lines AS (SELECT user_id AS entity_id, CAST(date_diff('day', DATE '2024-01-16', CAST(ts AS DATE)) AS INTEGER) AS day, max(event_id) AS line
+            FROM events GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY line) - 1 AS position FROM lines)
+SELECT entity_id, count(*) AS n_rows, count(*) FILTER (WHERE day BETWEEN -15 AND 14) AS n_days,
+       count(*) FILTER (WHERE day NOT BETWEEN -15 AND 14) AS n_outside, count(*) FILTER (WHERE day <> position - 15) AS n_misplaced,
+       (SELECT min(g.d) FROM (SELECT CAST(unnest(generate_series(-15, 14)) AS INTEGER) AS d) AS g
+        WHERE g.d NOT IN (SELECT l.day FROM lines l WHERE l.entity_id = placed.entity_id)) AS first_gap
+FROM placed GROUP BY 1
+HAVING count(*) <> 30 OR count(*) FILTER (WHERE day BETWEEN -15 AND 14) <> 30 OR count(*) FILTER (WHERE day <> position - 15) > 0""",
+       "none AS (SELECT 1)")
+def day_order_check(t):
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-16").cast("date")).alias("day")
+    lines = t.events.groupBy(F.col("user_id").alias("entity_id"), day).agg(F.max("event_id").alias("line"))
+    return quality.check_day_grid(quality.with_position(lines, "entity_id", "line"), LO, HI, position="position")
+
+
 @query("partwise_features", "J5", """
 SELECT s.entity_id, s.segment, max(x.day) AS last_day, count(x.day) = 0 AS no_series
 FROM static s LEFT JOIN series x ON x.entity_id = s.entity_id GROUP BY 1, 2""", SERIES + "," + STATIC)

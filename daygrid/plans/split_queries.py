@@ -69,3 +69,13 @@ def quartiles(t):
 @query("fold_sizes", "W6 A3", "SELECT fold, y, count(*) AS n FROM folds GROUP BY 1, 2", FOLDS)
 def fold_sizes(t):
     return t.folds.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("folds_with_missing_labels", "W5 W6 W7", """
+, m AS (SELECT id, CASE WHEN id % 11 = 0 THEN NULL WHEN id % 11 = 1 THEN '' ELSE CAST(y AS VARCHAR) END AS label FROM folds),
+o AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY label) AS n, CAST(ntile(4) OVER w AS INTEGER) AS fold
+      FROM m WINDOW w AS (PARTITION BY label ORDER BY md5(concat('5-', id))))
+SELECT id, label, CASE WHEN r <= round(n * CAST(0.25 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split, fold FROM o""", FOLDS)
+def folds_with_missing_labels(t):
+    text = F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 11 == 1, "").otherwise(F.col("y").cast("string"))
+    return splits.assign(t.members.select("id", text.alias("label")), "id", "label", test_share=0.25, k=4, seed=5)

@@ -54,8 +54,11 @@ def read_static_raw(spark: SparkSession, path: str, blanks: bool = True) -> Data
 
 def _cells(line: Column) -> Column:
     """Split a CSV line at commas outside quotes and unquote the cells."""
-    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(parts, lambda c: F.regexp_replace(F.trim(c), r'^"|"$', ""))
+    # outside quotes a comma becomes a separator: parts between quotes alternate
+    by_quote = F.split(line, '"')
+    marked = F.transform(by_quote, lambda p, i: F.when(i % 2 == 0, F.replace(p, F.lit(","), F.lit("\x1f"))).otherwise(p))
+    cells = F.split(F.array_join(marked, '"'), "\x1f")
+    return F.transform(cells, lambda c: F.regexp_replace(F.trim(c), r'^"|"$', ""))
 
 
 def read_series_lines(spark: SparkSession, path: str, entity: str = "stem") -> DataFrame:
@@ -80,13 +83,12 @@ def read_series_lines(spark: SparkSession, path: str, entity: str = "stem") -> D
     name = F.regexp_extract("file", pattern, 1)
     named = lines.withColumn("entity_id", name.try_cast("long")).where(F.col("entity_id").isNotNull())
     # only the first split of a file can hold its header: one row per file remains
+    # and its header is split once
     headers = named.where("line.start = 0").groupBy("file").agg(
         F.min_by("value", "line").alias("_header"), F.min("line").alias("_first")
-    )
+    ).select("file", "_first", _cells(F.col("_header")).alias("header"))
     body = named.join(headers, "file").where(F.col("line") > F.col("_first"))
-    return body.select(
-        "entity_id", "file", "line", _cells(F.col("_header")).alias("header"), _cells(F.col("value")).alias("cells")
-    )
+    return body.select("entity_id", "file", "line", "header", _cells(F.col("value")).alias("cells"))
 
 
 def series_cells(lines: DataFrame) -> DataFrame:
@@ -101,12 +103,14 @@ def series_cells(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_series_dir(spark: SparkSession, path: str, entity: str = "stem") -> DataFrame:
+def read_series_dir(spark: SparkSession, path: str, entity: str = "stem", only: DataFrame | None = None) -> DataFrame:
     """Directory of per-entity CSV files as (entity_id, day, channel, value).
 
-    Unparseable cells become null; lines with an unparseable day are dropped.
+    Unparseable cells become null; lines with an unparseable day are dropped. ``only``
+    names the files (``file``) to take; by default all are.
     """
-    cells = series_cells(read_series_lines(spark, path, entity))
+    lines = read_series_lines(spark, path, entity)
+    cells = series_cells(lines if only is None else lines.join(only.select("file"), "file", "left_semi"))
     day = number(F.col("raw_day")).try_cast("int")
     return cells.select("entity_id", day.alias("day"), "channel", number(F.col("raw")).alias("value")).where(
         F.col("day").isNotNull()

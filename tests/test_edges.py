@@ -1,5 +1,7 @@
 """Edge rows: nulls, single points, ties, one class, empty windows, missing files, duplicates."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,20 +183,65 @@ def test_level_ratio_without_second(spark):
     assert profile.level_ratio(df, "sex", "male", "female").first()["ratio"] is None
 
 
-@pytest.mark.parametrize("exact_rows", [5000, 0])
-def test_smote_balances_inside_the_minority(spark, exact_rows):
-    rows = [(i, 0, float(i), float(i % 5)) for i in range(60)] + [(100 + i, 1, 10.0 + i, 2.0) for i in range(9)]
-    df = spark.createDataFrame(rows, "id int, y int, a double, b double")
-    made = prep.smote(df, "id", "y", ["a", "b"], k=3, exact_rows=exact_rows).collect()
-    assert len(made) == 51
+def test_smote_balances_inside_the_minority(spark):
+    rows = [(f"k{i}", 0, float(i), float(i % 5)) for i in range(60)] + [(f"m{i}", 1, 10.0 + i, 2.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "id string, y int, a double, b double")
+    made = prep.smote(df, "id", "y", ["a", "b"], k=3).collect()
+    assert len(made) == 51 and all(r["id"] is None for r in made)
     assert all(r["b"] == 2.0 and 10.0 <= r["a"] <= 18.0 for r in made)
     uses = {}
     for r in made:
-        uses[r["id"]] = uses.get(r["id"], 0) + 1
-        assert abs(r["a"] - (r["id"] - 90)) <= 3.0
+        uses[r["source"]] = uses.get(r["source"], 0) + 1
+        assert abs(r["a"] - (int(r["source"][1:]) + 10)) <= 3.0
     assert set(uses.values()) == {5, 6}
 
 
+def test_smote_ignores_layout(spark):
+    rows = [(i, int(i % 9 == 0), float(i * 7919 % 1000), float(i * 104729 % 997)) for i in range(2000)] + [(9000 + i, 1, 5.0, 5.0) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double")
+    seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (4, 32):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            seen.append(sorted(map(tuple, prep.smote(df.repartition(parts), "id", "y", ["a", "b"]).select("source", "a", "b").collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] and len(seen[0]) == sum(1 if r[1] == 0 else -1 for r in rows)
+
+
+def test_mann_whitney_without_spread(spark):
+    df = spark.createDataFrame([(1, 3.0, 1.0), (2, 3.0, None), (1, 3.0, None)], "g int, flat double, lone double")
+    got = {r["variable"]: (r["z"], r["p_value"]) for r in stats.mann_whitney(df, ["flat", "lone"], "g", [1, 2]).collect()}
+    assert got == {"flat": (None, None), "lone": (None, None)}
+    assert stats.compare(df, ["flat"], "g", [1, 2]).count() == 1
+
+
+def test_calibration_leaves_out_missing(spark):
+    df = spark.createDataFrame([(1, 0.95), (0, None), (None, 0.95)], "y int, score double")
+    assert [tuple(r) for r in evaluate.calibration(df, []).collect()] == [(10, 1, 1.0, 0.95)]
+
+
+def test_fisher_of_large_tables():
+    from daygrid.functions.pvalues import fisher_two_sided
+
+    def choose(n, k):
+        return math.comb(n, k)
+
+    for a, b, c, d in [(3, 1, 1, 3), (10, 2, 3, 15), (0, 5, 5, 0), (0, 0, 3, 4), (12, 7, 0, 9)]:
+        row, col, n = a + b, a + c, a + b + c + d
+        p = {k: choose(col, k) * choose(n - col, row - k) for k in range(max(0, row + col - n), min(row, col) + 1)}
+        want = sum(v for v in p.values() if v <= p[a] * (1 + 1e-7)) / sum(p.values())
+        assert abs(fisher_two_sided(a, b, c, d) - want) < 1e-9
+    big = 10**9
+    assert abs(fisher_two_sided(big, big, big, big) - 1) < 1e-6
+    assert 0 < fisher_two_sided(big, big, big + 10**5, big) < 1
+
+
+def test_bootstrap_weights_have_no_cap():
+    steps = evaluate.poisson_steps()
+    assert len(steps) > 15 and steps == sorted(steps) and 1 - steps[-1] < 1e-15
+
+
 def turn(role, text):
     return f'types.Content(\n role="{role}",\n parts=[types.Part.from_text(text="""{text}"""),],\n),'
 
@@ -208,16 +255,17 @@ def test_turn_extraction(spark):
     assert meta["f"][0] == "m-1" and meta["none"] == (None, None, 1)
 
 
-def test_rounds_contents_and_parts(spark):
+def test_rounds_contents_and_documents(spark, tmp_path):
     roles = ["model", "user", "model", "model", "system", "model", "user", "user", "model", "user"]
     turns = spark.createDataFrame([(1, i, r, f"text {i}") for i, r in enumerate(roles)], "conv_id int, turn int, role string, text string")
     got = [(r["round"], r["is_lone_reply"]) for r in dialogue.with_rounds(turns).orderBy("turn").collect()]
     assert got == [(1, True), (2, False), (2, False), (3, True), (None, False), (4, True), (5, False), (6, False), (6, False), (7, False)]
     assert dialogue.contents_table(turns).count() == 4
-    whole = dialogue.render_documents(turns).collect()
-    assert len(whole) == 1 and whole[0]["part"] == 0
-    parts = dialogue.render_documents(turns, blocks_per_part=3).orderBy("part").collect()
-    assert len(parts) > 2 and "\n".join(p["markdown"] for p in parts) == whole[0]["markdown"]
+    blocks = dialogue.document_blocks(turns)
+    dialogue.write_documents(blocks, str(tmp_path / "docs"))
+    text = "\n".join(p.read_text() for p in sorted((tmp_path / "docs" / "conv_id=1").glob("part-*")))
+    ordered = [r["block"] for r in blocks.orderBy("section", "place").collect()]
+    assert text == "\n".join(ordered) + "\n" and len(ordered) == 14
 
 
 def test_code_detection(spark):

@@ -3,64 +3,77 @@
 import pytest
 from pyspark.sql import functions as F
 
+from daygrid.functions import recode as R
 from daygrid.operators import profile, quality
-from daygrid.plans.preprocess import process_series, standardize_static, validate_series
+from daygrid.plans.preprocess import process_series, standardize_static, validate_and_process, validate_series
 from daygrid.session import durable
 from daygrid.sources import readers, writers
 
-HEADER = (
-    "ID,Age,Sex,Disease,BM disease burden,Bone marrow cellularity,extramedullary mass,extranodal involvement,"
-    "B symptoms,Ann Arbor stage,Number of prior therapy lines,Prior hematopoietic stem cell,Prior CAR-T therapy,"
-    "Bridging therapy,CAR-T therapy following auto-HSCT,Costimulatory molecule,Type of construct(tandem/single target),"
-    "CAR-T cell infusion date,CRS grade,ICANS grade,Early ICAHT grade,Late ICAHT grade,Infection grade"
-)
+# An invented table: every value and its standard form were worked out by hand.
 RAW = """\
-1,58,male,DLBCL,57,明显活跃,无,1,无,IV,1,无,有,有,否,41BB+CD28,CD19+CD20 tandem,2024/5/20 0:00,0.0,0.0,1.0,0.0,0.0
-2,57,male,MCL,0,减低,无,2,无,I,3,自体,有,无,否,41BB,CD7 single target,2024/5/20 0:00,0.0,0.0,2.0,2.0,0.0
-3,46,male,FL转DLBCL,72.82,极度活跃,有,5,有,II,2,异体,有,有,是,41BB+CD28,single target cocktail,2024/6/2 0:00,0.0,0.0,2.0,NA,3
-4,35,female,B-ALL,0,活跃,无,0,无,III,8,异体,有,有,是,41BB+CD28,CD20/22,2024/6/24 0:00,1.0,0.0,3.0,3.0,3.0
-5,41,male,AITL,0.11,极度减低,有,6,有,NA,5,自体,有,无,否,41BB+CD28,CD19+CD22,2024/6/1 0:00,2.0,0.0,1.0,2.0,3.0"""
+ID,Years,Gender,Group,Load,Marrow,Mass,Outside,Stage,Lines,Earlier,Again,Molecule,Kind,Day,Grade,Late grade
+1,31,female,xALL,12.5,活跃,有,0,II,1,无,否,CD28,CD7 single target,2023/1/2 0:00,1.0,NA
+2,64,male,other,0,极度减低,无,5,NA,2,自体,是,41BB,CD19+CD22,2023-11-30,0,2
+3,50,male,,NA,明显活跃,无,1,IV,7,异体,否,41BB+CD28,single target cocktail,2023/12/31 8:05:09,5,3.0
+"""
+RECODING = {
+    "Gender": lambda c: R.recode(c, R.SEX), "Group": R.disease_group, "Marrow": lambda c: R.recode(c, R.CELLULARITY),
+    "Mass": lambda c: R.recode(c, R.PRESENT), "Outside": R.extranodal_level, "Stage": lambda c: R.recode(c, R.STAGE),
+    "Lines": R.therapy_line_level, "Earlier": lambda c: R.recode(c, R.PRIOR_HSCT), "Again": lambda c: R.recode(c, R.YES_NO),
+    "Molecule": lambda c: R.recode(c, R.COSTIMULATORY), "Kind": lambda c: R.recode(c, R.CONSTRUCT),
+    "Day": R.normalize_date, "Grade": R.grade_to_int, "Late grade": R.grade_to_int,
+}
+NAMES = {"Group": "Disease", "Load": "L"}
+INTEGERS = ["ID", "Years", "Gender", "Marrow", "Mass", "Outside", "Stage", "Lines", "Again", "Grade", "Late_grade"]
 STANDARD = [
-    (1, 58, 0, "B-NHL", 57.0, 3, 0, 1, 0, 4, 1, "HSCT_No_Prior", 1, 1, 0, "41BB+CD28", "Tandem", "2024-05-20", 0, 0, 1, 0, 0),
-    (2, 57, 0, "B-NHL", 0.0, 1, 0, 2, 0, 1, 3, "HSCT_Autologous", 1, 0, 0, "41BB", "Single", "2024-05-20", 0, 0, 2, 2, 0),
-    (3, 46, 0, "B-NHL", 72.82, 4, 1, 2, 1, 2, 2, "HSCT_Allogeneic", 1, 1, 1, "41BB+CD28", "Cocktail", "2024-06-02", 0, 0, 2, None, 3),
-    (4, 35, 1, "ALL", 0.0, 2, 0, 0, 0, 3, 4, "HSCT_Allogeneic", 1, 1, 1, "41BB+CD28", "Tandem", "2024-06-24", 1, 0, 3, 3, 3),
-    (5, 41, 0, "B-NHL", 0.11, 0, 1, 2, 1, None, 4, "HSCT_Autologous", 1, 0, 0, "41BB+CD28", "Tandem", "2024-06-01", 2, 0, 1, 2, 3),
+    (1, 31, 1, "ALL", 12.5, 2, 1, 0, 2, 1, "HSCT_No_Prior", 0, "CD28", "Single", "2023-01-02", 1, None),
+    (2, 64, 0, "B-NHL", 0.0, 0, 0, 2, None, 2, "HSCT_Autologous", 1, "41BB", "Tandem", "2023-11-30", 0, 2),
+    (3, 50, 0, None, None, 3, 0, 1, 4, 4, "HSCT_Allogeneic", 0, "41BB+CD28", "Cocktail", "2023-12-31", 5, 3),
+]
+RULES = [
+    quality.Rule("ID", "integer", 1, 10), quality.Rule("Years", "integer", 0, 120, usual=(18, 60)),
+    quality.Rule("Gender", "category", categories=("male", "female")), quality.Rule("Load", "float", 0, 100),
+    quality.Rule("Stage", "category", categories=("NA", "I", "II", "III", "IV")),
+    quality.Rule("Grade", "number_category", categories=("0", "1", "2", "3", "4")), quality.Rule("Day", "date"),
 ]
 
 
 @pytest.fixture()
 def raw_static(spark, tmp_path):
-    (tmp_path / "static.csv").write_text(HEADER + "\n" + RAW + "\n", encoding="utf-8")
+    (tmp_path / "static.csv").write_text(RAW, encoding="utf-8")
     return readers.read_static_raw(spark, str(tmp_path / "static.csv"))
 
 
+def standard(raw):
+    return standardize_static(raw, RECODING, NAMES, INTEGERS, ["L"])
+
+
 def test_static_chain(raw_static):
-    out = standardize_static(raw_static).orderBy("ID")
-    assert out.columns[4:12] == ["BMDB", "BMC", "EM", "EI", "B_symptoms", "AAS", "NL", "PHSC"]
+    out = standard(raw_static).orderBy("ID")
+    assert out.columns[3:6] == ["Disease", "L", "Marrow"] and out.columns[-1] == "Late_grade"
     assert [tuple(r) for r in out.collect()] == STANDARD
 
 
-def test_static_rules_accept_the_raw_table(raw_static):
-    assert quality.check_rules(raw_static, quality.STATIC_RULES, "ID").count() == 0
+def test_static_rules(raw_static):
+    found = {(r["row_id"], r["column"], r["issue"]) for r in quality.check_rules(raw_static, RULES, "ID").collect()}
+    assert found == {("2", "Years", "range_warning"), ("3", "Grade", "categorical_error"), ("3", "Load", "type_error")} or \
+        found == {("2", "Years", "range_warning"), ("3", "Grade", "categorical_error")}
     assert quality.check_id_continuity(raw_static, "ID").count() == 0
 
 
-def test_description_of_age_and_burden(raw_static):
-    table = standardize_static(raw_static)
-    got = {r["variable"]: r for r in profile.describe(table, ["Age", "BMDB"]).collect()}
-    assert round(got["Age"]["mean"], 1) == 47.4 and round(got["Age"]["std"], 1) == 10.0
-    assert round(got["BMDB"]["mean"], 2) == 25.99 and round(got["BMDB"]["std"], 2) == 35.97
-    assert got["Age"]["median"] == 46.0
+def test_description(raw_static):
+    got = {r["variable"]: r for r in profile.describe(standard(raw_static), ["Years", "L"]).collect()}
+    assert round(got["Years"]["mean"], 3) == 48.333 and got["Years"]["median"] == 50.0
+    assert got["L"]["mean"] == 6.25 and round(got["L"]["std"], 4) == 8.8388
 
 
 def test_partition_integrity(spark, raw_static):
-    table = standardize_static(raw_static)
+    table = standard(raw_static)
     series = spark.createDataFrame([(1,), (2,), (2,)], "ID long")
     rows = quality.check_partition_integrity(table, series, "Disease", ["ALL", "B-NHL"], "ID").collect()
-    assert {tuple(r) for r in rows} == {("ALL", 1, 0, 1), ("B-NHL", 4, 2, 2)}
+    assert {tuple(r) for r in rows} == {("ALL", 1, 1, 0), ("B-NHL", 1, 1, 0), ("other", 1, 0, 1)}
     missing = quality.with_series_flag(table, series, "ID").where("not has_series")
-    assert sorted(r["ID"] for r in missing.collect()) == [3, 4, 5]
+    assert [r["ID"] for r in missing.collect()] == [3]
 
 
 def test_unknown_group_counts_as_other(spark):
@@ -104,6 +117,22 @@ def test_series_validation(spark, tmp_path):
     assert not quality.any_valid(report.verdicts)
 
 
+def test_gate_and_day_order(spark, tmp_path):
+    folder = tmp_path / "g"
+    folder.mkdir()
+    (folder / "1.csv").write_text("day,A001\n0,1\n1,2\n2,3\n")
+    (folder / "2.csv").write_text("day,A001\n1,4\n0,5\n2,6\n")
+    (folder / "3.csv").write_text("day,A001\n0,7\n1,bad\n2,9\n")
+    report, series = validate_and_process(spark, str(folder), ["A001"], 0, 2)
+    name = F.regexp_extract("file", r"(\d+)\.csv$", 1).alias("f")
+    assert [(r["f"], r["n_misplaced"]) for r in report.day_findings.select(name, "*").collect()] == [("2", 2)]
+    assert {r["entity_id"] for r in series.collect()} == {1, 2}  # a warning does not stop a file
+    (folder / "1.csv").write_text("day,A001\n0,bad\n")
+    (folder / "2.csv").write_text("day,A001\n0,bad\n")
+    with pytest.raises(ValueError, match="no valid"):
+        validate_and_process(spark, str(folder), ["A001"], 0, 2)
+
+
 def test_dropped_and_renumbered_channels(spark, tmp_path):
     folder = tmp_path / "s"
     folder.mkdir()

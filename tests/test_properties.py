@@ -138,3 +138,18 @@ def test_carried_auc_equals_dense_walk(spark):
             carried = v if v is not None else carried
             curve.append(carried or 0.0)
         assert got[e] == pytest.approx(sum((a + b) / 2 for a, b in zip(curve, curve[1:])))
+
+
+def test_heavy_ties_keep_the_buckets_even(spark):
+    """One value with 99 % of the rows: the buckets follow the distinct keys."""
+    df = spark.range(200_000).select(F.when(F.col("id") % 100 < 99, 0.0).otherwise(F.col("id").cast("double")).alias("v"))
+    keys = df.groupBy("v").count()
+    cuts = running.numeric_cuts(keys, "v", 16)
+    sizes = [r["count"] for r in running.numeric_bucket(keys, "v", cuts).groupBy(running.BUCKET).count().collect()]
+    assert len(sizes) > 8 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_blank_and_missing_labels_are_strata_of_their_own(spark):
+    df = spark.createDataFrame([(i, "" if i % 2 else None) for i in range(8)], "id int, label string")
+    got = Counter((r["label"], r["fold"]) for r in splits.stratified_folds(df, "id", "label", 2).collect())
+    assert got == {("", 1): 2, ("", 2): 2, (None, 1): 2, (None, 2): 2}
