@@ -6,6 +6,7 @@ null by a fixed predicate so that every operator meets nulls.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from daygrid.operators import series as S
 from daygrid.operators import splits
 
 LO, HI = -15, 14
+ORIGIN = date(2024, 1, 16)
 CHANNELS_SQL = "SELECT DISTINCT channel FROM series"
 
 SERIES = """
@@ -71,9 +73,18 @@ class Tables:
 
     @cached_property
     def series(self) -> DataFrame:
-        raw = self.events.select(
+        return self._series(self.events)
+
+    def days(self, lo: int, hi: int) -> DataFrame:
+        """The series of the days lo…hi, read by a range of ``ts`` that reaches the scan."""
+        kind = self.events.schema["ts"].dataType.simpleString()
+        start, end = (F.lit(str(ORIGIN + timedelta(days=d))).cast(kind) for d in (lo, hi + 1))
+        return self._series(self.events.where((F.col("ts") >= start) & (F.col("ts") < end)))
+
+    def _series(self, events: DataFrame) -> DataFrame:
+        raw = events.select(
             F.col("user_id").alias("entity_id"),
-            F.datediff(F.to_date("ts"), F.lit("2024-01-16").cast("date")).alias("day"),
+            F.datediff(F.to_date("ts"), F.lit(ORIGIN)).alias("day"),
             F.col("event_type").alias("channel"), "value",
         )
         planted = (F.col("entity_id") * 31 + (F.col("day") + 15) * 7 + F.length("channel")) % 11 == 0
@@ -117,6 +128,12 @@ class Tables:
     def folds(self) -> DataFrame:
         return splits.assign(self.members, "id", "y", test_share=0.3, k=5, seed=42)
 
+    @cached_property
+    def size_scores(self) -> DataFrame:
+        """The rows of one model of ``scores``, without reading any text."""
+        docs = self.documents.select(F.col("doc_id").alias("id"), "lang", (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("score"))
+        return self.folds.join(docs, "id").select(F.lit("size").alias("model"), "split", "fold", "id", "y", "lang", "score")
+
     @cached_property
     def scores(self) -> DataFrame:
         docs = self.documents.select(

@@ -180,7 +180,7 @@ v AS (SELECT b, sum(w * pow(score - y, 2)) / sum(w) AS value FROM drawn GROUP BY
 SELECT avg(value) AS mean, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper, count(value) AS n_replicates FROM v""",
        SCORES, "mean lower upper")
 def bootstrap_brier(t):
-    return E.bootstrap_ci(t.scores.where("model = 'size'"), "id", "brier")
+    return E.bootstrap_ci(t.size_scores, "id", "brier")
 
 
 @query("bootstrap_auc", "T12", BOOT + """
@@ -190,7 +190,7 @@ v AS (SELECT b, sum(neg * (cp - pos / CAST(2 AS DOUBLE))) / (sum(pos) * CAST(sum
 SELECT avg(value) AS mean, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper, count(value) AS n_replicates FROM v""",
        SCORES, "mean lower upper")
 def bootstrap_auc(t):
-    return E.bootstrap_ci(t.scores.where("model = 'size'"), "id", "auc")
+    return E.bootstrap_ci(t.size_scores, "id", "auc")
 
 
 @query("thresholded_counts", "J10", """

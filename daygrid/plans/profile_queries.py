@@ -220,7 +220,7 @@ def shared_keys(t):
 @query("importance_union", "U3 K2", """
 , a AS (SELECT l_returnflag AS f0, 1 FROM lineitem WHERE false),
 one AS (SELECT p_brand AS feature, avg(p_retailprice) AS importance FROM part GROUP BY 1),
-two AS (SELECT p_brand AS feature, CAST(avg(p_size) AS DOUBLE) AS importance FROM part WHERE p_type <> 'ECONOMY' GROUP BY 1),
+two AS (SELECT p_brand AS feature, CAST(avg(p_size) AS DOUBLE) AS importance FROM part GROUP BY 1),
 best AS (SELECT feature FROM (SELECT feature FROM one ORDER BY importance DESC, feature LIMIT 6) AS x
          UNION SELECT feature FROM (SELECT feature FROM two ORDER BY importance DESC, feature LIMIT 6) AS y)
 SELECT b.feature, coalesce(one.importance, 0) AS price, coalesce(two.importance, 0) AS size,
@@ -230,7 +230,5 @@ FROM best b LEFT JOIN one ON one.feature = b.feature LEFT JOIN two ON two.featur
 def importance_union(t):
     p = t.part
     price = p.groupBy(F.col("p_brand").alias("feature")).agg(F.avg("p_retailprice").alias("importance"))
-    size = p.where(F.col("p_type") != "ECONOMY").groupBy(F.col("p_brand").alias("feature")).agg(
-        F.avg("p_size").alias("importance")
-    )
+    size = p.groupBy(F.col("p_brand").alias("feature")).agg(F.avg("p_size").alias("importance"))
     return cohort.features_union([("price", price), ("size", size)], 6)

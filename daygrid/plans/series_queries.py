@@ -34,13 +34,13 @@ def daily_series(t):
 
 @query("window_filter", "P10", "SELECT * FROM series WHERE day BETWEEN -3 AND 2", SERIES, "value")
 def window_filter(t):
-    return S.in_window(t.series, -3, 2)
+    return S.in_window(t.days(-3, 2), -3, 2)
 
 
 @query("window_features", "A11 A12 A13 A14 A16 A17 W3", WINDOW + " SELECT * FROM feats", SERIES,
        "mean median std min max slope auc last_value")
 def window_features(t):
-    return S.window_features(t.series, -15, 2)
+    return S.window_features(t.days(-15, 2), -15, 2)
 
 
 @query("window_features_sample_deviation", "A12 A16", WINDOW + """
@@ -49,7 +49,7 @@ SELECT p.entity_id, p.channel, count(w.value) AS count, stddev_samp(w.value) AS
 FROM (SELECT DISTINCT entity_id, channel FROM series WHERE day BETWEEN -15 AND 2) AS p
 LEFT JOIN w ON w.entity_id = p.entity_id AND w.channel = p.channel GROUP BY 1, 2""", SERIES, "std")
 def window_features_sample_deviation(t):
-    f = S.window_features(t.series, -15, 2, ddof=1, peak_min_points=2)
+    f = S.window_features(t.days(-15, 2), -15, 2, ddof=1, peak_min_points=2)
     return f.select("entity_id", "channel", "count", "std", "time_to_peak")
 
 
@@ -58,7 +58,7 @@ SELECT entity_id, channel,
        CASE WHEN count(value) = count(*) AND count(*) >= 2 THEN regr_slope(value, day) END AS slope
 FROM series WHERE day BETWEEN -5 AND 2 GROUP BY 1, 2""", SERIES, "slope")
 def strict_slope(t):
-    return S.strict_slope(t.series, -5, 2)
+    return S.strict_slope(t.days(-5, 2), -5, 2)
 
 
 CARRIED = """
@@ -77,14 +77,14 @@ SELECT entity_id, channel, sum(step) AS auc FROM (
   SELECT entity_id, channel, (v + lag(v) OVER (PARTITION BY entity_id, channel ORDER BY day)) / 2 AS step
   FROM filled) AS s GROUP BY 1, 2""", SERIES, "auc")
 def carried_auc(t):
-    return S.carried_auc(t.series, -15, 2)
+    return S.carried_auc(t.days(-15, 2), -15, 2)
 
 
 @query("densified_series", "J9", CARRIED + """
 SELECT g.entity_id, g.channel, g.day, s.value FROM grid g LEFT JOIN series s USING (entity_id, channel, day)""",
        SERIES, "value")
 def densified_series(t):
-    return S.densify(t.series, -15, 2)
+    return S.densify(t.days(-15, 2), -15, 2)
 
 
 @query("forward_fill", "W1", """
@@ -93,22 +93,22 @@ SELECT entity_id, day, channel, value,
          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled
 FROM series WHERE day BETWEEN -15 AND 0""", SERIES, "value filled")
 def forward_fill(t):
-    return S.forward_fill(t.series, -15, 0)
+    return S.forward_fill(t.days(-15, 0), -15, 0)
 
 
 @query("measurement_intensity", "A18 P11", """
 SELECT entity_id, count(value) AS total_nonmiss, count(DISTINCT CASE WHEN value IS NOT NULL THEN day END) AS days_with_any
 FROM series WHERE day BETWEEN -15 AND 2 GROUP BY 1 HAVING count(value) > 0""", SERIES)
 def measurement_intensity(t):
-    return drop_unmeasured(S.intensity(t.series, -15, 2))
+    return drop_unmeasured(S.intensity(t.days(-15, 2), -15, 2))
 
 
 @query("measurement_intensity_of_100_days", "A18", """
 SELECT entity_id, count(value) AS total_nonmiss, count(DISTINCT CASE WHEN value IS NOT NULL THEN day END) AS days_with_any
 FROM series WHERE day BETWEEN -50 AND 49 GROUP BY 1""", SERIES)
 def measurement_intensity_of_100_days(t):
-    wide = series_features(t.series, t.channels, ["count"], -50, 49).select("entity_id", "total_nonmiss", "days_with_any")
-    return wide.join(S.intensity(t.series, -50, 49), ["entity_id", "total_nonmiss", "days_with_any"])
+    wide = series_features(t.days(-50, 49), t.channels, ["count"], -50, 49).select("entity_id", "total_nonmiss", "days_with_any")
+    return wide.join(S.intensity(t.days(-50, 49), -50, 49), ["entity_id", "total_nonmiss", "days_with_any"])
 
 
 @query("baseline_last_observation", "J7a W1", """
@@ -125,7 +125,7 @@ SELECT * FROM (
   GROUP BY 1) AS y""", SERIES,
        "baseline_click baseline_error baseline_purchase baseline_signup baseline_view")
 def baseline_last_observation(t):
-    return S.baseline(t.series, t.channels, -15, 0)
+    return S.baseline(t.days(-15, 0), t.channels, -15, 0)
 
 
 @query("last_row_before_cutoff", "J7b", """
@@ -151,7 +151,7 @@ SELECT entity_id, channel, "window", count(*) AS count, avg(value) AS mean,
        arg_max(day, (value, -day)) AS time_to_peak
 FROM tagged GROUP BY 1, 2, 3""", SERIES, "mean std min max slope")
 def two_window_features(t):
-    f = S.multi_window_features(t.series, {"baseline": (-15, -1), "early_post": (0, 7)})
+    f = S.multi_window_features(t.days(-15, 7), {"baseline": (-15, -1), "early_post": (0, 7)})
     return f.select("entity_id", "channel", "window", "count", "mean", "std", "min", "max", "slope", "time_to_peak")
 
 
@@ -177,7 +177,7 @@ SELECT s.entity_id, acctbal AS s_acctbal, segment AS s_segment, region AS s_regi
 FROM static s LEFT JOIN wide ON wide.entity_id = s.entity_id LEFT JOIN meter ON meter.entity_id = s.entity_id
 """, SERIES + "," + STATIC, ["s_acctbal", *FEATURE_COLUMNS])
 def feature_table_query(t):
-    return feature_table(t.static, t.series, t.channels, FEATURE_STATS, -15, 2)
+    return feature_table(t.static, t.days(-15, 2), t.channels, FEATURE_STATS, -15, 2)
 
 
 TWO_MEANS = [f"""avg(CASE WHEN channel = '{c}' AND "window" = '{w}' THEN value END) AS {c}_{w}_mean"""
@@ -193,7 +193,7 @@ SELECT s.entity_id, s.segment, p.* EXCLUDE (entity_id) FROM static s JOIN (
        [m.split(" AS ")[1] for m in TWO_MEANS])
 def two_window_pivot(t):
     names = {"baseline": (-15, -1), "early_post": (0, 7)}
-    f = S.multi_window_features(t.series, names)
+    f = S.multi_window_features(t.days(-15, 7), names)
     wide = S.pivot_features(f, t.channels, ["mean"], "window", list(names))
     return t.static.select("entity_id", "segment").join(wide, "entity_id")
 
@@ -210,7 +210,7 @@ SELECT c.grp AS "group", c.day, coalesce(n, 0) / CAST(500 AS DOUBLE) AS fraction
 FROM cells c LEFT JOIN seen s ON s.grp = c.grp AND s.day = c.day""", SERIES, "fraction")
 def availability(t):
     groups = {"usage": ["click", "view"], "trade": ["purchase", "signup"], "fault": ["error"], "absent": ["none"]}
-    return profile.availability(t.series, groups, LO, HI, 500)
+    return profile.availability(t.days(LO, HI), groups, LO, HI, 500)
 
 
 @query("channel_missing", "A7", """

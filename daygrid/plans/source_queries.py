@@ -30,12 +30,12 @@ def raw_static_round_trip(t):
 
 @query("series_files_round_trip", "S3", """
 , wide AS (SELECT DISTINCT entity_id, day FROM series),
-names AS (SELECT * FROM (VALUES ('click'), ('error'), ('view')) AS v(channel))
+names AS (SELECT DISTINCT channel FROM series)
 SELECT w.entity_id, w.day, n.channel, s.value FROM wide w CROSS JOIN names n
 LEFT JOIN series s ON s.entity_id = w.entity_id AND s.day = w.day AND s.channel = n.channel""", SERIES, "value")
 def series_files_round_trip(t):
     path = fresh_path(t.spark, "series")
-    writers.write_series_files(S.to_wide(t.series, ["click", "error", "view"]), path)
+    writers.write_series_files(S.to_wide(t.series, t.channels), path)
     return readers.read_series_dir(t.spark, path, "folder")
 
 

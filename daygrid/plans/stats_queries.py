@@ -191,12 +191,12 @@ def spearman_matrix(t):
 
 
 @query("pruned_columns", "T9", """
-SELECT l_orderkey, l_linenumber, l_quantity, l_tax FROM lineitem""", doubles="l_quantity l_tax")
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem""",
+       doubles="l_quantity l_extendedprice l_discount l_tax")
 def pruned_columns(t):
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_tax").withColumn(
-        "double_quantity", F.col("l_quantity") * 2 + 1
-    )
-    return stats.prune_correlated(rows, ["l_quantity", "l_tax", "double_quantity"], 0.9)
+    measures = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", *measures).withColumn("double_quantity", F.col("l_quantity") * 2 + 1)
+    return stats.prune_correlated(rows, [*measures, "double_quantity"], 0.9)
 
 
 @query("mean_interval", "T11", """

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
-from daygrid.operators import evaluate, prep, training
+from daygrid.operators import evaluate, prep, splits, training
 from daygrid.plans.bindings import FOLDS, SERIES, STATIC
+from daygrid.plans.feature_table import feature_table
 from daygrid.plans.model_table import model_table
 from daygrid.plans.registry import query
 from daygrid.session import durable
@@ -29,15 +30,8 @@ def model_rows(t):
     return training.assemble(durable(scaled, "model_rows"), FEATURES)
 
 
-SMALL = {
-    "logistic_regression": {"maxIter": 30},
-    "random_forest": {"numTrees": 20, "maxDepth": 5},
-    "decision_tree": {"maxDepth": 5},
-    "gradient_boosting": {"maxIter": 5, "maxDepth": 3},
-    "naive_bayes": {},
-    "linear_svm": {"maxIter": 20},
-    "multilayer_perceptron": {"maxIter": 20},
-}
+MODELS = ("logistic_regression", "random_forest", "decision_tree", "gradient_boosting", "naive_bayes", "linear_svm",
+          "multilayer_perceptron")
 
 
 @query("classifier_scores", "M9 M11 E1")
@@ -45,8 +39,8 @@ def classifier_scores(t):
     rows = model_rows(t)
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     parts = []
-    for name, settings in SMALL.items():
-        model = training.classifier(name, n_features=len(FEATURES), **settings).fit(train)
+    for name in MODELS:
+        model = training.classifier(name, n_features=len(FEATURES)).fit(train)
         parts.append(
             training.positive_score(model, test).select(F.lit(name).alias("model"), "id", F.col("label").alias("y"), "score")
         )
@@ -60,21 +54,21 @@ def classifier_scores(t):
 def out_of_fold_scores(t):
     """Every labelled document is scored once, in its own fold."""
     rows = model_rows(t)
-    estimator = training.classifier("logistic_regression", maxIter=30)
+    estimator = training.classifier("logistic_regression")
     held = training.out_of_fold(rows, estimator, keep=["id"], weighted=True)
     return held.select("id", "fold", "y", F.col("score").between(0, 1).alias("scored"))
 
 
 @query("out_of_fold_metrics", "M12 M11 E11")
 def out_of_fold_metrics(t):
-    estimator = training.classifier("logistic_regression", maxIter=30)
+    estimator = training.classifier("logistic_regression")
     held = training.out_of_fold(model_rows(t), estimator, keep=["id"], weighted=True)
     return evaluate.summary(durable(held, "held_out"), ["fold"])
 
 
 @query("grid_search", "M10 K3")
 def grid_search(t):
-    estimator = LogisticRegression(maxIter=20)
+    estimator = LogisticRegression()
     _, table, _ = training.grid_search(model_rows(t), estimator, {"regParam": [0.01, 0.1]})
     return table
 
@@ -82,7 +76,7 @@ def grid_search(t):
 @query("feature_importance", "M13 K2")
 def feature_importance(t):
     rows = model_rows(t)
-    model = training.classifier("random_forest", numTrees=20, maxDepth=5).fit(rows.where("split = 'train'"))
+    model = training.classifier("random_forest").fit(rows.where("split = 'train'"))
     return training.feature_importance(model, FEATURES, t.spark)
 
 
@@ -96,8 +90,9 @@ def linear_contributions(t):
 
 @query("l1_path", "M15")
 def l1_path(t):
-    table, _ = training.l1_path(model_rows(t), [0.001, 0.01, 0.05, 0.1])
-    return table
+    path = [10 ** (-4 + 3 * i / 19) for i in range(20)]
+    table, picks = training.l1_path(model_rows(t), path)
+    return table.withColumns({n: F.col("lambda") == picks[n] for n in ("lambda_min", "lambda_1se")})
 
 
 @query("model_table", "J1 J7a P5 P9 F7 W5 W6", """
@@ -116,3 +111,41 @@ FROM sp LEFT JOIN f ON f.entity_id = sp.entity_id LEFT JOIN last ON last.entity_
 def model_table_query(t):
     out = model_table(t.static, t.series, t.channels, "crs", ["age"], max_missing_pct=None)
     return out.select("entity_id", "segment", "crs", "baseline_click", "split", "fold")
+
+
+def window_rows(t):
+    """Window features of the series beside the static table, a label and entity folds: the
+    rows of a cross-validated model."""
+    table = feature_table(t.static, t.days(-15, 2), t.channels, ["count", "mean", "slope"], -15, 2)
+    features = [c for c in table.columns if c.rsplit("_", 1)[-1] in ("count", "mean", "slope")]
+    known = table.where(F.col("s_crs").isNotNull()).withColumn("label", (F.col("s_crs") >= 3).cast("double"))
+    filled = prep.impute(known, {c: 0.0 for c in features})
+    folded = splits.stratified_folds(durable(filled, "window_rows"), "entity_id", "label", 5, 42)
+    return training.assemble(folded, features).select("entity_id", "label", "fold", "features")
+
+
+@query("window_model_folds", "M12 M11 E11 F9 W8", """
+, lab AS (SELECT entity_id, CASE WHEN crs >= 3 THEN 1 ELSE 0 END AS label FROM static WHERE crs IS NOT NULL),
+f AS (SELECT *, CAST(ntile(5) OVER (PARTITION BY label ORDER BY md5(concat('42-', entity_id))) AS INTEGER) AS fold FROM lab)
+SELECT fold, sum(label) AS n_pos, count(*) - sum(label) AS n_neg, count(*) AS n_scored FROM f GROUP BY 1
+UNION ALL SELECT 0, sum(label), count(*) - sum(label), count(*) FROM f""", SERIES + "," + STATIC)
+def window_model_folds(t):
+    """Out-of-fold scores of a weighted tree model on window features: the class counts and
+    the number of scored rows per fold and (fold 0) overall; a refit on all rows scores too."""
+    rows = window_rows(t)
+    forest = training.classifier("random_forest", maxDepth=4)
+    held = durable(training.out_of_fold(rows, forest, keep=["entity_id"], weighted=True), "held_out")
+    everything = held.unionByName(held.withColumn("fold", F.lit(0)))
+    counts = evaluate.summary(everything, ["fold"]).select("fold", "n_pos", "n_neg")
+    scored = everything.where(F.col("score").between(0, 1)).groupBy("fold").agg(F.count("score").alias("n_scored"))
+    weighted = training.with_class_weight(rows)
+    refit = training.positive_score(forest.copy().setWeightCol("weight").fit(weighted), rows)
+    refitted = refit.where(F.col("score").between(0, 1)).count()
+    return counts.join(scored, "fold").where((F.col("fold") > 0) | (F.col("n_scored") == refitted))
+
+
+@query("window_model_metrics", "M12 E11")
+def window_model_metrics(t):
+    held = training.out_of_fold(window_rows(t), training.classifier("random_forest", maxDepth=4), keep=["entity_id"], weighted=True)
+    stored = durable(held, "held_out")
+    return evaluate.summary(stored.unionByName(stored.withColumn("fold", F.lit(0))), ["fold"])
