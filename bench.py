@@ -11,13 +11,14 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from daygrid.plans.catalog import run_query  # noqa: E402
-from daygrid.session import build_session  # noqa: E402
+from daygrid.session import build_session, release  # noqa: E402
 
 HEADLINES = (
     "feature_table", "window_features", "baseline_last_observation", "carried_auc", "two_window_features",
     "availability", "large_description", "distinct_counts", "average_ranks", "mann_whitney_large",
     "dense_ids", "folds_for_rows", "group_folds", "rule_issues", "day_grid_check", "roc_auc", "fold_metrics",
     "decision_curve", "mean_roc", "conversation_rounds", "code_like_documents", "pearson_matrix",
+    "spearman_matrix", "baseline_table", "bootstrap_auc", "smote_counts",
 )
 
 
@@ -46,6 +47,7 @@ def main() -> None:
         "queries": times, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
         "cpus": int(cpus), "runs": runs,
     }))
+    release(spark)
     spark.stop()
 
 

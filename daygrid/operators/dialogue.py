@@ -1,7 +1,7 @@
 """Stored conversations: turns, rounds, contents tables and Markdown documents.
 
 A conversation may be arbitrarily long: rounds are numbered with bucketed running
-sums, and documents are assembled in parts of bounded length.
+sums, and documents are ordered blocks.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ from daygrid.functions.pvalues import chi2_p, fisher_p, normal_p, t_p
 from daygrid.functions.recode import count_pct_text, mean_sd_text, median_iqr_text
 from daygrid.operators.columns import q
 from daygrid.operators.profile import crosstab, melted
-from daygrid.operators.running import average_ranks, exact_quantiles, running_sums
+from daygrid.operators.running import attach, average_ranks, exact_quantiles, running_sums
 from daygrid.session import durable
 
 
@@ -252,19 +252,16 @@ def adjust_p(tests: DataFrame, p: str = "p_value") -> DataFrame:
 def rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns replaced by their tie-averaged ranks.
 
-    All columns are ranked in one pass over their distinct values; each then looks
-    its ranks up. A value shared by many rows is one row of the lookup, and on the
-    data side adaptive execution splits it.
+    All columns are ranked in one pass over their distinct values, meet their rows in one
+    join of the long form (a value shared by many rows is one row of the lookup, and
+    adaptive execution splits its other side), and return in one shuffle by row.
     """
-    ranks = durable(
-        average_ranks(melted(df, columns, "double"), ["variable"], "value").select("variable", "value", "avg_rank"),
-        "ranks",
-    )
-    out = df.select(*[F.col(q(c)).cast("double").alias(c) for c in columns])
-    for c in columns:
-        side = ranks.where(F.col("variable") == c).select(F.col("value").alias("_v"), F.col("avg_rank").alias("_r"))
-        out = out.join(side, F.col(q(c)) == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_v", "_r")
-    return out
+    rows = durable(df.select(*[F.col(q(c)).cast("double").alias(c) for c in columns])
+                   .withColumn("_id", F.monotonically_increasing_id()), "rows")
+    long = melted(rows, columns, "double", keep=["_id"])
+    ranks = average_ranks(long.drop("_id"), ["variable"], "value").select("variable", "value", "avg_rank")
+    met = attach(long, ranks, ["variable", "value"])
+    return met.groupBy("_id").pivot("variable", list(columns)).agg(F.first("avg_rank")).drop("_id")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:

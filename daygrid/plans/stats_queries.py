@@ -113,7 +113,15 @@ def fisher_exact(t):
     return stats.fisher_exact(stats.crosstab(with_old(t), ["segment", "old"], "sex")).drop("p_value")
 
 
-@query("fisher_exact_with_p", "T5")
+@query("fisher_exact_with_p", "T5", CELLS + """
+, q AS (SELECT max(CASE WHEN value = 'no' AND g = 'female' THEN o END) AS a, max(CASE WHEN value = 'no' AND g = 'male' THEN o END) AS b,
+               max(CASE WHEN value = 'yes' AND g = 'female' THEN o END) AS c, max(CASE WHEN value = 'yes' AND g = 'male' THEN o END) AS d
+        FROM cells WHERE variable = 'old'),
+k AS (SELECT CAST(unnest(generate_series(CAST(greatest(0, a - d) AS BIGINT), CAST(least(a + b, a + c) AS BIGINT))) AS DOUBLE) AS k, q.* FROM q),
+l AS (SELECT *, -(lgamma(k + 1) + lgamma(a + c - k + 1) + lgamma(a + b - k + 1) + lgamma(d - a + k + 1)) AS lp FROM k),
+m AS (SELECT *, max(lp) OVER () AS top, max(CASE WHEN k = a THEN lp END) OVER () AS seen FROM l)
+SELECT 'old' AS variable, 'fisher' AS test, any_value(a) * CAST(any_value(d) AS DOUBLE) / (any_value(b) * any_value(c)) AS statistic,
+       sum(exp(lp - top)) FILTER (WHERE lp <= seen + 1e-7) / sum(exp(lp - top)) AS p_value FROM m""", STATIC, "statistic p_value")
 def fisher_exact_with_p(t):
     return stats.fisher_exact(stats.crosstab(with_old(t), ["segment", "old"], "sex"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,15 +70,16 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """Broadcastable local copy of a result proven to be small, else ``df`` itself.
+def bounded(df: DataFrame, rows: int = 20_000, size: int = 4 << 20) -> DataFrame:
+    """``df`` stored, and marked for broadcast if it is proven to be small.
 
-    The proof is the fetch: at most ``rows`` + 1 rows are read. Larger results stay
-    distributed and join by shuffle.
+    The proof is the stored table: its rows and its bytes on disk. Nothing is fetched to
+    look at it; a larger result joins by shuffle.
     """
-    found = df.limit(rows + 1).toArrow()
-    if found.num_rows > rows:
-        return df
-    fields = [pa.field(f.name, f.type) for f in found.schema]
-    local = df.sparkSession.createDataFrame(found.cast(pa.schema(fields)), df.schema)
-    return F.broadcast(local)
+    spark = df.sparkSession
+    path = fresh_path(spark, "bounded")
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    used = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return F.broadcast(stored) if used <= size and stored.count() <= rows else stored
