@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-Q, ERRORS = 8, 0.1
+Q, ERRORS = 8, 0.08
 #: Characters of items in one block, and of documents looked at together.
 ITEM_BLOCK, TEXT_BLOCK = 2_000_000, 1 << 18
-_BASE = np.uint64(0xD1342543DE82EF95)
+_BASE = 0xD1342543DE82EF95
 _COST = np.int64(1) << np.int64(32)
 
 
@@ -37,8 +37,8 @@ def grams(codes: np.ndarray) -> np.ndarray:
     h = codes.astype(np.uint64) + np.uint64(1)
     power = _BASE
     for shift in (1, 2, 4):
-        h = h[:-shift] * power + h[shift:]
-        power = power * power
+        h = h[:-shift] * np.uint64(power) + h[shift:]
+        power = power * power % 2**64
     return h
 
 
@@ -83,39 +83,69 @@ class Index:
         row = np.repeat(self.first[near] + n - np.cumsum(n), n) + np.arange(n.sum())
         return np.repeat(at, n), self.owner[row], self.place[row]
 
+    def bands(self, codes: list[np.ndarray]) -> np.ndarray:
+        """(text number, item, band) rows that share enough of the item's q-grams."""
+        gap = np.zeros(Q, dtype=np.uint32)  # no q-gram spans two texts
+        begins = np.cumsum([0, *[len(c) + Q for c in codes]])
+        where, item, place = self.shared(np.concatenate([x for c in codes for x in (c, gap)]))
+        doc = np.searchsorted(begins, where, side="right") - 1
+        # a text with too few q-grams of an item anywhere has no band with enough
+        pair = doc * len(self.items) + item
+        few = np.bincount(pair, minlength=len(codes) * len(self.items)) < np.tile(self.bound, len(codes))
+        rest = ~few[pair]
+        doc, item, place, where = doc[rest], item[rest], place[rest], where[rest]
+        if not len(doc):
+            return np.zeros((0, 3), dtype=np.int64)
+        band = (where - begins[doc] - place) // self.step[item]
+        low = band.min() - 1
+        span = int(band.max() - low) + 1
+        key = (doc * len(self.items) + item) * span + band - low
+        names, number = np.unique(np.concatenate([key, key - 1]), return_inverse=True)
+        # each q-gram of the item counts once, however often the band repeats it
+        size = int(place.max()) + 1
+        shared = np.unique(number * size + np.tile(place, 2)) // size
+        pair, at = np.divmod(names, span)
+        rows = np.stack([*np.divmod(pair, len(self.items)), at + low], axis=1)
+        return rows[np.bincount(shared, minlength=len(names)) >= self.bound[rows[:, 1]]]
+
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text number, item id, start, end, edits) of the regions of every text."""
+        """(text number, item id, start, end, edits) of the regions of every text; of
+        regions of one item that overlap, the one with the fewest edits."""
         codes = [characters(t) for t in texts]
+        found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         if self.items:
-            gap = np.zeros(Q, dtype=np.uint32)  # no q-gram spans two texts
-            flat = np.concatenate([x for c in codes for x in (c, gap)])
-            begins = np.cumsum([0, *[len(c) + Q for c in codes]])
-            where, item, place = self.shared(flat)
-            doc = np.searchsorted(begins, where, side="right") - 1
-            band = (where - begins[doc] - place) // self.step[item]
-            seen: set[tuple[int, int, int, int]] = set()
-            keys = np.concatenate([np.stack([doc, item, band - s], axis=1) for s in (0, 1)])
-            if len(keys):
-                found, n = np.unique(keys, axis=0, return_counts=True)
-                for d, i, b in found[n >= self.bound[found[:, 1]]].tolist():
-                    hit = align(self.items[i][1], codes[d], b * int(self.step[i]), (b + 2) * int(self.step[i]), int(self.budget[i]))
-                    if hit and (key := (d, i, *hit[:2])) not in seen:
-                        seen.add(key)
-                        yield d, self.items[i][0], *hit
+            for d, i, b in self.bands(codes).tolist():
+                step, budget = int(self.step[i]), int(self.budget[i])
+                hit = align(self.items[i][1], codes[d], b * step, (b + 2) * step, budget)
+                if hit:
+                    found.setdefault((d, self.items[i][0]), []).append(hit)
         for i, own in self.short:
             for d, c in enumerate(codes):
-                data, part = c.tobytes(), own.tobytes()
-                at = data.find(part)
-                while at >= 0:
-                    if at % 4 == 0:
-                        yield d, i, at // 4, at // 4 + len(own), 0
-                    at = data.find(part, at + 1)
+                for start in occurrences(own, c):
+                    found.setdefault((d, i), []).append((start, start + len(own), 0))
+        for (d, i), hits in found.items():
+            kept: list[tuple[int, int, int]] = []
+            for hit in sorted(set(hits), key=lambda h: (h[2], h[0], h[1])):
+                if all(hit[1] <= k[0] or k[1] <= hit[0] for k in kept):
+                    kept.append(hit)
+                    yield d, i, *hit
+
+
+def occurrences(item: np.ndarray, text: np.ndarray) -> Iterator[int]:
+    """Places where ``item`` stands in ``text`` without any edit."""
+    data, part, at = text.tobytes(), item.tobytes(), -1
+    while (at := data.find(part, at + 1)) >= 0:
+        if at % 4 == 0:
+            yield at // 4
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
     """The best region of ``text`` near the diagonals [low, high): (start, end, edits), or
     None beyond the budget. Cells hold edits and start in one number, so that the smallest
     carries both; row by row, a band of diagonals wide."""
+    first = max(0, low)
+    for at in occurrences(item, text[first : max(first, high + len(item))]):
+        return first + at, first + at + len(item), 0
     low, high = low - budget, high + budget
     width = high - low
     big = np.int64(len(item) + width + 2) * _COST
@@ -145,7 +175,7 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     """One row per region: doc_id, item_id, start, end (code points, exclusive), edits.
 
     Letters A-Z are compared without case, ASCII white space as blanks. Items up to the
-    edit budget (a tenth of their length, but at most one edit per q characters) are
+    edit budget (ERRORS of their length, but at most one edit per q characters) are
     found; items shorter than q must occur exactly. Null and empty texts and items have no
     regions; rows that share an id report theirs under it; other columns are not read.
     """

@@ -129,7 +129,7 @@ def test_decontamination(make, spark):
         parts = [item(), item()]
         if i % 3:
             name, text = items[i % 8]
-            text = changed(rnd, text, rnd.randrange(0, int(len(text) * 0.14)))
+            text = changed(rnd, text, rnd.randrange(0, int(len(text) * 0.12)))
             parts.insert(rnd.randrange(3), text.upper() if i % 5 == 0 else text.replace(" ", "\n", 1))
         rows.append((i, " ".join(parts)))
     rows += [(100, "a short one"), (101, items[0][1]), *EDGES]
