@@ -23,7 +23,7 @@ from daygrid.session import durable
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Per-mille features, the side on which they are bad, and the least width of a fence.
-FEATURES = {"symbols": ("above", 100), "dup_lines": ("above", 300), "repeats": ("above", 150), "word_size": ("both", 3000)}
+FEATURES = {"symbols": ("above", 100), "dup_lines": ("above", 500), "repeats": ("above", 150), "word_size": ("both", 4000)}
 #: A fence lies this many quartile distances outside the quartiles.
 REACH = 3
 #: Leading bits that a sketch keeps, and documents that a group needs for a sketch of its own.
