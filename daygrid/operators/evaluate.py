@@ -272,17 +272,17 @@ def poisson_steps() -> list[float]:
     return [s for s in steps if s < 1.0]
 
 
-def _weight(row_id: str, seed: int) -> Column:
-    """Poisson(1) weight of a row in a replicate, from a hash of both."""
-    key = F.concat_ws("-", F.lit(str(seed)), F.col(row_id).cast("string"), F.col("replicate").cast("string"))
-    uniform = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(2**52)
-    return sum((F.when(uniform > s, 1).otherwise(0) for s in poisson_steps()), F.lit(0)).cast("long")
-
-
 def _replicated(rows: DataFrame, row_id: str, replicates: int, seed: int) -> DataFrame:
+    """Every row once per replicate, with a Poisson(1) weight from a hash of both."""
     each = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = each.withColumn("_w", _weight(row_id, seed)).where("_w > 0")
-    return drawn.withColumns({"pos": F.col("_w") * _pos(), "neg": F.col("_w") * _neg()})
+    key = F.concat_ws("-", F.lit(str(seed)), F.col(row_id).cast("string"), F.col("replicate").cast("string"))
+    drawn = each.withColumn("_u", F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(2**52))
+    steps = poisson_steps()
+    weight = F.when(F.col("_u") <= steps[0], 0)
+    for n, step in enumerate(steps[1:], 1):
+        weight = weight.when(F.col("_u") <= step, n)
+    kept = drawn.where(F.col("_u") > steps[0]).withColumn("_w", weight.otherwise(len(steps)).cast("long"))
+    return kept.withColumns({"pos": F.col("_w") * _pos(), "neg": F.col("_w") * _neg()}).drop("_u")
 
 
 def bootstrap_auc_values(scores: DataFrame, row_id: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
