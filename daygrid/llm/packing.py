@@ -13,7 +13,6 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +41,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in shown else next(spare)) for b in range(256)}
 
 
+class _Known(dict):
+    """Packed ids by word; a word that is asked for the first time is encoded."""
+
+    def __init__(self, learn) -> None:
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = ids = self.learn(word)
+        return ids
+
+
 class WordTokenizer:
     """Ids of whole texts, a distinct word at a time.
 
@@ -57,8 +68,9 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = {2: "H", 4: "I"}[self.kind.itemsize]
-        self.known: dict[bytes, bytes] = {}
         self.letters = _byte_letters()
+        self.merge = self.tokenizer.model.tokenize
+        self.known = _Known(self._learn)
 
     def _packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -66,39 +78,25 @@ class WordTokenizer:
     def _core(self, core: str) -> bytes:
         """Ids of a word of letters only, which is one unit to the merges."""
         shown = core if core.isascii() else "".join(map(self.letters.__getitem__, core.lower().encode()))
-        return self._packed([t.id for t in self.tokenizer.model.tokenize(shown)])
-
-    def _learn(self, new: set[bytes]) -> None:
-        known, split, whole = self.known, [], []
-        for w in new:
-            if w.isalpha():
-                known[w] = self._core(w.decode())
-                continue
-            text = w.decode("utf-8", "replace")
-            core = text.rstrip(_TAIL)
-            if core.isalpha() and (core.isascii() or max(core) <= _LAST_LATIN and _DOTTED not in core):
-                split.append((w, core, text[len(core):].encode()))
-            else:
-                whole.append(w)
-        whole += {tail for _, _, tail in split} - {b""} - known.keys()
-        texts = [w.decode("utf-8", "replace") for w in whole]
-        for w, e in zip(whole, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            known[w] = self._packed(e.ids)
-        for w, core, tail in split:
-            name = core.encode()
-            if name not in known:
-                known[name] = self._core(core)
-            if tail:
-                known[w] = known[name] + known[tail]
+        return self._packed([t.id for t in self.merge(shown)])
+
+    def _learn(self, word: bytes) -> bytes:
+        if word.isalpha():
+            return self._core(word.decode())
+        text = word.decode("utf-8", "replace")
+        core = text.rstrip(_TAIL)
+        if core.isalpha() and (core.isascii() or max(core) <= _LAST_LATIN and _DOTTED not in core):
+            if len(core) == len(text):
+                return self._core(core)
+            return self.known[core.encode()] + self.known[text[len(core):].encode()]
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, docs: list[bytes | None], end: int) -> list[bytes]:
         """The ids of each text and then ``end``, as packed little-endian numbers."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        split = [(d or b"").lower().split() for d in docs]
-        self._learn(set(chain.from_iterable(split)).difference(self.known))
-        last = self._packed([end])
-        return [b"".join(map(self.known.__getitem__, words)) + last for words in split]
+            self.known.clear()
+        last, ids = self._packed([end]), self.known.__getitem__
+        return [b"".join(map(ids, (d or b"").lower().split())) + last for d in docs]
 
 
 def blocks(docs: list[bytes | None]) -> Iterator[list[bytes | None]]:
