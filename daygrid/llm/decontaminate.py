@@ -24,12 +24,24 @@ _BASE = 0xD1342543DE82EF95
 _COST = np.int64(1) << np.int64(32)
 
 
+def _fold(code: int) -> int:
+    """The letter without its case, where that is one code point."""
+    letter = chr(code)
+    upper = letter.upper()
+    lower = (upper if len(upper) == 1 else letter).lower()
+    return ord(lower) if len(lower) == 1 else code
+
+
+#: What every code point is compared as; none beyond the second plane has case.
+_FOLDED = np.arange(0x110000, dtype=np.uint32)
+_FOLDED[: 0x20000] = [_fold(c) for c in range(0x20000)]
+_FOLDED[0x130] = ord("i")  # its lower case in full is an i and a dot
+_FOLDED[9:14] = 32
+
+
 def characters(text: str) -> np.ndarray:
-    """Code points with A-Z lower-cased and ASCII white space as blanks; positions stay."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
-    codes[(codes >= 65) & (codes <= 90)] += 32
-    codes[(codes >= 9) & (codes <= 13)] = 32
-    return codes
+    """Code points with the case of all letters folded and ASCII white space as blanks; positions stay."""
+    return _FOLDED[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
@@ -174,7 +186,8 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
                          item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per region: doc_id, item_id, start, end (code points, exclusive), edits.
 
-    Letters A-Z are compared without case, ASCII white space as blanks. Items up to the
+    Letters are compared without case (ß, whose capital is two letters, only with itself
+    and its one-letter capital), ASCII white space as blanks. Items up to the
     edit budget (ERRORS of their length, but at most one edit per q characters) are
     found; items shorter than q must occur exactly. Null and empty texts and items have no
     regions; rows that share an id report theirs under it; other columns are not read.

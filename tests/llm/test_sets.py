@@ -163,6 +163,17 @@ def test_items_in_blocks(make, spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.contaminated_regions(make(rows), items).collect()} == whole
 
 
+def test_capitals_of_all_letters(make, spark):
+    items = ["le bébé près de la forêt a été réveillé très tôt par des élèves âgés, où ça ? à Orléans, dès février",
+             "ÀÉÎÕÜ straße größer łódź žluťoučký kůň Ελλάδα ο λόγος της ΝΊΚΗΣ ёлка жёлтый İstanbul ısı"]
+    rows = [(0, f"before {items[0].upper()} after"), (1, items[0]), (2, "X " + items[1].lower().replace("i̇", "İ")),
+            (3, "".join(c.upper() if len(c.upper()) == 1 else c for c in items[1])), (4, items[0].replace("é", "e").replace("è", "e"))]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["start"], r["end"], r["edits"]) for r in decontaminate.contaminated_regions(make(rows), benchmark).collect()}
+    a, b = map(len, items)
+    assert got == {(0, 0, 7, 7 + a, 0), (1, 0, 0, a, 0), (2, 1, 2, 2 + b, 0), (3, 1, 0, b, 0)}
+
+
 # packing ----------------------------------------------------------------------------------
 
 def check_pieces(rows, texts, window):
