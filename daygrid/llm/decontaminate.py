@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-Q, ERRORS = 8, 0.08
+Q, ERRORS = 8, 0.1
 #: Characters of items in one block, and of documents looked at together.
 ITEM_BLOCK, TEXT_BLOCK = 2_000_000, 1 << 18
 _BASE = 0xD1342543DE82EF95

@@ -129,7 +129,7 @@ def test_decontamination(make, spark):
         parts = [item(), item()]
         if i % 3:
             name, text = items[i % 8]
-            text = changed(rnd, text, rnd.randrange(0, int(len(text) * 0.12)))
+            text = changed(rnd, text, rnd.randrange(0, int(len(text) * 0.14)))
             parts.insert(rnd.randrange(3), text.upper() if i % 5 == 0 else text.replace(" ", "\n", 1))
         rows.append((i, " ".join(parts)))
     rows += [(100, "a short one"), (101, items[0][1]), *EDGES]
@@ -174,6 +174,16 @@ def test_capitals_of_all_letters(make, spark):
     assert got == {(0, 0, 7, 7 + a, 0), (1, 0, 0, a, 0), (2, 1, 2, 2 + b, 0), (3, 1, 0, b, 0)}
 
 
+def test_a_tenth_of_an_item_may_differ(make, spark):
+    rnd = random.Random(7)
+    item = "".join(rnd.choice("etaoinshr ") for _ in range(198)).join("xx")
+    spoil = lambda n: "".join("0" if k in set(range(5, 10 * n, 10)) else c for k, c in enumerate(item))
+    rows = [(n, f"some words {spoil(n)} and others") for n in (0, 16, 17, 20)] + [(21, f"{spoil(20).replace('x', '0', 1)} and others")]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {(r["doc_id"], r["edits"]) for r in decontaminate.contaminated_regions(make(rows), benchmark).collect()}
+    assert got == {(0, 0), (16, 16), (17, 17), (20, 20)}
+
+
 # packing ----------------------------------------------------------------------------------
 
 def check_pieces(rows, texts, window):
