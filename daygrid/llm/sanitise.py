@@ -33,9 +33,10 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 #: Words on either side of an entity that count as near it, and the characters looked at.
 NEAR, REACH = 8, 240
-#: Documents with term and entity that make evidence; shares of the entity's information
-#: content from which a term is generalised and removed.
-EVIDENCE, GENERALISE, REMOVE = 3, 0.8, 0.97
+#: Documents at the entity's overall rate added to those of every term (a term of one
+#: document proves less than one of ten); shares of the entity's information content from
+#: which a term is generalised and removed.
+PSEUDO, GENERALISE, REMOVE = 0.45, 0.8, 0.97
 #: Terms (8 bytes each) up to which the document frequencies are counted for them alone.
 TERM_LIST = 1_000_000
 
@@ -174,11 +175,12 @@ def disclosures(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
     pairs = found.select("_row", F.explode("near").alias("n")).select("_row", "n.entity", "n.term").distinct()
     entities = (found.select("_row", F.explode("near").alias("n")).select("_row", "n.entity").distinct()
                 .groupBy("entity").agg(F.count("*").alias("ne")))
-    both = durable(pairs.groupBy("entity", "term").agg(F.count("*").alias("net")).where(F.col("net") >= EVIDENCE), "term-pairs")
+    both = durable(pairs.groupBy("entity", "term").agg(F.count("*").alias("net")), "term-pairs")
     frequencies = document_frequencies(docs, both.select("term").distinct(), text_col)
     total = F.lit(float(max(found.count(), 2)))
     content = F.greatest(-F.log2(F.col("ne") / total), F.lit(1e-9))
-    pmi = F.log2(F.col("net") * total / (F.col("ne") * F.greatest("df", "net")))
+    rate = F.col("ne") / total
+    pmi = F.log2((F.col("net") + PSEUDO * rate) / ((F.greatest("df", "net") + PSEUDO) * rate))
     return (both.join(entities, "entity").join(frequencies, "term").withColumn("share", pmi / content)
             .where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
 

@@ -182,6 +182,14 @@ def test_terms_that_disclose(make):
     assert sanitise.redact(None, []) is None
 
 
+def test_values_of_one_document_have_terms_too(make):
+    rows = [(i, f"write to person{i} at own{i}@ex{i}.org common today") for i in range(8)]
+    rows += [(100 + i, f"write common words {i} to and at today") for i in range(60)]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in sanitise.find_personal_data(make(rows, extra=EXTRA)).collect()}
+    for i, text in rows[:8]:
+        assert [text[a:b] for a, _, b in got[i]] == [f"person{i}", f"own{i}@ex{i}.org"]
+
+
 def test_many_terms_take_the_other_way(make, monkeypatch):
     rows = [(i, "zanzibar joe@ex.org common") for i in range(4)] + [(50 + i, f"common {i}") for i in range(40)]
     few = sorted(map(str, sanitise.find_personal_data(make(rows)).collect()))
