@@ -1,10 +1,15 @@
-"""Personal data: fixed patterns, and terms of their surroundings that give them away.
+"""Personal data: fixed patterns, and terms of the same documents that give them away.
 
 The information-theoretic part counts over the whole corpus in how many documents a term
-stands near a protected entity (an address or number found by the patterns) and in how
-many it stands at all. A term whose pointwise mutual information with the entity reaches
-a share of the entity's own information content discloses it: it is generalised, or
-removed from a higher share on.
+stands together with a protected entity (an address or number found by the patterns) and
+in how many it stands at all. A term whose pointwise mutual information with the entity
+reaches a share of the entity's own information content discloses it: all its occurrences
+in documents with the entity are generalised, or removed from a higher share on.
+
+Entities of the same documents have the same counts and are one set. A set in n of all
+documents cannot be disclosed by terms above a document frequency that follows from n, and
+a set in one document has every term of it once; so only rare terms form pairs, and only
+with sets of several documents.
 """
 
 from __future__ import annotations
@@ -31,8 +36,6 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-#: Words on either side of an entity that count as near it, and the characters looked at.
-NEAR, REACH = 8, 240
 #: Documents at the entity's overall rate added to those of every term (a term of one
 #: document proves less than one of ten); shares of the entity's information content from
 #: which a term is generalised and removed.
@@ -86,60 +89,82 @@ def _entity(text: str, kind: int) -> bytes:
     return f"{KINDS[kind]}:{value}".encode("utf-8", "surrogatepass")
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[bytes, bytes, int, int]]:
-    """(entity, term, start, end) of the words near each span that no span covers."""
-    out = []
-    for start, kind, end in spans:
-        left, right = max(0, start - REACH), min(len(text), end + REACH)
-        before = [m.span() for m in _WORD.finditer(text, left, start)]
-        if before and left and before[0][0] == left:
-            before = before[1:]  # cut at the edge
-        after = [m.span() for m in _WORD.finditer(text, end, right)]
-        if after and right < len(text) and after[-1][1] == right:
-            after = after[:-1]
-        entity = _entity(text[start:end], kind)
-        for a, b in before[-NEAR:] + after[:NEAR]:
-            if b - a >= 3 and not any(s < b and a < e for s, _, e in spans):
-                out.append((entity, text[a:b].encode("utf-8", "surrogatepass"), a, b))
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the words that no span (start, kind, end) touches."""
+    out, at, reach = [], 0, 0
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while at < len(spans) and spans[at][0] < b:
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach <= a:
+            out.append((a, b))
     return out
 
 
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """The free words of a text and their hashes."""
+    words = free_words(text, spans)
+    return words, _hashes([text[a:b].encode("utf-8", "surrogatepass") for a, b in words])
+
+
 def _hashes(items: list[bytes]) -> np.ndarray:
     if not items:
         return np.zeros(0, dtype=np.int64)
     return next(doc_words([b" ".join(items)], lower=True)).view(np.int64)
 
 
-_NEAR = T.ArrayType(T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.LongType()),
-                                  T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("rank", T.IntegerType()),
                                    T.StructField("end", T.LongType())]))
-_NEAR_ARROW = pa.list_(pa.struct([(n, pa.int64()) for n in ("entity", "term", "start", "end")]))
 _SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64())]))
 
 
+def _tuples(spans: list[dict]) -> list[tuple[int, int, int]]:
+    return [(s["start"], s["rank"], s["end"]) for s in spans]
+
+
 def detect(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, spans, near) per row: base matches, and hashed terms near them."""
+    """(doc_id, spans, entities, text) per row: base matches, their hashed values, and the
+    text where there are any."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("spans", _SPANS),
-                           T.StructField("near", _NEAR)])
+                           T.StructField("entities", T.ArrayType(T.LongType())), T.StructField("text", T.StringType())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, near = [], []
+            spans, entities, texts = [], [], []
             for cell in batch.column(1):
                 text = cell.as_py() or ""
                 found = base_spans(text)
                 spans.append([{"start": s, "rank": k, "end": e} for s, k, e in found])
-                terms = near_terms(text, found)
-                keys = zip(_hashes([t[0].replace(b" ", b"_") for t in terms]), _hashes([t[1] for t in terms]), strict=True)
-                near.append([{"entity": int(e), "term": int(h), "start": t[2], "end": t[3]}
-                             for (e, h), t in zip(keys, terms, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS_ARROW), pa.array(near, _NEAR_ARROW)],
-                                             names=["doc_id", "spans", "near"])
+                entities.append(np.unique(_hashes([_entity(text[s:e], k).replace(b" ", b"_") for s, k, e in found])).tolist())
+                texts.append(text if found else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS_ARROW), pa.array(entities, pa.list_(pa.int64())),
+                                              pa.array(texts, pa.string())], names=["doc_id", "spans", "entities", "text"])
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(find, schema)
 
 
+def held_terms(found: DataFrame) -> DataFrame:
+    """(_row, term): the distinct free words of each row with an entity."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                _, own = _terms(batch.column(1)[n].as_py(), _tuples(batch.column(2)[n].as_py()))
+                own = np.unique(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[n].as_py(), dtype=np.int64)), pa.array(own)],
+                                                 names=["_row", "term"])
+
+    return found.where("text IS NOT NULL").select("_row", "text", "spans").mapInArrow(take, "_row long, term long")
+
+
+def entity_sets(found: DataFrame) -> DataFrame:
+    """(_row, set, ne): the sets of entities of each row, and the number of their rows."""
+    each = found.select("_row", F.explode("entities").alias("entity"))
+    sets = each.groupBy("entity").agg(F.count("*").alias("ne"), F.expr("bit_xor(xxhash64(_row))").alias("set"))
+    return each.join(sets, "entity").select("_row", "set", "ne").distinct()
+
+
 def document_frequencies(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """(term, df): documents of the whole corpus that hold each term of ``wanted``.
 
@@ -171,36 +196,64 @@ def document_frequencies(docs: DataFrame, wanted: DataFrame, text_col: str) -> D
 
 
 def disclosures(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
-    """(entity, term, share): the pairs whose share of disclosed information is too high."""
-    pairs = found.select("_row", F.explode("near").alias("n")).select("_row", "n.entity", "n.term").distinct()
-    entities = (found.select("_row", F.explode("near").alias("n")).select("_row", "n.entity").distinct()
-                .groupBy("entity").agg(F.count("*").alias("ne")))
-    both = durable(pairs.groupBy("entity", "term").agg(F.count("*").alias("net")), "term-pairs")
-    frequencies = document_frequencies(docs, both.select("term").distinct(), text_col)
+    """(_row, terms (term, rank)): the terms of each row whose share of disclosed information
+    is too high for one of its entities."""
+    held = durable(held_terms(found), "held-terms")
+    frequencies = document_frequencies(docs, held.select("term").distinct(), text_col)
     total = F.lit(float(max(found.count(), 2)))
-    content = F.greatest(-F.log2(F.col("ne") / total), F.lit(1e-9))
-    rate = F.col("ne") / total
-    pmi = F.log2((F.col("net") + PSEUDO * rate) / ((F.greatest("df", "net") + PSEUDO) * rate))
-    return (both.join(entities, "entity").join(frequencies, "term").withColumn("share", pmi / content)
-            .where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
+    sets = entity_sets(found).withColumn("rate", F.col("ne") / total)
+    # share >= GENERALISE with net = ne, the most it can be, solved for df
+    most = F.col("ne") + PSEUDO * F.col("rate")
+    sets = durable(sets.withColumn("df_most", most / F.pow("rate", F.lit(1 - GENERALISE)) - PSEUDO + F.lit(1e-6)), "entity-sets")
+    widest = sets.groupBy("_row").agg(F.max("df_most").alias("df_most"))
+    rare = held.join(widest, "_row").join(frequencies, "term").where(F.col("df") <= F.col("df_most")).select("_row", "term", "df")
+    pairs = durable(rare.join(sets, "_row").where(F.col("df") <= F.col("df_most")).select("_row", "term", "df", "set", "ne", "rate"), "term-pairs")
+
+    content = F.greatest(-F.log2("rate"), F.lit(1e-9))
+    pmi = F.log2((F.col("net") + PSEUDO * F.col("rate")) / ((F.greatest("df", "net") + PSEUDO) * F.col("rate")))
+
+    def judged(counted: DataFrame) -> DataFrame:
+        rank = F.when(F.col("share") >= REMOVE, F.lit(5)).when(F.col("share") >= GENERALISE, F.lit(4))
+        return counted.withColumn("share", pmi / content).withColumn("rank", rank).where("rank IS NOT NULL")
+
+    alone = judged(pairs.where("ne = 1").withColumn("net", F.lit(1))).select("_row", "term", "rank")
+    several = pairs.where("ne > 1")
+    bad = judged(several.groupBy("set", "term", "df", "ne", "rate").agg(F.count("*").alias("net"))).select("set", "term", "rank")
+    shared = several.select("_row", "set", "term").join(bad, ["set", "term"]).select("_row", "term", "rank")
+    return (alone.unionByName(shared).groupBy("_row", "term").agg(F.max("rank").alias("rank"))
+            .groupBy("_row").agg(F.collect_list(F.struct("term", "rank")).alias("terms")))
+
+
+def mark(found: DataFrame) -> DataFrame:
+    """(doc_id, base, spans): every occurrence of the ``terms`` of a row among its spans."""
+    schema = T.StructType([found.schema["doc_id"], T.StructField("base", _SPANS), T.StructField("spans", _SPANS)])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for base, text, terms in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                spans = _tuples(base)
+                if terms:
+                    ranks = {t["term"]: t["rank"] for t in terms}
+                    words, own = _terms(text, spans)
+                    spans = sorted(spans + [(a, ranks[h], b) for (a, b), h in zip(words, own.tolist(), strict=True) if h in ranks])
+                out.append([{"start": s, "rank": k, "end": e} for s, k, e in spans])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _SPANS_ARROW)], names=["doc_id", "base", "spans"])
+
+    return found.select("doc_id", "spans", "text", "terms").mapInArrow(place, schema)
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, ``spans`` (start, rank, end) sorted by start
-    and rank. Ranks 0 to 3 are the base kinds; 4 is a term to generalise, 5 one to remove.
+    """One row per row of ``docs``: doc_id, ``base`` (the base matches) and ``spans`` (start,
+    rank, end) sorted by start and rank. Ranks 0 to 3 are the base kinds; 4 is a term to
+    generalise, 5 one to remove.
 
     Offsets are code points, ends exclusive. Null and empty texts have no spans. Rows that
     share an id keep their own spans. Other columns are not read.
     """
     found = durable(detect(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "personal-data")
     bad = durable(disclosures(docs, found, text_col), "disclosures")
-    rank = F.when(F.col("share") >= REMOVE, F.lit(5)).otherwise(F.lit(4))
-    extra = (found.select("_row", F.explode("near").alias("n")).select("_row", "n.*").join(bad, ["entity", "term"])
-             .groupBy("_row", "start", "end").agg(F.max(rank).alias("rank"))
-             .groupBy("_row").agg(F.collect_list(F.struct("start", "rank", "end")).alias("terms")))
-    empty = F.array().cast(_SPANS)
-    return (found.select("_row", "doc_id", "spans").join(extra, "_row", "left")
-            .select("doc_id", F.col("spans").alias("base"), F.array_sort(F.concat("spans", F.coalesce("terms", empty))).alias("spans")))
+    return mark(found.join(bad, "_row", "left"))
 
 
 NAMES = (*KINDS, "generalise", "remove")

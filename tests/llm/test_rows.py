@@ -190,6 +190,38 @@ def test_values_of_one_document_have_terms_too(make):
         assert [text[a:b] for a, _, b in got[i]] == [f"person{i}", f"own{i}@ex{i}.org"]
 
 
+def test_terms_anywhere_in_the_document(make):
+    filler = " ".join(f"word{k}" for k in range(200))
+    rows = [(i, f"from kilroy with love {filler} Kilroy wrote {filler} reach me at joe@ex.org now kilroy") for i in range(5)]
+    rows += [(100 + i, f"from somebody with love {filler} wrote {filler} reach me at now {i}") for i in range(60)]
+    got = {r["doc_id"]: [(rows[r["doc_id"]][1][a:b], k) for a, k, b in map(tuple, r["spans"])] for r in
+           sanitise.find_personal_data(make(rows, extra=EXTRA)).collect() if r["doc_id"] < 100}
+    rank = 5 if math.log2((5 + 0.45 * 5 / 65) / (5.45 * 5 / 65)) / math.log2(65 / 5) >= sanitise.REMOVE else 4
+    assert all(got[i] == [("kilroy", rank), ("Kilroy", rank), ("joe@ex.org", 0), ("kilroy", rank)] for i in range(5))
+
+
+def test_disclosures_by_hand(make):
+    words = [f"t{k}" for k in range(12)]
+    texts = [" ".join(w for k, w in enumerate(words) if (i * 7 + k * k) % (k + 2) == 0) for i in range(40)]
+    mails = {e: [i for i in range(40) if i % m == r] for e, m, r in (("a@x.org", 40, 0), ("b@x.org", 17, 3), ("c@x.org", 5, 1), ("d@x.org", 2, 0))}
+    rows = [(i, " ".join([t, *(e for e, own in mails.items() if i in own)])) for i, t in enumerate(texts)]
+    want = {i: {} for i in range(40)}
+    for e, own in mails.items():
+        rate = len(own) / 40
+        for w in words:
+            df = sum(w in t.split() for t in texts)
+            net = sum(w in texts[i].split() for i in own)
+            share = math.log2((net + 0.45 * rate) / ((df + 0.45) * rate)) / -math.log2(rate) if net else 0
+            for i in own:
+                if share >= 0.8 and w in texts[i].split():
+                    want[i][w] = max(want[i].get(w, 0), 5 if share >= 0.97 else 4)
+    got = sanitise.find_personal_data(make(rows)).collect()
+    assert sum(map(len, want.values())) > 3
+    for r in got:
+        text = rows[r["doc_id"]][1]
+        assert {text[a:b]: k for a, k, b in map(tuple, r["spans"]) if k > 3} == want[r["doc_id"]]
+
+
 def test_many_terms_take_the_other_way(make, monkeypatch):
     rows = [(i, "zanzibar joe@ex.org common") for i in range(4)] + [(50 + i, f"common {i}") for i in range(40)]
     few = sorted(map(str, sanitise.find_personal_data(make(rows)).collect()))
