@@ -315,6 +315,23 @@ def test_resampling(make, spark):
     assert resampling.resample(make([]), labels).count() == 0
 
 
+def test_toxic_labels_weigh(make, spark):
+    prose = lambda i: " ".join(f"fine{(i * j) % 7} prose{j % 3}" for j in range(30))
+    spoilt = lambda i: " ".join("vile" if k % 6 == 5 else w for k, w in enumerate(prose(i).split()))
+    rows = [(i, prose(i)) for i in range(40)] + [(100 + i, spoilt(i)) for i in range(40)]
+    rows += [(1000 + i, " ".join(f"plain{i * j % 50} vile" if j == 7 else f"plain{i * j % 50}" for j in range(60))) for i in range(300)]
+    good = [(i, 1, 0) for i in range(20)]
+    toxic = [(100 + i, 1, 1) for i in range(20)]
+    weights = []
+    for marked in (good, good + toxic):
+        labels = spark.createDataFrame(marked, "doc_id long, quality int, toxic int")
+        weights.append({r["doc_id"]: r["log_weight"] for r in resampling.resample(make(rows), labels, share=0.5).collect()})
+    without, with_toxic = weights
+    mean = lambda w, ids: sum(w[i] for i in ids) / len(ids)
+    fall = {k: mean(without, ids) - mean(with_toxic, ids) for k, ids in (("good", range(20, 40)), ("toxic", range(120, 140)))}
+    assert fall["toxic"] > fall["good"] + 0.5  # of documents without a label
+
+
 @given(st.lists(st.integers(-10**12, 10**12), min_size=1, max_size=30), st.integers(1, 30))
 @settings(max_examples=8, deadline=None)
 def test_kth_key(spark, keys, k):
