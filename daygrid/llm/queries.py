@@ -14,9 +14,11 @@ from daygrid.llm import (
     line_dedup,
     near_dedup,
     packing,
+    prefix_trie,
     quality_rules,
     resampling,
     sanitise,
+    sharding,
     warc,
 )
 
@@ -158,3 +160,13 @@ def op6_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     return decontaminate.contaminated_regions(docs, table(spark, folder, "benchmark", "item_id", "text"))
+
+
+@query
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
