@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from daygrid.llm import (
     decontaminate,
+    hard_negatives,
     language_model,
     licenses,
     line_dedup,
@@ -170,3 +171,47 @@ def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label")).alias("label")
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings", "vec_id", "embedding", "label").select("vec_id", "embedding", label))
+
+
+SQL["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other, list_dot_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other, score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.other AS positive_id, (row_number() OVER w)::INTEGER AS rank, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) QUALIFY row_number() OVER w <= 5
+"""
+
+
+SQL["op13_prefix_trie"] = f"""
+WITH o AS (
+  SELECT conv_id AS c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT c, l, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''),
+           lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x = -1 THEN xor(a >> 1, (a & 1) * 3988292384) ELSE xor(a, x) END), 4294967295) % 4 AS h FROM o),
+p AS (SELECT h.c, list_concat(coalesce(b.l[1:h.h], []), h.l[h.h + 1:]) AS l FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+m AS (SELECT c, len(l) AS n, d, l[1:d] AS k FROM p, unnest(range(0, len(l) + 1)) AS x(d)),
+g AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256 FROM m GROUP BY k, d),
+f AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+e AS (SELECT g.*, coalesce(n_children, 0) AS n_children,
+             CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(g.k[d].t, '{_WORDS}')) END AS saved FROM g LEFT JOIN f ON f.k = g.k),
+s AS (SELECT e.k[1:y] AS k, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+      FROM e, unnest(range(0, d + 1)) AS z(y) GROUP BY 1)
+SELECT e.conv_id, e.d AS depth, u.conv_id AS parent_conv_id, e.n_convs, e.n_children, s.n_leaves, s.saved_tokens, e.ends_sha256
+FROM e JOIN s ON s.k = e.k LEFT JOIN g u ON e.d > 0 AND u.d = e.d - 1 AND u.k = e.k[1:e.d - 1]
+"""
