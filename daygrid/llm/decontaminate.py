@@ -102,9 +102,8 @@ class Index:
         where, item, place = self.shared(np.concatenate([x for c in codes for x in (c, gap)]))
         doc = np.searchsorted(begins, where, side="right") - 1
         # a text with too few q-grams of an item anywhere has no band with enough
-        pair = doc * len(self.items) + item
-        few = np.bincount(pair, minlength=len(codes) * len(self.items)) < np.tile(self.bound, len(codes))
-        rest = ~few[pair]
+        names, number, times = np.unique(doc * len(self.items) + item, return_inverse=True, return_counts=True)
+        rest = (times >= self.bound[names % max(1, len(self.items))])[number]
         doc, item, place, where = doc[rest], item[rest], place[rest], where[rest]
         if not len(doc):
             return np.zeros((0, 3), dtype=np.int64)
@@ -225,7 +224,10 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that hold a region, all columns intact; rows without id that
-    hold one stay."""
-    bad = contaminated_regions(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`") == F.col("__bad"), "left_anti")
+    """``docs`` without the rows whose text holds a region, all columns intact. Rows are told
+    apart by their texts, so that rows without id, or of one id, are each judged by their own."""
+    text = F.xxhash64(F.col(f"`{text_col}`"))
+    read = docs.select(text.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    bad = contaminated_regions(read, benchmark).select(F.col("doc_id").alias("bad")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text.alias("name"))  # its columns may have any names
+    return rows.join(bad, F.col("name") == F.col("bad"), "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])

@@ -27,11 +27,34 @@ PHRASES = {
 TAGS = ("spdx-license-identifier:", "license-expression:")
 #: Identifiers that ``permitted`` accepts.
 PERMISSIVE = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc0-1.0", "unlicense", "zlib"})
+#: Identifiers and exceptions of the public license list that tags may name
+#: (``names`` takes others), besides references that begin with ``licenseref-``.
+IDENTIFIERS = frozenset("""
+0bsd afl-2.1 afl-3.0 agpl-1.0 agpl-1.0-only agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.0 apache-1.1 apache-2.0
+apsl-2.0 artistic-1.0 artistic-2.0 beerware blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause
+bsd-3-clause-clear bsd-4-clause bsd-source-code bsl-1.0 busl-1.1 cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0
+cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-3.0 cc-by-nc-nd-4.0 cc-by-nc-sa-3.0 cc-by-nc-sa-4.0 cc-by-nd-3.0 cc-by-nd-4.0
+cc-by-sa-2.0 cc-by-sa-2.5 cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1 cecill-b cecill-c cpal-1.0
+cpl-1.0 ecl-2.0 efl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 ftl gfdl-1.1 gfdl-1.2 gfdl-1.3 gpl-1.0 gpl-1.0-only
+gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later hpnd icu ijg ipl-1.0 isc
+lgpl-2.0 lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only
+lgpl-3.0-or-later libpng lppl-1.3c mit mit-0 mpl-1.0 mpl-1.1 mpl-2.0 mpl-2.0-no-copyleft-exception ms-pl ms-rl mulanpsl-2.0
+ncsa odbl-1.0 odc-by-1.0 ofl-1.1 openssl osl-2.1 osl-3.0 pddl-1.0 php-3.01 postgresql python-2.0 qpl-1.0 ruby sgi-b-2.0
+sissl sleepycat spl-1.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1
+""".split())
+EXCEPTIONS = frozenset("""
+389-exception autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception
+classpath-exception-2.0 ecos-exception-2.0 font-exception-2.0 gcc-exception-2.0 gcc-exception-3.1
+gpl-3.0-linking-exception linux-syscall-note llvm-exception openvpn-openssl-exception qt-gpl-exception-1.0
+u-boot-exception-2.0 wxwindows-exception-3.1
+""".split())
 #: Evidence of a valid tag and of one notice label.
 TAG_WEIGHT, NOTICE_WEIGHT = 0.9, 0.6
 
 _SEPARATORS = re.compile("[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_TOKEN = re.compile(r"\(|\)|[a-z0-9.+-]+")
+_TOKEN = re.compile(r"\(|\)|[a-z0-9](?:[a-z0-9.+-]*[a-z0-9+])?")
+#: What an expression may consist of; anything else ends it, as a comma or a comment's end.
+_EXPRESSION = re.compile(r"[ \t()a-z0-9.+-]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -71,19 +94,25 @@ def postfix(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
-def evaluate(rpn: list[str], allowed: frozenset[str] = PERMISSIVE) -> tuple[bool, list[str]] | None:
+def evaluate(rpn: list[str], allowed: frozenset[str] = PERMISSIVE,
+             names: frozenset[str] = IDENTIFIERS) -> tuple[bool, list[str]] | None:
     """Whether the expression can be met with ``allowed`` licenses, and the licenses it
-    names; ``x with y`` stands and falls with x. None if an operand is missing."""
+    names; ``x with y`` stands and falls with x. None if an operand is missing, or is
+    neither one of ``names`` nor, behind ``with``, an exception."""
     stack: list[tuple[bool, list[str]]] = []
-    for token in rpn:
+    for at, token in enumerate(rpn):
         if token not in _RANK:
-            stack.append((token.rstrip("+") in allowed, [token]))
+            plain = token.rstrip("+")
+            known = plain in names or token.startswith("licenseref-")
+            if not known and not (token in EXCEPTIONS and rpn[at + 1 : at + 2] == ["with"]):
+                return None
+            stack.append((plain in allowed, [token]))
             continue
         if len(stack) < 2:
             return None
         (b, b_names), (a, a_names) = stack.pop(), stack.pop()
         if token == "with":
-            if len(a_names) != 1 or len(b_names) != 1:
+            if len(a_names) != 1 or len(b_names) != 1 or b_names[0] not in EXCEPTIONS:
                 return None
             stack.append((a, a_names))
         else:
@@ -127,9 +156,10 @@ class Scanner:
             at = p
             index.append(counted)
         verdicts, tagged, expressions = [], set(), []
-        for end, _ in self.tags.iter(low):
-            stop = low.find("\n", end)
-            rpn = postfix(low[end + 1 : stop if stop >= 0 else len(low)])
+        tags = [(end + 1 - len(tag), end + 1) for end, (tag,) in self.tags.iter(low)]
+        stops = [*[start for start, _ in tags[1:]], len(low)]
+        for (_, begin), stop in zip(tags, stops, strict=False):
+            rpn = postfix(_EXPRESSION.match(low, begin, stop)[0])
             found = evaluate(rpn) if rpn else None
             if found:
                 verdicts.append(found[0])
@@ -158,7 +188,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``: its id (null stays null) and what the scan found.
 
     ``first_word`` and ``last_word`` are null without a base phrase; ``labels`` holds the
-    labels of all phrases and the licenses of well-formed tags; ``expressions`` are these
+    labels of all phrases and the licenses of well-formed tags (names of the license list,
+    combined by and, or, with; a tag ends where something else begins); ``expressions`` are these
     in postfix order, ``permitted`` whether all can be met by permissive licenses (null
     without one). Null and empty texts give zeros and empty labels. Other columns of
     ``docs`` are not read, so their names cannot clash.

@@ -26,8 +26,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = {"symbols": ("above", 100), "dup_lines": ("above", 500), "repeats": ("above", 150), "word_size": ("both", 4000)}
 #: A fence lies this many quartile distances outside the quartiles.
 REACH = 3
-#: Leading bits that a sketch keeps, and documents that a group needs for a sketch of its own.
-BITS, MIN_DOCS = 7, 50
+#: Leading bits that a sketch keeps, and the documents that the language's sketch counts for
+#: beside those of a group: quartiles are blended by these weights, whatever the group's size.
+BITS, PRIOR = 7, 50
 
 
 def measure(doc: bytes, words: np.ndarray) -> tuple[int, ...]:
@@ -108,9 +109,8 @@ def fences(counts: DataFrame, lang: str = "lang", source: str = "source") -> Dat
         F.col("_lang").alias("_of"), F.col("feature").alias("_feature"), F.col("q1").alias("_q1"), F.col("q3").alias("_q3"))
     joined = quartiles(fine, ["_lang", "_source"]).join(
         coarse, F.col("_lang").eqNullSafe(F.col("_of")) & (F.col("feature") == F.col("_feature")))
-    own = F.col("docs") >= MIN_DOCS
-    joined = joined.withColumns({"_a": F.when(own, F.col("q1")).otherwise(F.col("_q1")),
-                                 "_b": F.when(own, F.col("q3")).otherwise(F.col("_q3"))})
+    blend = f"(docs * {{}} + {PRIOR} * {{}}) div (docs + {PRIOR})"
+    joined = joined.withColumns({"_a": F.expr(blend.format("q1", "_q1")), "_b": F.expr(blend.format("q3", "_q3"))})
     cells = []
     for name, (_, least) in FEATURES.items():
         width = F.greatest(REACH * (F.col("_b") - F.col("_a")), F.lit(least))
@@ -132,6 +132,13 @@ def verdicts(counts: DataFrame, found: DataFrame, lang: str, source: str) -> Dat
     return counts.join(found, group, "left").withColumns({"__base_failed": failed, "__kept": ~failed & ok})
 
 
+def _groups(docs: DataFrame, text_col: str, lang: str, source: str, id_col: str | None = None) -> DataFrame:
+    """The counts of every text beside its group (and its id), under names of their own."""
+    names = {"lang": lang, "source": source} | ({"doc_id": id_col} if id_col else {})
+    read = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()], F.col(f"`{text_col}`").alias("text"))
+    return text_counts(read, list(names), "text")
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang",
           source: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts, ``base_failed`` and ``kept``.
@@ -142,9 +149,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang:
     no words and fail the base; an empty table gives an empty result. Other columns are
     not read, so their names cannot clash.
     """
-    counts = durable(text_counts(docs, [id_col, lang, source], text_col), "text-counts")
-    return verdicts(counts, fences(counts, lang, source), lang, source).select(
-        F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"__{c}").alias(c) for c in COUNTS[:-1]],
+    counts = durable(_groups(docs, text_col, lang, source, id_col), "text-counts")
+    return verdicts(counts, fences(counts), "lang", "source").select(
+        "doc_id", *[F.col(f"__{c}").alias(c) for c in COUNTS[:-1]],
         F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
@@ -154,6 +161,9 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang: str = "lang", sourc
     The fences are stored (a row per language and source); a second pass over the texts
     applies them, so that no text is shuffled while they are small enough to broadcast.
     """
-    found = durable(fences(text_counts(docs, [lang, source], text_col), lang, source), "fences")
-    counted = text_counts(docs, docs.columns, text_col)
-    return verdicts(counted, found, lang, source).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = durable(fences(_groups(docs, text_col, lang, source), "lang", "source"), "fences")
+    # the row as a struct, so that its columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{lang}`").alias("lang"),
+                       F.col(f"`{source}`").alias("source"), F.col(f"`{text_col}`").alias("text"))
+    good = verdicts(text_counts(rows, ["doc", "lang", "source"], "text"), found, "lang", "source").where("__kept")
+    return good.select(*[F.col("doc")[c].alias(c) for c in docs.columns])

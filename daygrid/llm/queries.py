@@ -95,8 +95,8 @@ u AS (SELECT lang, source, feature, (v >> s) << s AS v FROM (
 q AS (SELECT lang, source, feature, count(*) AS n, list_sort(list(v)) AS vs FROM u GROUP BY ALL),
 z AS (SELECT lang, feature, count(*) AS n, list_sort(list(v)) AS vs FROM u GROUP BY ALL),
 e AS (SELECT q.lang, q.source, q.feature,
-             CASE WHEN q.n >= {quality_rules.MIN_DOCS} THEN q.vs[(q.n + 3) // 4] ELSE z.vs[(z.n + 3) // 4] END AS a,
-             CASE WHEN q.n >= {quality_rules.MIN_DOCS} THEN q.vs[(3 * q.n + 3) // 4] ELSE z.vs[(3 * z.n + 3) // 4] END AS b
+             (q.n * q.vs[(q.n + 3) // 4] + {quality_rules.PRIOR} * z.vs[(z.n + 3) // 4]) // (q.n + {quality_rules.PRIOR}) AS a,
+             (q.n * q.vs[(3 * q.n + 3) // 4] + {quality_rules.PRIOR} * z.vs[(3 * z.n + 3) // 4]) // (q.n + {quality_rules.PRIOR}) AS b
       FROM q JOIN z ON q.lang IS NOT DISTINCT FROM z.lang AND q.feature = z.feature),
 y AS (SELECT lang, source, {_FENCED} FROM e GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
