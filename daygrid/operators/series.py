@@ -28,6 +28,11 @@ def in_window(df: DataFrame, lo: int, hi: int, day: str = DAY) -> DataFrame:
     return df.where(F.col(day).between(lo, hi))
 
 
+def by_entity(rows: DataFrame, clustered: bool = False) -> DataFrame:
+    """``rows`` dealt by entity; ``clustered`` says that they lie so already."""
+    return rows if clustered else rows.repartition(ENTITY)
+
+
 def observed(series: DataFrame, lo: int, hi: int) -> DataFrame:
     return in_window(series, lo, hi).where(F.col(VALUE).isNotNull())
 
@@ -123,6 +128,7 @@ def window_features(
     min_points: int = 2,
     slope_default: float | None = None,
     peak_min_points: int = 1,
+    clustered: bool = False,
 ) -> DataFrame:
     """Per (entity, channel): count, mean, median, std, min, max, slope, auc,
     time_to_peak, last_value over the observed points of [lo, hi].
@@ -131,9 +137,9 @@ def window_features(
     picks population (0) or sample (1) deviation; with 1, a single point gives null
     unless ``slope_default`` is set, which then fills both std and slope (the
     two-window flavour writes 0 there). One shuffle by entity serves the window,
-    the aggregate and a later pivot.
+    the aggregate and a later pivot; a series that is stored by entity needs none.
     """
-    points = with_steps(in_window(series, lo, hi).repartition(ENTITY))
+    points = with_steps(by_entity(in_window(series, lo, hi), clustered))
     return aggregate_points(points, KEYS, ddof, min_points, slope_default, peak_min_points)
 
 
@@ -220,7 +226,7 @@ def intensity(series: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def multi_window_features(
-    series: DataFrame, windows: dict[str, tuple[int, int]], **options
+    series: DataFrame, windows: dict[str, tuple[int, int]], clustered: bool = False, **options
 ) -> DataFrame:
     """Window features for several named, disjoint windows in one pass."""
     name = None
@@ -229,11 +235,8 @@ def multi_window_features(
         name = F.when(hit, F.lit(label)) if name is None else name.when(hit, F.lit(label))
     lo = min(a for a, _ in windows.values())
     hi = max(b for _, b in windows.values())
-    tagged = (
-        observed(series, lo, hi).withColumn("window", name).where(F.col("window").isNotNull())
-        .repartition(ENTITY)
-    )
-    points = with_steps(tagged, [*KEYS, "window"])
+    tagged = observed(series, lo, hi).withColumn("window", name).where(F.col("window").isNotNull())
+    points = with_steps(by_entity(tagged, clustered), [*KEYS, "window"])
     settings = {"ddof": 1, "min_points": 2, "slope_default": 0.0, "peak_min_points": 1, **options}
     return aggregate_points(points, [*KEYS, "window"], **settings)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from daygrid.operators import series as S
 from daygrid.operators import splits
+from daygrid.sources import layout
 
 LO, HI = -15, 14
 ORIGIN = date(2024, 1, 16)
@@ -75,6 +76,11 @@ class Tables:
     def series(self) -> DataFrame:
         return self._series(self.events)
 
+    @cached_property
+    def stored(self) -> str:
+        """The series in its stored layout: the name of a table, written on first use."""
+        return layout.store_series(self.series)
+
     def days(self, lo: int, hi: int) -> DataFrame:
         """The series of the days lo…hi, read by a range of ``ts`` that reaches the scan."""
         kind = self.events.schema["ts"].dataType.simpleString()

@@ -11,6 +11,7 @@ from daygrid.operators.cohort import left_features
 from daygrid.plans.bindings import HI, LO, SERIES, STATIC
 from daygrid.plans.feature_table import feature_table, series_features
 from daygrid.plans.registry import query
+from daygrid.sources import layout
 
 WINDOW = """
 , w AS (SELECT * FROM series WHERE day BETWEEN -15 AND 2 AND value IS NOT NULL),
@@ -139,20 +140,29 @@ SELECT entity_id, click AS baseline_click, error AS baseline_error, purchase AS
 FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY day DESC) AS r FROM wide WHERE day < 0) AS x
 WHERE r = 1""", SERIES, "baseline_click baseline_error baseline_purchase baseline_signup baseline_view")
 def last_row_before_cutoff(t):
-    return S.last_row_before(S.to_wide(t.series, t.channels), 0)
+    return S.last_row_before(S.to_wide(t.days(-36_500, -1), t.channels), 0)
 
 
-@query("two_window_features", "A19", """
+TWO_WINDOWS = """
 , tagged AS (SELECT *, CASE WHEN day BETWEEN -15 AND -1 THEN 'baseline' ELSE 'early_post' END AS "window"
              FROM series WHERE day BETWEEN -15 AND 7 AND value IS NOT NULL)
 SELECT entity_id, channel, "window", count(*) AS count, avg(value) AS mean,
        coalesce(stddev_samp(value), 0) AS std, min(value) AS min, max(value) AS max,
        CASE WHEN count(*) >= 2 THEN regr_slope(value, day) ELSE 0 END AS slope,
        arg_max(day, (value, -day)) AS time_to_peak
-FROM tagged GROUP BY 1, 2, 3""", SERIES, "mean std min max slope")
+FROM tagged GROUP BY 1, 2, 3"""
+TWO_COLUMNS = ["entity_id", "channel", "window", "count", "mean", "std", "min", "max", "slope", "time_to_peak"]
+
+
+@query("two_window_features", "A19", TWO_WINDOWS, SERIES, "mean std min max slope")
 def two_window_features(t):
-    f = S.multi_window_features(t.days(-15, 7), {"baseline": (-15, -1), "early_post": (0, 7)})
-    return f.select("entity_id", "channel", "window", "count", "mean", "std", "min", "max", "slope", "time_to_peak")
+    return S.multi_window_features(t.days(-15, 7), {"baseline": (-15, -1), "early_post": (0, 7)}).select(*TWO_COLUMNS)
+
+
+@query("stored_two_window_features", "A19 P10", TWO_WINDOWS, SERIES, "mean std min max slope")
+def stored_two_window_features(t):
+    days = layout.stored_series(t.spark, t.stored, -15, 7)
+    return S.multi_window_features(days, {"baseline": (-15, -1), "early_post": (0, 7)}, clustered=True).select(*TWO_COLUMNS)
 
 
 def _wide_sql(stats, channels=("click", "error", "purchase", "signup", "view")) -> str:
@@ -166,7 +176,7 @@ FEATURE_COLUMNS = [
 ]
 
 
-@query("feature_table", "J1 J7a P10 P16 A11 A13 A14 A17 A18", WINDOW + f"""
+FEATURE_SQL = WINDOW + f"""
 , wide AS (SELECT entity_id, {_wide_sql(FEATURE_STATS)} FROM feats GROUP BY 1),
 meter AS (SELECT entity_id, count(value) AS total_nonmiss,
                  count(DISTINCT CASE WHEN value IS NOT NULL THEN day END) AS days_with_any
@@ -175,11 +185,36 @@ SELECT s.entity_id, acctbal AS s_acctbal, segment AS s_segment, region AS s_regi
        age AS s_age, crs AS s_crs, icans AS s_icans, sex AS s_sex,
        wide.* EXCLUDE (entity_id), total_nonmiss, days_with_any
 FROM static s LEFT JOIN wide ON wide.entity_id = s.entity_id LEFT JOIN meter ON meter.entity_id = s.entity_id
-""", SERIES + "," + STATIC, ["s_acctbal", *FEATURE_COLUMNS])
+"""
+
+
+@query("feature_table", "J1 J7a P10 P16 A11 A13 A14 A17 A18", FEATURE_SQL, SERIES + "," + STATIC, ["s_acctbal", *FEATURE_COLUMNS])
 def feature_table_query(t):
     return feature_table(t.static, t.days(-15, 2), t.channels, FEATURE_STATS, -15, 2)
 
 
+@query("stored_feature_table", "J1 P10 A11 A13 A14 A17 A18", FEATURE_SQL, SERIES + "," + STATIC, ["s_acctbal", *FEATURE_COLUMNS])
+def stored_feature_table(t):
+    """The same table from the stored layout, both sides in the buckets of the series."""
+    static = t.spark.table(layout.store_by_entity(t.static, t.stored))
+    series = layout.stored_series(t.spark, t.stored, -15, 2)
+    return feature_table(static, series, t.channels, FEATURE_STATS, -15, 2, clustered=True)
+
+
+@query("stored_window_features", "P10 A11 A12 A13 A14 A16 A17", WINDOW + " SELECT * FROM feats", SERIES,
+       "mean median std min max slope auc last_value")
+def stored_window_features(t):
+    return S.window_features(layout.stored_series(t.spark, t.stored, -15, 2), -15, 2, clustered=True)
+
+
+@query("stored_carried_auc", "P10 A15", CARRIED + """
+SELECT entity_id, channel, sum(step) AS auc FROM (
+  SELECT entity_id, channel, (v + lag(v) OVER (PARTITION BY entity_id, channel ORDER BY day)) / 2 AS step
+  FROM filled) AS s GROUP BY 1, 2""", SERIES, "auc")
+def stored_carried_auc(t):
+    return S.carried_auc(layout.stored_series(t.spark, t.stored, -15, 2), -15, 2)
+
+
 TWO_MEANS = [f"""avg(CASE WHEN channel = '{c}' AND "window" = '{w}' THEN value END) AS {c}_{w}_mean"""
              for c in ("click", "error", "purchase", "signup", "view") for w in ("baseline", "early_post")]
 

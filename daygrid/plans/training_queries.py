@@ -109,7 +109,7 @@ SELECT sp.entity_id, segment, crs, baseline_click, split, fold
 FROM sp LEFT JOIN f ON f.entity_id = sp.entity_id LEFT JOIN last ON last.entity_id = sp.entity_id""",
        SERIES + "," + STATIC, "baseline_click")
 def model_table_query(t):
-    out = model_table(t.static, t.series, t.channels, "crs", ["age"], max_missing_pct=None)
+    out = model_table(t.static, t.days(-15, 0), t.channels, "crs", ["age"], max_missing_pct=None)
     return out.select("entity_id", "segment", "crs", "baseline_click", "split", "fold")
 
 
