@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daygrid.operators import evaluate, prep, splits, training
@@ -36,18 +39,42 @@ MODELS = ("logistic_regression", "random_forest", "decision_tree", "gradient_boo
 
 @query("classifier_scores", "M9 M11 E1")
 def classifier_scores(t):
+    """Every kind of classifier, weighted where it can be, judged on the test rows."""
     rows = model_rows(t)
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    parts = []
-    for name in MODELS:
-        model = training.classifier(name, n_features=len(FEATURES)).fit(train)
-        parts.append(
-            training.positive_score(model, test).select(F.lit(name).alias("model"), "id", F.col("label").alias("y"), "score")
-        )
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    return evaluate.auc(durable(scored, "scores"), ["model"])
+    fits = [training.classifier(name, n_features=len(FEATURES)) for name in MODELS]
+    models = training.fit_all(train, fits, weighted=True)
+    parts = [training.positive_score(m, test).select(F.lit(name).alias("model"), "id", F.col("label").alias("y"), "score")
+             for name, m in zip(MODELS, models, strict=True)]
+    return evaluate.summary(durable(reduce(DataFrame.unionByName, parts), "scores"), ["model"])
+
+
+LONG_FEATURES = """
+, x AS (SELECT id, fold, split, y, unnest(['size', 'blank_share', 'line_count', 'phase']) AS f,
+               unnest([ln(1 + n_chars::DOUBLE), (length(text) - length(replace(text, ' ', ''))) / greatest(length(text), 1)::DOUBLE,
+                       ln(1 + (length(text) - length(replace(text, chr(10), '')))::DOUBLE), (length(text) % 97) / 97::DOUBLE]) AS v
+        FROM folds JOIN documents ON id = doc_id)"""
+# with class weights the priors are equal, so the odds are those of the densities
+POSTERIOR = """
+, l AS (SELECT x.id, s.y, sum(-0.5 * ln(s.q) - (x.v - s.m) * (x.v - s.m) / (2 * s.q)) AS ll
+        FROM x JOIN s ON s.f = x.f AND {held} GROUP BY 1, 2),
+p AS (SELECT id, 1 / (1 + exp(least(700, max(CASE WHEN y = 0 THEN ll END) - max(CASE WHEN y = 1 THEN ll END)))) AS score FROM l GROUP BY 1)"""
+
+
+@query("naive_bayes_scores", "M9 M11", LONG_FEATURES + """
+, s AS (SELECT f, y, avg(v) AS m, var_pop(v) AS q FROM x WHERE split = 'train' GROUP BY 1, 2)""" + POSTERIOR.format(held="x.split = 'test'")
+       + " SELECT p.id, folds.y, score FROM p JOIN folds ON folds.id = p.id", FOLDS, "score")
+def naive_bayes_scores(t):
+    rows = model_rows(t)
+    model, = training.fit_all(rows.where("split = 'train'"), [training.classifier("naive_bayes")], weighted=True)
+    return training.positive_score(model, rows.where("split = 'test'")).select("id", F.col("label").alias("y"), "score")
+
+
+@query("out_of_fold_naive_bayes", "M12 M11 M9", LONG_FEATURES + """
+, s AS (SELECT k, f, y, avg(v) AS m, var_pop(v) AS q FROM x, range(1, 6) AS r(k) WHERE fold <> k GROUP BY 1, 2, 3)"""
+       + POSTERIOR.format(held="x.fold = s.k") + " SELECT p.id, folds.fold, folds.y, score FROM p JOIN folds ON folds.id = p.id", FOLDS, "score")
+def out_of_fold_naive_bayes(t):
+    return training.out_of_fold(model_rows(t), training.classifier("naive_bayes"), keep=["id"], weighted=True)
 
 
 @query("out_of_fold_scores", "M12 M11", "SELECT id, fold, y, true AS scored FROM folds JOIN documents ON id = doc_id", FOLDS)
@@ -68,9 +95,32 @@ def out_of_fold_metrics(t):
 
 @query("grid_search", "M10 K3")
 def grid_search(t):
-    estimator = LogisticRegression()
-    _, table, _ = training.grid_search(model_rows(t), estimator, {"regParam": [0.01, 0.1]})
-    return table
+    """Strength and kind of the penalty of a weighted logistic regression: metrics per setting and fold."""
+    grid = {"regParam": [0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]}
+    return training.grid_search(model_rows(t), LogisticRegression(), grid, weighted=True)[2]
+
+
+@query("grid_search_forest", "M10 M11 K3")
+def grid_search_forest(t):
+    """Depth and number of trees of a weighted forest: metrics per setting and fold."""
+    forest = training.classifier("random_forest")
+    return training.grid_search(model_rows(t), forest, {"maxDepth": [3, 5], "numTrees": [10, 20]}, weighted=True)[2]
+
+
+@query("grid_search_one_feature", "M10 M11 K3", """
+, x AS (SELECT fold, y, n_chars AS v FROM folds JOIN documents ON id = doc_id),
+r AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY v) + (count(*) OVER (PARTITION BY fold, v) - 1) / 2::DOUBLE AS place FROM x),
+a AS (SELECT fold, sum(y) AS n1, count(*) - sum(y) AS n0, (sum(place) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2::DOUBLE)
+             / (sum(y) * (count(*) - sum(y)))::DOUBLE AS area FROM r GROUP BY fold),
+c AS (SELECT k AS fold, covar_pop(ln(1 + v::DOUBLE), y) AS c FROM x, range(1, 6) AS g(k) WHERE fold <> k GROUP BY k),
+m AS (SELECT a.fold, CASE WHEN c.c > 0 THEN area ELSE 1 - area END AS auc FROM a JOIN c ON c.fold = a.fold)
+SELECT setting::INTEGER AS setting, avg(auc) AS mean_auc, stddev_pop(auc) AS std_auc, count(*) AS n_folds FROM m, range(0, 6) AS z(setting) GROUP BY 1""",
+       FOLDS, "mean_auc std_auc")
+def grid_search_one_feature(t):
+    """A logistic regression on one feature orders rows as the feature does, whatever the penalty."""
+    rows = training.assemble(model_rows(t).drop("features"), ["size"])
+    grid = {"regParam": [0.001, 0.01, 0.1], "standardization": [True, False]}
+    return training.grid_search(rows, LogisticRegression(), grid, weighted=True)[1].drop("params")
 
 
 @query("feature_importance", "M13 K2")
@@ -88,11 +138,33 @@ def linear_contributions(t):
     return training.linear_contributions(t.static, {"acctbal": 0.002, "age": -0.3})
 
 
+PATH = [10 ** (-4 + 3 * i / 19) for i in range(20)]
+
+
+def picked(table, picks):
+    return table.withColumns({n: F.col("lambda") == picks[n] for n in ("lambda_min", "lambda_1se")})
+
+
 @query("l1_path", "M15")
 def l1_path(t):
-    path = [10 ** (-4 + 3 * i / 19) for i in range(20)]
-    table, picks = training.l1_path(model_rows(t), path)
-    return table.withColumns({n: F.col("lambda") == picks[n] for n in ("lambda_min", "lambda_1se")})
+    return picked(*training.l1_path(model_rows(t), PATH))
+
+
+@query("l1_path_one_feature", "M15", """
+, x AS (SELECT fold, y::DOUBLE AS y, ln(1 + n_chars::DOUBLE) AS x FROM folds JOIN documents ON id = doc_id),
+g AS (SELECT pow(10, -4 + 3 * i / 19::DOUBLE) AS l FROM range(0, 20) AS r(i)),
+s AS (SELECT k, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS c, var_pop(x) AS v, stddev_pop(x) AS sd
+      FROM x, range(0, 6) AS r(k) WHERE fold <> k GROUP BY k),
+b AS (SELECT k, l, mx, my, sign(c) * greatest(abs(c) - l * sd, 0) / v AS b FROM s, g),
+e AS (SELECT k, l, avg(pow(y - my - b * (x - mx), 2)) AS mse FROM b JOIN x ON x.fold = b.k GROUP BY 1, 2),
+m AS (SELECT l, avg(mse) AS mean_mse, stddev_pop(mse) AS std_mse FROM e GROUP BY 1),
+o AS (SELECT min(mean_mse) AS low, arg_min(std_mse, (mean_mse, -l)) AS sd, arg_min(l, (mean_mse, -l)) AS at FROM m)
+SELECT m.l AS "lambda", mean_mse, std_mse, CAST(b.b <> 0 AS INTEGER) AS df, m.l = o.at AS lambda_min,
+       m.l = (SELECT max(l) FROM m, o WHERE mean_mse <= low + sd) AS lambda_1se
+FROM m JOIN b ON b.l = m.l AND b.k = 0, o""", FOLDS, "lambda mean_mse std_mse")
+def l1_path_one_feature(t):
+    rows = training.assemble(model_rows(t).drop("features"), ["size"])
+    return picked(*training.l1_path(rows, PATH))
 
 
 @query("model_table", "J1 J7a P5 P9 F7 W5 W6", """
