@@ -8,14 +8,18 @@ are exact and heavy ties are cheap; no group is ever sorted in one task.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daygrid.functions.recode import clip
-from daygrid.operators.running import BUCKET, INF, numeric_bucket, numeric_cuts, running_sums
+from daygrid.operators.running import BUCKET, INF, default_buckets, numeric_bucket, numeric_cuts, running_sums
+from daygrid.session import durable
 
 def _pos() -> Column:
     return (F.col("y") == 1).cast("long")
@@ -272,48 +276,136 @@ def poisson_steps() -> list[float]:
     return [s for s in steps if s < 1.0]
 
 
-def _replicated(rows: DataFrame, row_id: str, replicates: int, seed: int) -> DataFrame:
-    """Every row once per replicate, with a Poisson(1) weight from a hash of both."""
-    each = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    key = F.concat_ws("-", F.lit(str(seed)), F.col(row_id).cast("string"), F.col("replicate").cast("string"))
-    drawn = each.withColumn("_u", F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(2**52))
-    steps = poisson_steps()
-    weight = F.when(F.col("_u") <= steps[0], 0)
-    for n, step in enumerate(steps[1:], 1):
-        weight = weight.when(F.col("_u") <= step, n)
-    kept = drawn.where(F.col("_u") > steps[0]).withColumn("_w", weight.otherwise(len(steps)).cast("long"))
-    return kept.withColumns({"pos": F.col("_w") * _pos(), "neg": F.col("_w") * _neg()}).drop("_u")
+def _drawn(ids: Sequence[str | None], replicates: int, seed: int) -> np.ndarray:
+    """The Poisson(1) weight of every row in every replicate, from a hash of both."""
+    numbers = [str(r).encode() for r in range(1, replicates + 1)]
+    out = bytearray()
+    for i in ids:
+        start = md5(f"{seed}-{i}-".encode() if i is not None else f"{seed}-".encode())
+        for n in numbers:
+            each = start.copy()
+            each.update(n)
+            out += each.digest()[:8]
+    share = (np.frombuffer(bytes(out), dtype=">u8") >> np.uint64(12)).astype(np.float64) / 2.0**52
+    return np.searchsorted(np.array(poisson_steps()), share, side="left").astype(np.int64).reshape(len(ids), replicates)
+
+
+#: Rows whose weights are held at a time.
+_ROWS = 256
+
+
+class _Resampled:
+    """One bucket of rows by falling score, for all replicates at once."""
+
+    def __init__(self, replicates: int) -> None:
+        self.pos, self.neg = np.zeros(replicates, dtype=np.int64), np.zeros(replicates, dtype=np.int64)
+        self.pairs = np.zeros(replicates)
+        self.score: float | None = None  # the tie that may go on
+        self.tie = (self.pos.copy(), self.neg.copy())
+
+    def _close(self, p: np.ndarray, n: np.ndarray) -> None:
+        """Ties (a row each) whose rows are all known: a positive above counts 1, beside 1/2."""
+        above = self.pos + np.cumsum(p, axis=0) - p
+        self.pairs += (n * (above + p / 2.0)).sum(axis=0)
+        self.pos, self.neg = self.pos + p.sum(axis=0), self.neg + n.sum(axis=0)
+
+    def add(self, score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        begin = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+        p, n = (np.add.reduceat(weight * (y == k)[:, None], begin, axis=0) for k in (1, 0))
+        if score[0] == self.score:
+            p[0] += self.tie[0]
+            n[0] += self.tie[1]
+        elif self.score is not None:
+            self._close(*(x[None] for x in self.tie))
+        self._close(p[:-1], n[:-1])
+        self.score, self.tie = score[-1], (p[-1], n[-1])
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self._close(*(x[None] for x in self.tie))
+        return self.pos, self.neg, self.pairs
+
+
+def _resampled_buckets(dealt: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(bucket, pos, neg, pairs) with a number per replicate in each list."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+
+        def out() -> pa.RecordBatch:
+            lists = [pa.array([x.tolist()], pa.list_(t)) for x, t in zip(state.result(), (pa.int64(), pa.int64(), pa.float64()), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), *lists], names=[BUCKET, "pos", "neg", "pairs"])
+
+        for batch in batches:
+            bucket, score, y, salt = (batch.column(k).to_numpy() for k in (0, 1, 2, 4))
+            ids = batch.column(3).to_pylist()
+            edges = [0, *(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(salt) != 0)) + 1), len(bucket)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo < hi and (bucket[lo], salt[lo]) != now:
+                    if now is not None:
+                        yield out()
+                    now, state = (int(bucket[lo]), int(salt[lo])), _Resampled(replicates)
+                for at in range(lo, hi, _ROWS):
+                    part = slice(at, min(at + _ROWS, hi))
+                    state.add(score[part], y[part], _drawn(ids[part], replicates, seed))
+        if now is not None:
+            yield out()
+
+    rows = dealt.select(BUCKET, "score", F.col("y").cast("int"), F.col("_id").cast("string"), "_salt")
+    return rows.repartition(BUCKET, "_salt").sortWithinPartitions(BUCKET, "_salt", F.desc("score")).mapInArrow(
+        walk, f"{BUCKET} int, pos array<long>, neg array<long>, pairs array<double>")
+
+
+def _known(scores: DataFrame, row_id: str) -> DataFrame:
+    return scores.where(F.col("score").isNotNull() & F.col("y").isin(0, 1)).select(
+        F.col(row_id).alias("_id"), F.col("score").cast("double").alias("score"), "y")
 
 
 def bootstrap_auc_values(scores: DataFrame, row_id: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """(replicate, value): AUC of each Poisson resample.
 
-    The rows are shuffled once, by score bucket, before the weights are drawn; what the
-    buckets pass on to each other is a total per (bucket, replicate).
+    The rows are shuffled once, by score bucket, and streamed by falling score; their
+    weights are vectors with a place per replicate, and so are the sums that a bucket keeps.
+    What the buckets pass on to each other is a vector of totals each. A score with a
+    bucket's share of all rows is a bucket of its own, whose rows are dealt at will: they
+    are one tie, so their totals say all.
     """
-    known = scores.where(F.col("score").isNotNull() & F.col("y").isin(0, 1)).select(F.col(row_id).alias("_id"), "score", "y")
-    cuts = numeric_cuts(known.select("score").distinct(), "score")
-    dealt = numeric_bucket(known, "score", cuts).repartition(BUCKET)
-    drawn = _replicated(dealt, "_id", replicates, seed)
-    ties = drawn.groupBy(BUCKET, "replicate", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    above = Window.partitionBy(BUCKET, "replicate").orderBy(F.desc("score"))
-    inside = ties.withColumn("_p", F.sum("pos").over(above.rowsBetween(Window.unboundedPreceding, 0)))
-    cells = inside.groupBy(BUCKET, "replicate").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
-        F.sum(F.col("neg") * (F.col("_p") - F.col("pos") / 2.0)).alias("pairs"))
+    known = _known(scores, row_id)
+    buckets = default_buckets(known)
+    counts = durable(known.groupBy("score").agg(F.count("*").alias("n")), "score-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = [r["score"] for r in counts.where(F.col("n") * buckets >= total).collect()]  # at most ``buckets``
+    cuts = sorted({*numeric_cuts(counts.select("score"), "score", buckets), *hot, *(math.nextafter(h, INF) for h in hot)} - {INF, -INF})
+    alone = [cuts.index(h) + 1 for h in hot if h in cuts]
+    dealt = numeric_bucket(known, "score", cuts).withColumn(
+        "_salt", F.when(F.col(BUCKET).isin(alone), F.pmod(F.xxhash64("_id"), F.lit(buckets))).otherwise(0).cast("int"))
+    cells = _resampled_buckets(dealt, replicates, seed)
+    parts = cells.select(BUCKET, F.posexplode(F.arrays_zip("pos", "neg", "pairs")).alias("_r", "_v")).select(
+        BUCKET, (F.col("_r") + 1).alias("replicate"), "_v.*")
+    flat = parts.groupBy(BUCKET, "replicate").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "pairs")]).withColumn(
+        "pairs", F.when(F.col(BUCKET).isin(alone), F.col("pos") * F.col("neg") / 2.0).otherwise(F.col("pairs")))
     earlier = Window.partitionBy("replicate").orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
-    carried = cells.withColumn("_before", F.coalesce(F.sum("pos").over(earlier), F.lit(0)))
+    carried = flat.withColumn("_before", F.coalesce(F.sum("pos").over(earlier), F.lit(0)))
     pairs = F.sum(F.col("pairs") + F.col("neg") * F.col("_before"))
     return carried.groupBy("replicate").agg(F.try_divide(pairs, F.sum("pos").cast("double") * F.sum("neg")).alias("value"))
 
 
 def bootstrap_brier_values(scores: DataFrame, row_id: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """(replicate, value): Brier score of each resample; only sums per replicate are shuffled."""
-    known = scores.where(F.col("score").isNotNull() & F.col("y").isin(0, 1)).select(F.col(row_id).alias("_id"), "score", "y")
-    s = F.col("score")
-    loss = F.col("pos") * F.pow(s - 1, F.lit(2.0)) + F.col("neg") * F.pow(s, F.lit(2.0))
-    return _replicated(known, "_id", replicates, seed).groupBy("replicate").agg(
-        F.try_divide(F.sum(loss), F.sum(F.col("pos") + F.col("neg"))).alias("value"))
+    """(replicate, value): Brier score of each resample; every task passes on two sums per replicate."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, count = np.zeros(replicates), np.zeros(replicates, dtype=np.int64)
+        for batch in batches:
+            each = (batch.column(0).to_numpy() - batch.column(1).to_numpy()) ** 2
+            ids = batch.column(2).to_pylist()
+            for at in range(0, len(ids), _ROWS):
+                weight = _drawn(ids[at : at + _ROWS], replicates, seed)
+                loss += each[at : at + _ROWS] @ weight
+                count += weight.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(1, replicates + 1), pa.int32()), pa.array(loss), pa.array(count)], names=["replicate", "loss", "n"])
+
+    rows = _known(scores, row_id).select(F.col("score").cast("double"), F.col("y").cast("int"), F.col("_id").cast("string"))
+    return rows.mapInArrow(walk, "replicate int, loss double, n long").groupBy("replicate").agg(
+        F.try_divide(F.sum("loss"), F.sum("n")).alias("value"))
 
 
 def bootstrap_ci(

@@ -280,3 +280,33 @@ def test_binarizer_in_a_pipeline(spark):
     df = spark.createDataFrame([(3,), (1,), (None,)], "g int")
     model = Pipeline(stages=[columns.Binarizer({"g": 2}, suffix="_hi")]).fit(df)
     assert [r["g_hi"] for r in model.transform(df).collect()] == [1, 0, None]
+
+
+def test_bootstrap_counts_every_pair(spark):
+    """Values per replicate against all pairs, with ties, a hot score, an id that is null and a lone class."""
+    import hashlib
+    import random
+
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice([0.5, rnd.random(), round(rnd.random(), 1)]), rnd.randrange(2)) for i in range(300)]
+    rows += [(1000 + i, 0.25, i % 3 % 2) for i in range(300)] + [(None, 0.7, 1), (2000, None, 1), (2001, 0.3, None)]
+    df = spark.createDataFrame(rows, "id long, score double, y int").repartition(5)
+    steps = evaluate.poisson_steps()
+
+    def weight(i, r):
+        key = "-".join(str(x) for x in (42, i, r) if x is not None)
+        u = int(hashlib.md5(key.encode()).hexdigest()[:13], 16) / 2**52
+        return sum(u > s for s in steps)
+
+    for r in (1, 7, 12):
+        known = [(s, y, weight(i, r)) for i, s, y in rows if s is not None and y is not None]
+        pos, neg = ([(s, w) for s, y, w in known if y == k and w] for k in (1, 0))
+        pairs = sum(a * b * ((s > t) + (s == t) / 2) for s, a in pos for t, b in neg)
+        want = pairs / (sum(w for _, w in pos) * sum(w for _, w in neg))
+        got = {x["replicate"]: x["value"] for x in evaluate.bootstrap_auc_values(df, "id", 12).collect()}
+        assert abs(got[r] - want) < 1e-12
+        brier = {x["replicate"]: x["value"] for x in evaluate.bootstrap_brier_values(df, "id", 12).collect()}
+        assert abs(brier[r] - sum(w * (s - y) ** 2 for s, y, w in known) / sum(w for *_, w in known)) < 1e-12
+    lone = evaluate.bootstrap_auc_values(df.where("y = 1"), "id", 3).collect()
+    assert len(lone) == 3 and all(x["value"] is None for x in lone)
+    assert evaluate.bootstrap_auc_values(df.where("false"), "id", 3).count() == 0
