@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daygrid.operators import neighbours
 from daygrid.operators.columns import constant_flags, q
 from daygrid.operators.profile import melted
-from daygrid.operators.running import dense_numbers, exact_quantiles, running_sums
+from daygrid.operators.running import dense_numbers, exact_quantiles
 from daygrid.operators.splits import hashes_at, members_of, shuffle_key
 from daygrid.session import bounded, durable
 
@@ -168,58 +168,14 @@ class Preprocessor:
         return self.model.transform(scale(self._fill(df), self.scaling))
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
-
-
-def _places(points: DataFrame, at: str) -> DataFrame:
-    """``points`` with their place in the order of ``at``, whatever the layout.
-
-    Equal values share their run of places evenly, by the hash of the id.
-    """
-    run = running_sums(points, [], at, {"n": F.lit(1).cast("long")})
-    ties = run.select(F.col(at).alias("_v"), "n", (F.col("cum_n") - F.col("n")).alias("_before"))
-    spread = F.pmod(F.xxhash64("id"), F.lit(2**31)) / float(2**31)
-    return points.join(ties, F.col(at) == F.col("_v")).withColumn(
-        "place", F.col("_before") + F.floor(spread * F.col("n"))).drop("_v", "n", "_before")
-
-
-def near_neighbours(points: DataFrame, k: int, size: int, width: int = 32, projections: int = 4, seed: int = 42) -> DataFrame:
-    """(id, x, near): the k nearest points among those close by along random directions.
-
-    Along each seeded direction the points are numbered, the numbers are cut into bands of
-    ``width`` places, and a point meets its own band and the two beside it. Work and memory
-    per point are fixed, and the result depends neither on partitions nor on row order.
-    """
-    rng = np.random.default_rng(seed)
-    found = None
-    for number, direction in enumerate(rng.standard_normal((projections, size))):
-        weights = F.array(*[F.lit(float(w)) for w in direction])
-        at = F.aggregate(F.zip_with("x", weights, lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
-        placed = _places(points.withColumn("_at", at), "_at")
-        band = F.floor(F.col("place") / width)
-        near = placed.select("id", "x", F.lit(number).alias("way"), band.alias("own"),
-                             F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-        found = near if found is None else found.unionByName(near)
-    member = F.struct("id", "x", (F.col("own") == F.col("band")).alias("home"))
-    bands = found.groupBy("way", "band").agg(F.collect_list(member).alias("_m"))
-    meets = bands.select(F.explode(F.filter("_m", lambda m: m["home"])).alias("p"), "_m").select(
-        F.col("p.id").alias("id"), F.col("p.x").alias("x"), F.transform("_m", lambda m: F.struct(m["id"].alias("id"), m["x"].alias("x"))).alias("_c"))
-    merged = meets.groupBy("id").agg(F.any_value("x").alias("x"), F.array_distinct(F.flatten(F.collect_list("_c"))).alias("_c"))
-    ranked = F.array_sort(F.transform(
-        F.filter("_c", lambda c: c["id"] != F.col("id")),
-        lambda c: F.struct(_distance(c["x"], F.col("x")).alias("d"), c["id"].alias("id"), c["x"].alias("x"))))
-    return merged.select("id", "x", F.transform(F.slice(ranked, 1, k), lambda c: c["x"]).alias("near"))
-
-
 def smote(
     df: DataFrame, entity: str, label: str, features: Sequence[str], k: int = 5, seed: int = 42,
 ) -> DataFrame:
     """Synthetic minority rows (label 1) until both classes are equal in number.
 
     Each is a random point on the line from a minority row to one of its k nearest
-    neighbours among the minority rows close by (``near_neighbours``). Every minority row
-    serves equally often; the remainder goes to the rows first in seeded hash order. A
+    neighbours in the minority, found exactly (``neighbours.nearest``). Rows that miss a
+    feature serve neither way. Every other minority row serves equally often; the remainder goes to the rows first in seeded hash order. A
     synthetic row is no entity: its entity is null, and ``source`` names the row it began from.
     """
     counts = df.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
@@ -227,10 +183,12 @@ def smote(
     minority = durable(df.where(F.col(label) == 1).select(
         F.col(entity).alias("id"), F.array(*[F.col(q(c)).cast("double") for c in features]).alias("x")
     ), "minority")
-    new, have = counts["n"] - counts["p"], counts["p"]
+    minority = minority.where(F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c)))
+    new, have = counts["n"] - counts["p"], minority.count()
     if have < 2 or new <= 0:
         return df.select(F.lit(None).cast(kind).alias(entity), label, *features, F.col(entity).alias("source")).limit(0)
-    near = near_neighbours(minority, k, len(features), seed=seed)
+    near = neighbours.nearest(minority, k).groupBy("id", "x").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "y"))), lambda e: e["y"]).alias("near"))
     each, extra = divmod(new, have)
     times = F.lit(each)
     if extra:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from daygrid.operators import prep, splits, stats
+from daygrid.operators import neighbours, prep, splits, stats
 from daygrid.plans.bindings import FOLDS, STATIC
 from daygrid.plans.registry import query
 
@@ -331,3 +331,17 @@ def smote_counts(t):
     return made.agg(
         F.count(F.lit(1)).alias("n_new"), F.count_if(~F.col("n_chars").between(ends[0], ends[1])).alias("n_outside")
     )
+
+
+@query("nearest_minority", "M8", """
+, m AS (SELECT id, n_chars::DOUBLE AS a, length(text)::DOUBLE AS b, length(text) - length(replace(text, ' ', '')) AS c
+        FROM folds JOIN documents ON id = doc_id WHERE y = 0),
+d AS (SELECT p.id, q.id AS neighbour, pow(p.a - q.a, 2) + pow(p.b - q.b, 2) + pow(p.c - q.c, 2) AS square FROM m p JOIN m q ON p.id <> q.id)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY square, neighbour) AS INTEGER) AS rank, neighbour, square FROM d
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY square, neighbour) <= 5""", FOLDS, "square")
+def nearest_minority(t):
+    """The neighbours that synthetic rows are drawn towards: ids, not counts."""
+    blanks = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
+    docs = t.documents.select(F.col("doc_id").alias("id"), F.array("n_chars", F.length("text").cast("long"), blanks.cast("long")).alias("x"))
+    rare = t.members.where("y = 0").join(docs, "id").select("id", F.transform("x", lambda v: v.cast("double")).alias("x"))
+    return neighbours.nearest(rare, 5).select("id", "rank", "neighbour", "square")
