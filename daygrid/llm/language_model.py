@@ -1,9 +1,10 @@
 """Language-model scoring: a log-bilinear model trained with noise-contrastive estimation.
 
 Word counts of all training texts give the base model and the vocabulary: the commonest
-words are classes of their own, all others share a class and are told apart inside it by
-their counts. The log-bilinear model predicts the class from the two before it. Its
-context acts as a sum, so the normaliser of every context is one cell of a matrix product
+words are classes of their own; the others that occur twice or more are grouped by the
+common word that they stand beside more than others do; words seen once share a class with
+unknown ones. The log-bilinear model predicts the class from the two before it, and inside a
+class words are told apart by their counts. The model's context acts as a sum, so the normaliser of every context is one cell of a matrix product
 of two exponentiated score tables, and every token's log-probability is normalised.
 """
 
@@ -21,8 +22,12 @@ from daygrid.session import durable
 
 #: Words (16 bytes each) whose counts travel to the tasks; the others' counts are joined.
 SHIPPED = 1 << 17
-CLASSES, SIZE, ROUNDS, BATCH, NOISE, RATE = 512, 16, 4, 2048, 32, 0.06
+CLASSES, SIZE, ROUNDS, BATCH, NOISE, RATE = 1024, 16, 4, 2048, 32, 0.06
 END, RARE = 0, 1
+#: Common words that group others, those before and those behind them; words that are grouped
+#: occur LEAST times.
+ANCHORS, LEAST = 128, 2
+GROUPS = 2 * ANCHORS
 #: Taken off the count of every word of the shared class and given to unknown words as one.
 DISCOUNT = 0.5
 #: The training share is all but one remainder in this many.
@@ -87,25 +92,54 @@ def groups(arrays: Iterator[np.ndarray], size: int = 1 << 18) -> Iterator[list[n
         yield held
 
 
-_ENCODED = ("doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_log double, rare_log double, n_rare long, classes binary, "
+def neighbours(docs: DataFrame, top: tuple[np.ndarray, np.ndarray], id_col: str, text_col: str) -> DataFrame:
+    """(word, group): for every shipped word that is no class of its own, the group in which it
+    stands most often for the group's size; counted over all training texts.
+
+    ``top`` holds the sorted hashes and, for each, 1 + its number among the anchors, 0 for a
+    word to be grouped, -1 otherwise. ``word`` is its place there.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(top)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, role = held.value
+        lookup, role = Lookup(keys), np.append(role, -1)
+        for batch in batches:
+            for some in groups(doc_words(batch.column(0).to_pylist(), lower=True)):
+                at = np.concatenate([np.append(lookup.find(w), -1) for w in some])
+                what = role[at]
+                after = np.flatnonzero((what[1:] == 0) & (what[:-1] > 0)) + 1
+                before = np.flatnonzero((what[:-1] == 0) & (what[1:] > 0))
+                pairs = np.concatenate([at[after] * GROUPS + what[after - 1] - 1, at[before] * GROUPS + ANCHORS + what[before + 1] - 1])
+                pair, n = np.unique(pairs, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair // GROUPS), pa.array(pair % GROUPS), pa.array(n.astype(np.int64))], names=["word", "group", "n"])
+
+    texts = docs.where(~held_out(id_col)).select(F.col(f"`{text_col}`").cast("binary"))
+    counts = durable(texts.mapInArrow(count, "word long, group long, n long").groupBy("word", "group").agg(F.sum("n").alias("n")), "word-neighbours")
+    sizes = counts.groupBy("group").agg(F.sum("n").alias("size"))  # at most GROUPS rows
+    share = F.col("n") / F.pow("size", F.lit(0.75))
+    return counts.join(F.broadcast(sizes), "group").groupBy("word").agg(F.max_by("group", F.struct(share, -F.col("group"))).alias("group"))
+
+
+_ENCODED = ("doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_log double, inside_log double, classes binary, "
             "other array<struct<word: long, n: long>>")
 
 
-def encoded(docs: DataFrame, top: tuple[np.ndarray, np.ndarray, np.ndarray], end_count: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: its class sequence, its sums over shipped words, and its other words."""
+def encoded(docs: DataFrame, top: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], end_count: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: its class sequence, its sums over shipped words (``top``: sorted hashes, counts,
+    classes, log-probabilities inside the class), and its other words."""
     kind = docs.schema[id_col].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(top)
     other_type = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, classes = held.value
+        keys, counts, classes, within = held.value
         lookup = Lookup(keys)
-        logs = np.append(np.log10(counts + 1.0), 0.0)
-        inside = np.append(np.log10(counts - DISCOUNT), 0.0)
+        logs, inside = np.append(np.log10(counts + 1.0), 0.0), np.append(within, 0.0)
         names = np.append(classes, RARE).astype(np.uint16)
         end_log = np.log10(end_count + 1.0)
         for batch in batches:
-            n, known, base, rare, n_rare, seq, off, other_w, other_n = [], [], [], [], [], [], [0], [], []
+            n, known, base, within, seq, off, other_w, other_n = [], [], [], [], [], [0], [], []
             for some in groups(doc_words(batch.column(2).to_pylist(), lower=True)):
                 flat = np.concatenate(some)
                 at = lookup.find(flat)
@@ -120,8 +154,7 @@ def encoded(docs: DataFrame, top: tuple[np.ndarray, np.ndarray, np.ndarray], end
                     n.append(len(words) + 1)
                     known.append(len(words) - len(miss) + int(end_count > 0))
                     base.append(float(value[own].sum()) + end_log)
-                    rare.append(float(inside[at[own]][name[own] == RARE].sum()))
-                    n_rare.append(int((name[own] == RARE).sum()))
+                    within.append(float(inside[at[own]].sum()))
                     other_w.append(w.view(np.int64))
                     other_n.append(k)
                     off.append(off[-1] + len(w))
@@ -129,9 +162,9 @@ def encoded(docs: DataFrame, top: tuple[np.ndarray, np.ndarray, np.ndarray], end
                                                fields=list(other_type.value_type))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(rare, pa.float64()), pa.array(n_rare, pa.int64()), pa.array(seq, pa.binary()),
+                 pa.array(within, pa.float64()), pa.array(seq, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(off, pa.int32()), items)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base_log", "rare_log", "n_rare", "classes", "other"])
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_log", "inside_log", "classes", "other"])
 
     read = docs.select(F.col(f"`{id_col}`"), held_out(id_col).alias("held"), F.col(f"`{text_col}`").cast("binary"))
     return read.mapInArrow(encode, _ENCODED.format(kind=kind))
@@ -289,16 +322,27 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     end_count = int(c[is_end].sum()) if is_end.any() else int(
         (counts.where(F.col("word") == int(np.uint64(hash_number(END, 9)).astype(np.int64))).select("c").first() or [0])[0])
     words, c = words[~is_end], c[~is_end]
-    classes = np.where(np.arange(len(words)) < CLASSES - 2, np.arange(len(words)) + 2, RARE)
-    own = classes != RARE
-    rare_tokens, rare_words = total["n"] - end_count - int(c[own].sum()), max(0, total["v"] - int(own.sum()) - 1)
-    mass = np.ones(2 + int(own.sum()))
+    # words come by falling counts: classes of their own, grouped ones, and those of the shared class
+    place = np.arange(len(words))
+    own, grouped = place < CLASSES - 2 - GROUPS, (place >= CLASSES - 2 - GROUPS) & (c >= LEAST)
+    order = np.argsort(words)
+    role = np.where(place < ANCHORS, place + 1, np.where(grouped, 0, -1))
+    found = neighbours(docs, (words[order], role[order]), id_col, text_col).toArrow()  # at most SHIPPED rows
+    group = np.full(len(words), -1)
+    group[order[found.column(0).to_numpy()]] = found.column(1).to_numpy()
+    classes = np.where(own, place + 2 + GROUPS, np.where(group >= 0, group + 2, RARE))
+    sums = np.bincount(classes, weights=c, minlength=CLASSES)
+    rare_words = max(0, total["v"] - int((classes != RARE).sum()) - 1)
+    rare_tokens = total["n"] - end_count - int(sums[2:].sum())
+    mass = np.ones(CLASSES if len(words) else 2)
+    mass[2:] += sums[2 : len(mass)]
     mass[END] += end_count
     mass[RARE] += rare_tokens
-    mass[2:] += c[own]
     unigram = mass / mass.sum()
-    order = np.argsort(words)
-    rows = durable(encoded(docs, (words[order], c[order], classes[order]), end_count, id_col, text_col)
+    # inside the shared class: (c - DISCOUNT) / tokens of the class, and the rest for unknown words
+    unknown, space = (DISCOUNT * rare_words, rare_tokens) if rare_tokens else (1.0, 1.0)
+    inside = np.log10(np.where(classes == RARE, c - DISCOUNT, c)) - np.log10(np.where(classes == RARE, space, np.maximum(sums[classes], 1)))
+    rows = durable(encoded(docs, (words[order], c[order], classes[order], inside[order]), end_count, id_col, text_col)
                    .withColumn("_row", F.monotonically_increasing_id()), "encoded")
     model = fit(rows, unigram)
     scored = _scored(rows, model)
@@ -306,15 +350,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     others = (rows.select("_row", F.explode("other").alias("o")).select("_row", "o.word", "o.n").join(counts, "word", "left")
               .groupBy("_row").agg(F.sum(F.col("n") * F.log10(count + 1)).alias("other_log"),
                                    F.sum(F.when(count > 0, F.col("n") * F.log10(count - DISCOUNT)).otherwise(0.0)).alias("other_rare"),
-                                   F.sum(F.when(count > 0, F.col("n")).otherwise(0)).alias("other_known")))
+                                   F.sum(F.when(count > 0, F.col("n")).otherwise(0)).alias("other_known"), F.sum("n").alias("others")))
     n_known = F.col("n_known") + F.coalesce("other_known", F.lit(0))
     base = F.col("base_log") + F.coalesce("other_log", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total["n"] + total["v"] + 1))
-    # inside the shared class: (c - DISCOUNT) / tokens of the class, and the rest for unknown words
-    unknown, space = (DISCOUNT * rare_words, rare_tokens) if rare_tokens else (1.0, 1.0)
-    shared = (F.col("rare_log") + F.coalesce("other_rare", F.lit(0.0)) - F.col("n_rare") * float(np.log10(space))
-              + (F.col("n_tokens") - n_known - int(end_count == 0)) * float(np.log10(unknown)))
+    n_other = F.coalesce("others", F.lit(0))
+    unseen = F.col("n_tokens") - n_known - int(end_count == 0)
+    within = (F.col("inside_log") + F.coalesce("other_rare", F.lit(0.0)) - n_other * float(np.log10(space)) + unseen * float(np.log10(unknown)))
     return (
         rows.drop("classes", "other").join(scored, "_row").join(others, "_row", "left")
         .select("doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"),
-                base.alias("base_score"), (F.col("class_score") + shared).alias("score"))
+                base.alias("base_score"), (F.col("class_score") + within).alias("score"))
     )
