@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,16 +84,41 @@ def dummies(df: DataFrame, levels: Mapping[str, Sequence[str]], drop_first: bool
     return df.withColumns(new).drop(*levels)
 
 
-def one_hot(columns: Sequence[str]) -> Pipeline:
-    """Index and one-hot stages; unseen values become all-zero vectors."""
-    indexers = [
-        StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep", stringOrderType="alphabetAsc")
-        for c in columns
-    ]
-    encoder = OneHotEncoder(
-        inputCols=[f"{c}_index" for c in columns], outputCols=[f"{c}_onehot" for c in columns], dropLast=True
-    )
-    return Pipeline(stages=[*indexers, encoder])
+class OneHot:
+    """One-hot vectors ``<column>_onehot`` over the levels of the train rows, in text order.
+
+    The level dictionary is a stored table that meets the rows by join, so a column may have
+    any number of levels: the driver sees their number alone. Unseen and null values become
+    all-zero vectors.
+    """
+
+    def __init__(self, columns: Sequence[str]) -> None:
+        self.columns = list(columns)
+        self.codes: DataFrame | None = None
+        self.sizes: dict[str, int] = {}
+        self.encoder = None
+
+    def fit(self, train: DataFrame) -> OneHot:
+        self.codes = durable(level_codes(train, self.columns), "levels")
+        found = {r["variable"]: r["n"] for r in self.codes.groupBy("variable").agg(F.count("*").alias("n")).collect()}
+        self.sizes = {c: found.get(c, 0) for c in self.columns}
+        # the index behind the last level, which stands for every other value, is the one left out
+        widest = train.sparkSession.createDataFrame([tuple(float(self.sizes[c]) for c in self.columns)], [f"{c}_index" for c in self.columns])
+        self.encoder = OneHotEncoder(inputCols=[f"{c}_index" for c in self.columns], outputCols=[f"{c}_onehot" for c in self.columns],
+                                     dropLast=True).fit(widest)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = df
+        for i, c in enumerate(self.columns):
+            side = bounded(self.codes.where(F.col("variable") == c).select(F.col("value").alias(f"_value{i}"), F.col("code").alias(f"_code{i}")))
+            out = out.join(side, F.col(q(c)).cast("string") == F.col(f"_value{i}"), "left").withColumn(
+                f"{c}_index", F.coalesce(F.col(f"_code{i}").cast("double"), F.lit(float(self.sizes[c])))).drop(f"_value{i}", f"_code{i}")
+        return self.encoder.transform(out)
+
+
+def one_hot(columns: Sequence[str]) -> OneHot:
+    return OneHot(columns)
 
 
 def level_codes(train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -125,17 +149,28 @@ def ordinal_encode(
     return out
 
 
-def column_transformer(
-    numeric: Sequence[str], categorical: Sequence[str], output: str = "features"
-) -> Pipeline:
-    """Scaled numerics beside one-hot categories, fitted on train only.
+class ColumnTransformer:
+    """Scaled numerics beside one-hot categories in one vector, fitted on train only.
 
     Numerics are expected to be imputed with ``learn_medians`` and scaled with
     ``learn_scaling`` of the same train rows.
     """
-    stages = list(one_hot(categorical).getStages()) if categorical else []
-    inputs = [*numeric, *[f"{c}_onehot" for c in categorical]]
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol=output)])
+
+    def __init__(self, numeric: Sequence[str], categorical: Sequence[str], output: str = "features") -> None:
+        self.hot = OneHot(categorical) if categorical else None
+        self.assembler = VectorAssembler(inputCols=[*numeric, *[f"{c}_onehot" for c in categorical]], outputCol=output)
+
+    def fit(self, train: DataFrame) -> ColumnTransformer:
+        if self.hot:
+            self.hot.fit(train)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.assembler.transform(self.hot.transform(df) if self.hot else df)
+
+
+def column_transformer(numeric: Sequence[str], categorical: Sequence[str], output: str = "features") -> ColumnTransformer:
+    return ColumnTransformer(numeric, categorical, output)
 
 
 @dataclass

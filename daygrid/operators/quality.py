@@ -8,10 +8,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daygrid.functions.recode import is_numeric_or_missing, number, parse_date
 from daygrid.operators.columns import q
-from daygrid.operators.running import running_sums
+from daygrid.operators.running import running_row_sums, running_sums
 from daygrid.session import durable
 
 
@@ -140,8 +141,23 @@ def check_day_grid(
 
 
 def with_position(lines: DataFrame, file: str, line: str) -> DataFrame:
-    """``lines`` with ``position`` 0, 1, … within each file, in line order."""
-    return lines.withColumn("position", F.row_number().over(Window.partitionBy(file).orderBy(line)) - 1)
+    """``lines`` with ``position`` 0, 1, … within each file, in line order.
+
+    ``line`` is the (start, row) of the reader, or a number that is unique in its file. Rows
+    are numbered inside the split that read them (inside a bucket of numbers), and every
+    split starts from the rows of those before it, so that no task orders more than a split,
+    however long a file is.
+    """
+    if not isinstance(lines.schema[line].dataType, T.StructType):
+        counted = running_row_sums(lines.withColumn("_one", F.lit(1).cast("long")), [file], line, {"_one": "position"})
+        return counted.withColumn("position", F.col("position") - 1).drop("_one")
+    split = [F.col(file).alias("_file"), F.col(f"{line}.start").alias("_start")]
+    counts = lines.groupBy(*split).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_file", "_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_file", "_start").orderBy(F.col(line))
+    placed = lines.withColumns({"_file": F.col(file), "_start": F.col(f"{line}.start")}).withColumn("_at", F.row_number().over(inside) - 1)
+    return placed.join(before, ["_file", "_start"]).withColumn("position", F.col("_before") + F.col("_at")).drop("_file", "_start", "_at", "_before")
 
 
 def check_entity_count(df: DataFrame, expected: int, entity: str = "entity_id") -> DataFrame:

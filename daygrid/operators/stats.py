@@ -17,8 +17,8 @@ from daygrid.functions.pvalues import chi2_p, fisher_p, normal_p, t_p
 from daygrid.functions.recode import count_pct_text, mean_sd_text, median_iqr_text
 from daygrid.operators.columns import q
 from daygrid.operators.profile import crosstab, melted
-from daygrid.operators.running import attach, average_ranks, exact_quantiles, running_sums
-from daygrid.session import durable
+from daygrid.operators.running import attach, exact_quantiles, running_sums
+from daygrid.session import bounded, durable
 
 
 def normality(df: DataFrame, variables: Sequence[str], alpha: float = 0.05) -> DataFrame:
@@ -249,19 +249,34 @@ def adjust_p(tests: DataFrame, p: str = "p_value") -> DataFrame:
     ).drop("_m", "_r")
 
 
+#: Columns whose ranks are looked up by broadcast, each of at most ``bounded`` rows.
+BROADCAST_COLUMNS = 32
+
+
 def rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns replaced by their tie-averaged ranks.
 
-    All columns are ranked in one pass over their distinct values, meet their rows in one
-    join of the long form (a value shared by many rows is one row of the lookup, and
-    adaptive execution splits its other side), and return in one shuffle by row.
+    All columns are ranked in one pass over their distinct values. A column with few
+    distinct values meets its ranks by broadcast, so that its cells never move; the cells of
+    the others meet theirs in one join of the long form and return in one shuffle by row.
     """
     rows = durable(df.select(*[F.col(q(c)).cast("double").alias(c) for c in columns])
                    .withColumn("_id", F.monotonically_increasing_id()), "rows")
-    long = melted(rows, columns, "double", keep=["_id"])
-    ranks = average_ranks(long.drop("_id"), ["variable"], "value").select("variable", "value", "avg_rank")
-    met = attach(long, ranks, ["variable", "value"])
-    return met.groupBy("_id").pivot("variable", list(columns)).agg(F.first("avg_rank")).drop("_id")
+    tally = melted(rows, columns, "double").groupBy("variable", "value").agg(F.count("*").alias("n"))
+    run = running_sums(tally, ["variable"], "value", {"n": F.col("n")})
+    ranks = durable(run.select("variable", "value", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias("avg_rank")), "ranks")
+    sizes = {r["variable"]: r["count"] for r in ranks.groupBy("variable").count().collect()}  # one number per column
+    small = sorted((c for c in columns if sizes.get(c, 0) <= 20_000), key=lambda c: sizes.get(c, 0))[:BROADCAST_COLUMNS]
+    large = [c for c in columns if c not in small]
+    out = rows
+    for i, c in enumerate(small):
+        side = bounded(ranks.where(F.col("variable") == c).select(F.col("value").alias(f"_v{i}"), F.col("avg_rank").alias(f"_r{i}")))
+        out = out.join(side, F.col(q(c)) == F.col(f"_v{i}"), "left").drop(c, f"_v{i}").withColumnRenamed(f"_r{i}", c)
+    if large:
+        long = melted(rows, large, "double", keep=["_id"])
+        met = attach(long, ranks, ["variable", "value"]).groupBy("_id").pivot("variable", list(large)).agg(F.first("avg_rank"))
+        out = attach(out.drop(*large), met, ["_id"])
+    return out.select(*[F.col(q(c)) for c in columns])
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:

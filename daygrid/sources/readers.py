@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,16 +130,23 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def headers_of(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(file, header) of every CSV file under ``paths``: one distributed read for all of them."""
+    first = spark.read.text(list(paths)).where(F.trim("value") != "").select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row")).where("start = 0")
+    return first.groupBy("file").agg(F.min_by("value", "row").alias("_h")).select("file", _cells(F.col("_h")).alias("header"))
+
+
 def read_union(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """CSV files with different columns as one table: files that share a header are
-    one read, so the plan grows with the number of layouts, not of files."""
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        layouts.setdefault(tuple(header_of(spark, p)), []).append(p)
+    """CSV files with different columns as one table: all headers are found in one job, and
+    files that share a header are one read, so the plan grows with the number of layouts,
+    not of files."""
+    found = headers_of(spark, paths).groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect()
     frames = []
-    for names, members in layouts.items():
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        frames.append(spark.read.schema(schema).option("header", True).csv(members))
+    for r in found:  # the files are those that the caller named
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in r["header"]])
+        frames.append(spark.read.schema(schema).option("header", True).csv([unquote(f) for f in r["files"]]))
     return union_by_name(frames)
 
 
