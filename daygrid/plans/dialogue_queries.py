@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from daygrid.operators import dialogue as D
 from daygrid.plans.registry import query
+from daygrid.session import durable
 
 ROUNDS = """
 prev AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
@@ -27,6 +28,34 @@ def exported(t):
     )
 
 
+HEAD = 'client = Client(api_key=os.environ.get("SOME_KEY"))\nmodel = "some-model"\ncontents = [\n'
+
+
+def exported_conversations(t):
+    """A file per conversation, all its turns in order."""
+    part = lambda x: F.concat(F.lit('  types.Content(\n    role="'), x["role"], F.lit('", parts=[types.Part.from_text(text="""'), x["text"], F.lit('"""),],\n  ),\n'))
+    turns = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return turns.select(F.col("conv_id").cast("string").alias("file"), F.concat(F.lit(HEAD), F.array_join(F.transform("turns", part), ""), F.lit("]\n")).alias("value"))
+
+
+@query("extracted_conversations", "C1", """
+SELECT CAST(conv_id AS VARCHAR) AS file, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS turn, role,
+       regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS text FROM conversations""")
+def extracted_conversations(t):
+    """Files with several turns: numbered in their order."""
+    return D.extract_turns(exported_conversations(t))
+
+
+@query("rounds_of_exports", "C1 C3", """
+, place AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM rounds)
+SELECT CAST(conv_id AS VARCHAR) AS file, CAST(n AS INTEGER) AS turn, role, CASE WHEN role IN ('user', 'assistant') THEN r END AS round, lone AS is_lone_reply FROM place""", ROUNDS)
+def rounds_of_exports(t):
+    """Extraction and pairing one after the other, by way of stored turns."""
+    turns = durable(D.extract_turns(exported_conversations(t)).select(F.col("file").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role"), "turns")
+    out = D.with_rounds(turns, reply="assistant")
+    return out.select(F.col("conv_id").alias("file"), F.col("turn").cast("int").alias("turn"), "role", "round", "is_lone_reply")
+
+
 @query("extracted_turns", "C1", """
 SELECT concat(conv_id, '-', turn) AS file, CAST(1 AS INTEGER) AS turn, role,
        regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS text FROM conversations""")

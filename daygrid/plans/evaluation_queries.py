@@ -71,8 +71,7 @@ def pr_points(t):
 @query("pr_areas", "E4", sql(CURVE, AREAS, "SELECT model, split, pr_auc, average_precision FROM areas"),
        SCORES, "pr_auc average_precision")
 def pr_areas(t):
-    keys = ["model", "split"]
-    return E.pr_auc(t.scores, keys).join(E.average_precision(t.scores, keys), keys)
+    return E.summary(t.scores, ["model", "split"]).select("model", "split", "pr_auc", "average_precision")
 
 
 @query("brier_score", "E5", "SELECT model, split, avg(pow(score - y, 2)) AS brier FROM scores GROUP BY 1, 2", SCORES, "brier")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from daygrid.operators import series as S
 from daygrid.operators import splits
 from daygrid.plans.bindings import FOLDS, SERIES, STATIC
+from daygrid.plans.preprocess import validate_and_process
 from daygrid.plans.registry import query
 from daygrid.session import fresh_path
 from daygrid.sources import readers, writers
@@ -39,6 +40,22 @@ def series_files_round_trip(t):
     return readers.read_series_dir(t.spark, path, "folder")
 
 
+@query("gated_series", "V12 V2 V3 V4 S3", """
+, inside AS (SELECT * FROM series WHERE day BETWEEN -3 AND 2),
+passed AS (SELECT entity_id FROM inside GROUP BY 1 HAVING count(DISTINCT day) = 6),
+names AS (SELECT DISTINCT channel FROM series)
+SELECT w.entity_id, w.day, n.channel, i.value FROM (SELECT DISTINCT entity_id, day FROM inside) AS w
+JOIN passed p ON p.entity_id = w.entity_id CROSS JOIN names n
+LEFT JOIN inside i ON i.entity_id = w.entity_id AND i.day = w.day AND i.channel = n.channel""", SERIES, "value")
+def gated_series(t):
+    """Series files are validated; those with every day of the window pass the gate and are
+    processed, the others are refused."""
+    path = fresh_path(t.spark, "gated")
+    writers.write_series_files(S.to_wide(t.days(-3, 2), t.channels), path)
+    _, series = validate_and_process(t.spark, path, t.channels, -3, 2, entity="folder")
+    return series
+
+
 @query("stacked_files", "S4 U1", """
 SELECT entity_id, segment, CAST(NULL AS VARCHAR) AS region FROM static WHERE sex = 'male'
 UNION ALL SELECT entity_id, NULL, region FROM static WHERE sex = 'female'""", STATIC)
