@@ -66,10 +66,10 @@ def positive_score(model, df: DataFrame, name: str = "score") -> DataFrame:
     return scored.withColumn(name, vector_to_array(source)[1])
 
 
-def _together(jobs: Sequence[Callable[[], object]], parallelism: int) -> list:
-    """Results of several fits that run at the same time; their order is that of ``jobs``."""
+def _together(df: DataFrame, jobs: Sequence[Callable[[], object]], parallelism: int) -> list:
+    """Results of several fits on ``df`` that run at the same time; their order is that of ``jobs``."""
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        return list(pool.map(inheritable_thread_target(lambda job: job()), jobs))
+        return list(pool.map(inheritable_thread_target(df.sparkSession)(lambda job: job()), jobs))
 
 
 def _fit(df: DataFrame, estimator: Estimator, label: str, weighted: bool):
@@ -82,7 +82,7 @@ def _fit(df: DataFrame, estimator: Estimator, label: str, weighted: bool):
 
 def fit_all(df: DataFrame, estimators: Sequence[Estimator], label: str = "label", weighted: bool = False, parallelism: int = 4) -> list:
     """The model of every estimator on the same stored rows, fitted at the same time."""
-    return _together([lambda e=e: _fit(df, e, label, weighted) for e in estimators], parallelism)
+    return _together(df, [lambda e=e: _fit(df, e, label, weighted) for e in estimators], parallelism)
 
 
 def out_of_fold(
@@ -92,7 +92,7 @@ def out_of_fold(
     """(keep…, fold, y, score): each row scored by the model that did not see its fold.
 
     ``df`` should be a stored frame: the folds are fitted at the same time."""
-    models = _together([lambda i=i: _fit(df.where(F.col(fold) != i), estimator, label, weighted) for i in range(1, k + 1)], parallelism)
+    models = _together(df, [lambda i=i: _fit(df.where(F.col(fold) != i), estimator, label, weighted) for i in range(1, k + 1)], parallelism)
     parts = [positive_score(m, df.where(F.col(fold) == i)).select(*keep, fold, F.col(label).alias("y"), "score") for i, m in enumerate(models, 1)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -116,7 +116,7 @@ def fold_metrics(
     fold: all models are fitted at the same time, ``parallelism`` of them, and their held-out
     scores judged in one plan."""
     pairs = [(n, s, i) for n, s in enumerate(settings) for i in range(1, k + 1)]
-    models = _together([lambda s=s, i=i: _fit(df.where(F.col(fold) != i), estimator.copy(dict(s)), label, weighted) for _, s, i in pairs], parallelism)
+    models = _together(df, [lambda s=s, i=i: _fit(df.where(F.col(fold) != i), estimator.copy(dict(s)), label, weighted) for _, s, i in pairs], parallelism)
     parts = [
         positive_score(m, df.where(F.col(fold) == i)).select(
             F.lit(n).alias("setting"), F.lit(setting_name(s)).alias("params"), F.lit(i).alias("fold"), F.col(label).alias("y"), "score")
