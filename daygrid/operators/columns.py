@@ -12,16 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daygrid.functions.recode import number
+from daygrid.operators import wide
+from daygrid.operators.wide import q
 
 # Columns that are labels or identify a row.
 LABEL_COLUMNS = ("ID", "Infection", "CRS", "ICANS", "E_ICAHT", "L_ICAHT")
 LEAKAGE_WORDS = ("infection", "crs", "icans", "icaht", "grade", "label", "target", "outcome", "result")
 
 
-def q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """Explicit new names; elsewhere blanks become underscores."""
     return df.toDF(*[mapping.get(c, c.replace(" ", "_")) for c in df.columns])
@@ -94,10 +92,7 @@ def constant_flags(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         c for c in columns or df.columns
         if not isinstance(df.schema[c].dataType, (T.MapType, T.ArrayType, T.StructType))
     ]
-    flags = df.agg(
-        *[(~F.coalesce(F.min(q(c)) != F.max(q(c)), F.lit(False))).alias(c) for c in names]
-    )
-    return flags.unpivot([], [F.col(q(c)) for c in names], "column", "is_constant")
+    return wide.distinct_at_most_one(df, names)
 
 
 class ConstantColumnDropper:
@@ -118,20 +113,12 @@ class ConstantColumnDropper:
 
 
 def missing_by_column(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, missing_count, missing_pct, n_rows): one wide aggregate, then one row
-    is turned into many, so no row of the data is multiplied."""
+    """(column, missing_count, missing_pct, n_rows): flags are added up in vectors, so that no
+    row of the data is multiplied and the plan does not grow with the columns."""
     names = list(columns) if columns is not None else df.columns
-    counts = df.agg(
-        F.count(F.lit(1)).alias("_n"), *[F.count(q(c)).alias(c) for c in names]
-    )
-    long = counts.unpivot([F.col("_n")], [F.col(q(c)) for c in names], "column", "_filled")
-    missing = F.col("_n") - F.col("_filled")
-    return long.select(
-        "column",
-        missing.alias("missing_count"),
-        F.try_divide(missing * F.lit(100.0), F.col("_n")).alias("missing_pct"),
-        F.col("_n").alias("n_rows"),
-    )
+    missing = F.col("n_rows") - F.col("filled")
+    return wide.filled_counts(df, names).select(
+        "column", missing.alias("missing_count"), F.try_divide(missing * F.lit(100.0), F.col("n_rows")).alias("missing_pct"), "n_rows")
 
 
 @dataclass

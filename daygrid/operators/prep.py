@@ -9,7 +9,7 @@ from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygrid.operators import neighbours
+from daygrid.operators import neighbours, wide
 from daygrid.operators.columns import constant_flags, q
 from daygrid.operators.profile import melted
 from daygrid.operators.running import dense_numbers, exact_quantiles
@@ -48,14 +48,8 @@ class Scaling:
 
 def learn_scaling(train: DataFrame, columns: Sequence[str]) -> Scaling:
     """Means and population deviations; a zero deviation scales by 1."""
-    row = train.agg(
-        *[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(q(c)).alias(f"s{i}") for i, c in enumerate(columns)],
-    ).first()
-    return Scaling(
-        {c: row[f"m{i}"] or 0.0 for i, c in enumerate(columns)},
-        {c: row[f"s{i}"] or 1.0 for i, c in enumerate(columns)},
-    )
+    found = {r["column"]: r for r in wide.moments(train, list(columns)).collect()}
+    return Scaling({c: found[c]["mean"] if c in found else 0.0 for c in columns}, {c: (found[c]["sd_pop"] if c in found else 0.0) or 1.0 for c in columns})
 
 
 def scale(df: DataFrame, scaling: Scaling) -> DataFrame:

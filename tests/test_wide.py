@@ -75,3 +75,35 @@ def test_ranks_by_any_way(spark, monkeypatch, limit):
 
     want = sorted(zip(*[ranks([r[k] for r in rows]) for k in range(4)], strict=True), key=repr)
     assert sorted((tuple(r) for r in stats.rank_columns(df, ["a", "b", "c", "d e"]).collect()), key=repr) == want
+
+
+def test_a_thousand_columns_in_one_pass(spark):
+    """Flags, hashes and numbers of 1,000 columns; the plan has no aggregate per column."""
+    from daygrid.operators import columns, profile
+
+    n = 1000
+    df = spark.range(0, 900, 1, 5).select(
+        *[F.when((F.col("id") + i) % 7 != 0, (F.col("id") * (i + 1) % 97).cast("double") + 1e9).alias(f"c.{i}") for i in range(n - 3)],
+        F.lit("same").alias("s"), F.when(F.col("id") < 0, 1).alias("none"), F.col("id").cast("string").alias("t"))
+    flags = columns.constant_flags(df)
+    plan = flags._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("min(") <= 6  # it would be one per column
+    got = {r["column"]: r["is_constant"] for r in flags.collect()}
+    assert len(got) == n and [c for c, v in got.items() if v] == ["c.96", *[f"c.{i}" for i in range(193, n - 3, 97)], "s", "none"]
+    missing = {r["column"]: r["missing_count"] for r in profile.missing_profile(df).collect()}
+    assert missing["s"] == 0 and missing["none"] == 900 and missing["c.3"] == sum((k + 3) % 7 == 0 for k in range(900))
+    numbers = [c for c in df.columns if c.startswith("c.")]
+    scaling = prep.learn_scaling(df, numbers)
+    values = [k * 6 % 97 for k in range(900) if (k + 5) % 7]
+    mean = sum(values) / len(values)
+    assert abs(scaling.means["c.5"] - 1e9 - mean) < 1e-5
+    assert abs(scaling.sds["c.5"] - (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5) < 1e-6
+
+
+def test_summaries_of_an_empty_table(spark):
+    from daygrid.operators import columns
+
+    df = spark.createDataFrame([], "a int, b string")
+    assert sorted(map(tuple, columns.constant_flags(df).collect())) == [("a", True), ("b", True)]
+    assert sorted(map(tuple, columns.missing_by_column(df).collect())) == [("a", 0, None, 0), ("b", 0, None, 0)]
+    assert prep.learn_scaling(df, ["a"]) == prep.Scaling({"a": 0.0}, {"a": 1.0})
