@@ -28,7 +28,7 @@ TAGS = ("spdx-license-identifier:", "license-expression:")
 #: Identifiers that ``permitted`` accepts.
 PERMISSIVE = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc0-1.0", "unlicense", "zlib"})
 #: Identifiers and exceptions of the public license list that tags may name
-#: (``names`` takes others), besides references that begin with ``licenseref-``.
+#: (``evaluate`` takes others), besides references that begin with ``licenseref-``.
 IDENTIFIERS = frozenset("""
 0bsd afl-2.1 afl-3.0 agpl-1.0 agpl-1.0-only agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.0 apache-1.1 apache-2.0
 apsl-2.0 artistic-1.0 artistic-2.0 beerware blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause
@@ -95,15 +95,15 @@ def postfix(expression: str) -> list[str] | None:
 
 
 def evaluate(rpn: list[str], allowed: frozenset[str] = PERMISSIVE,
-             names: frozenset[str] = IDENTIFIERS) -> tuple[bool, list[str]] | None:
+             names: frozenset[str] | None = None) -> tuple[bool, list[str]] | None:
     """Whether the expression can be met with ``allowed`` licenses, and the licenses it
-    names; ``x with y`` stands and falls with x. None if an operand is missing, or is
-    neither one of ``names`` nor, behind ``with``, an exception."""
+    names; ``x with y`` stands and falls with x. None if an operand is missing or,
+    where ``names`` are given, is neither one of them nor, behind ``with``, an exception."""
     stack: list[tuple[bool, list[str]]] = []
     for at, token in enumerate(rpn):
         if token not in _RANK:
             plain = token.rstrip("+")
-            known = plain in names or token.startswith("licenseref-")
+            known = names is None or plain in names or token.startswith("licenseref-")
             if not known and not (token in EXCEPTIONS and rpn[at + 1 : at + 2] == ["with"]):
                 return None
             stack.append((plain in allowed, [token]))
@@ -112,7 +112,7 @@ def evaluate(rpn: list[str], allowed: frozenset[str] = PERMISSIVE,
             return None
         (b, b_names), (a, a_names) = stack.pop(), stack.pop()
         if token == "with":
-            if len(a_names) != 1 or len(b_names) != 1 or b_names[0] not in EXCEPTIONS:
+            if len(a_names) != 1 or len(b_names) != 1 or (names is not None and b_names[0] not in EXCEPTIONS):
                 return None
             stack.append((a, a_names))
         else:
@@ -160,7 +160,7 @@ class Scanner:
         stops = [*[start for start, _ in tags[1:]], len(low)]
         for (_, begin), stop in zip(tags, stops, strict=False):
             rpn = postfix(_EXPRESSION.match(low, begin, stop)[0])
-            found = evaluate(rpn) if rpn else None
+            found = evaluate(rpn, names=IDENTIFIERS) if rpn else None
             if found:
                 verdicts.append(found[0])
                 tagged.update(found[1])
