@@ -1,8 +1,10 @@
 """WARC archives: writing, reading, and revisit resolution.
 
-Records are written by Spark's text writer, one value per record with the record end as
-separator, so that archives come from committed tasks and land wherever Spark can write.
-They are read as whole files of bounded size and cut by their Content-Length.
+Records are gathered into archives by their bytes and written by Spark's text writer, one
+value per archive, so that archives come from committed tasks and land wherever Spark can
+write. They are read as whole files and cut by their Content-Length. Revisits are resolved
+on headers alone: these name the archive and the place of their record, so that verdicts
+travel to the archives and no payload is shuffled by its digest.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrid.session import durable, fresh_path
+from daygrid.session import bounded, durable, fresh_path
 
-#: Payload bytes that one archive is meant to hold, and records that leave a task together.
+#: Bytes that an archive of several records may hold, and records that leave a task together.
 ARCHIVE_BYTES, RECORDS = 32_000_000, 500
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-EOL = "\r\n"
+EOL, END = "\r\n", b"\r\n\r\n"
 SCHEMA = ("page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
 
@@ -47,11 +49,26 @@ def _record() -> Column:
     return F.concat(head, http, body)
 
 
-def write_archives(records: DataFrame, path: str, mean_bytes: float) -> None:
-    """Write rows of SCHEMA as gzip archives of about ARCHIVE_BYTES of payload each."""
-    per_file = max(1, int(ARCHIVE_BYTES / max(mean_bytes + 500, 1)))
-    (records.select(_record().alias("value")).write.option("lineSep", EOL * 2).option("compression", "gzip")
-     .option("maxRecordsPerFile", per_file).text(path))
+def write_archives(records: DataFrame, path: str) -> None:
+    """Write rows of SCHEMA as gzip archives of at most ARCHIVE_BYTES, or of one record."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        whole = lambda: pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.binary())], names=["value"])
+        for batch in batches:
+            for cell in batch.column(0):
+                record = cell.as_py()
+                if held and size + len(record) > ARCHIVE_BYTES:
+                    yield whole()
+                    held, size = [], 0
+                held.append(record)
+                size += len(record) + len(END)
+        if held:
+            yield whole()
+
+    archives = records.select(_record().cast("binary").alias("value")).mapInArrow(gather, "value binary")
+    (archives.select(F.col("value").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip")
+     .option("maxRecordsPerFile", 1).text(path))
 
 
 class _Reader:
@@ -105,10 +122,15 @@ def parse(data: bytes) -> Iterator[dict]:
                "payload_bytes": length if revisit else len(payload), "payload": None if revisit else payload}
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Rows of SCHEMA; without payload, responses carry the digest and size of what was read."""
+def _read(files: DataFrame, with_payload: bool = True) -> DataFrame:
+    """Rows of SCHEMA with the archive and the place of their record in it.
+
+    ``files`` are (path, content), and may have ``moved``: the (place, refers_to) of records
+    that become revisits.
+    """
     kinds = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
-             ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]
+             ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("archive", pa.string()),
+             ("place", pa.int64())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -117,13 +139,18 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
             return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in kinds], names=[n for n, _ in kinds])
 
         for batch in batches:
-            for cell in batch.column(0):
+            for n in range(batch.num_rows):
+                archive, content = (batch.column(k)[n].as_py() for k in (0, 1))
+                moved = {m["place"]: m["refers_to"] for m in batch.column(2)[n].as_py() or ()} if batch.num_columns > 2 else {}
                 held, size = [], 0
-                for record in parse(cell.as_py()):
+                for place, record in enumerate(parse(content)):
+                    record |= {"archive": archive, "place": place}
                     if record["payload"] is not None:
                         record["payload_digest"] = hashlib.sha1(record["payload"]).hexdigest()
                         if not with_payload:
                             record["payload"] = None
+                    if place in moved:
+                        record |= {"record_type": "revisit", "refers_to": moved[place], "payload": None}
                     held.append(record)
                     size += len(record["payload"] or b"")
                     if len(held) >= RECORDS or size > 8_000_000:
@@ -132,7 +159,16 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                 if held:
                     yield pack(held)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, SCHEMA)
+    return files.mapInArrow(read, f"{SCHEMA}, archive string, place long")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """Rows of SCHEMA; without payload, responses carry the digest and size of what was read."""
+    return _read(_files(spark, path), with_payload).drop("archive", "place")
 
 
 def resolve_revisits(records: DataFrame, min_bytes: int = 1000) -> DataFrame:
@@ -149,14 +185,11 @@ def resolve_revisits(records: DataFrame, min_bytes: int = 1000) -> DataFrame:
     large = (F.col("record_type") == "revisit") | (F.col("payload_bytes") >= min_bytes)
     joined = records.join(originals, large & (F.col("payload_digest") == F.col("_digest")), "left")
     moved = F.col("_original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_original"))
-    return joined.withColumns({
-        "refers_to": F.when(moved, F.col("_original")).otherwise(F.when(F.col("record_type") == "revisit", F.col("refers_to"))),
-        "record_type": F.when(moved, F.lit("revisit")).otherwise(F.col("record_type")),
-        "payload": F.when(~moved, F.col("payload"))}).select(*records.columns)
-
-
-def mean_payload(payload: DataFrame) -> float:
-    return payload.agg(F.avg("payload_bytes")).first()[0] or 0.0
+    new = {"refers_to": F.when(moved, F.col("_original")).otherwise(F.when(F.col("record_type") == "revisit", F.col("refers_to"))),
+           "record_type": F.when(moved, F.lit("revisit")).otherwise(F.col("record_type"))}
+    if "payload" in records.columns:
+        new["payload"] = F.when(~moved, F.col("payload"))
+    return joined.withColumns(new).select(*records.columns)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
@@ -166,15 +199,25 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             .withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long"), "payload_digest": F.sha1("payload"),
                           "payload_bytes": F.octet_length("payload")}))
     path = fresh_path(pages.sparkSession, "warc")
-    write_archives(rows, path, mean_payload(rows))
+    write_archives(rows, path)
     return path
 
 
 def deduplicated_archives(spark: SparkSession, source: str, min_bytes: int = 1000) -> str:
-    """Read archives, resolve revisits, write archives without repeated payloads."""
-    heads = durable(read_archives(spark, source, with_payload=False).drop("payload"), "warc-heads")
+    """Read archives, resolve revisits, write archives without repeated payloads.
+
+    The headers are stored once with the places of their records, and only they meet by
+    digest. Each archive is then read against its own verdicts, at most one for each of its
+    records: by broadcast where all of them are proven small, else the archives move, packed
+    as they are, to their verdicts.
+    """
+    heads = durable(_read(_files(spark, source), with_payload=False).select(
+        "page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "archive", "place"), "warc-heads")
+    revisits = resolve_revisits(heads, min_bytes).where("record_type = 'revisit'")
+    verdicts = bounded(revisits.groupBy("archive").agg(F.collect_list(F.struct("place", "refers_to")).alias("moved")))
+    files = _files(spark, source).join(verdicts, F.col("path") == F.col("archive"), "left").select("path", "content", "moved")
     path = fresh_path(spark, "warc")
-    write_archives(resolve_revisits(read_archives(spark, source), min_bytes), path, mean_payload(heads))
+    write_archives(_read(files), path)
     return path
 
 
