@@ -70,15 +70,15 @@ def text_cuts(df: DataFrame, key: str, buckets: int | None = None) -> list[str]:
 
 
 def text_bucket(df: DataFrame, key: str, cuts: list[str]) -> DataFrame:
-    """Bucket number by a balanced tree of comparisons (byte order, as Spark sorts)."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(key) < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return df.withColumn(BUCKET, tree(0, len(cuts)))
+    """Bucket number (cuts up to the key, in byte order as Spark sorts) by binary search in
+    one array of cuts: the plan is the same for any number of buckets."""
+    if not cuts:
+        return df.withColumn(BUCKET, F.lit(0))
+    held = F.lit(cuts)
+    strides = F.lit([1 << i for i in reversed(range(len(cuts).bit_length()))])
+    # a place beyond the last cut is null, and not moved to
+    found = F.aggregate(strides, F.lit(0), lambda at, n: F.when(F.get(held, at + n - 1) <= F.col(key), at + n).otherwise(at))
+    return df.withColumn(BUCKET, found)
 
 
 def attach(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daygrid.functions import labels, recode
-from daygrid.functions.pvalues import fisher_two_sided, gamma_tail, incomplete_beta, t_two_sided
+from daygrid.functions.pvalues import chi2_p, fisher_p, normal_p, t_p
 from daygrid.operators import cohort, columns, dialogue, evaluate, prep, profile, quality, stats
 from daygrid.operators import series as S
 
@@ -119,12 +119,50 @@ def test_scalar_rules(spark):
     assert [r["ok"] for r in rows] == [True, True, False, True, False, True, True, True, True]
 
 
-def test_p_values():
-    assert t_two_sided(2.0, 10) == pytest.approx(0.0733880348, abs=1e-9)
-    assert gamma_tail(0.5, 3.841458820694124 / 2) == pytest.approx(0.05, abs=1e-10)
-    assert gamma_tail(2.0, 9.487729036781154 / 2) == pytest.approx(0.05, abs=1e-10)
-    assert incomplete_beta(2, 3, 0.4) == pytest.approx(0.5248, abs=1e-12)
-    assert fisher_two_sided(8, 2, 1, 5) == pytest.approx(0.034965034965, abs=1e-10)
+def p_values(spark, p, rows):
+    """The p-value of each row of arguments."""
+    names = "abcd"[: len(rows[0])]
+    kind = "long" if p is fisher_p else "double"
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"{c} {kind}" for c in names))
+    return [r["p"] for r in df.select("i", p(*names).alias("p")).orderBy("i").collect()]
+
+
+def t_by_hand(t, df):
+    """Whole degrees of freedom: a finite sum over powers of the cosine."""
+    angle = math.atan(t / math.sqrt(df))
+    if df % 2 == 0:
+        terms = sum(math.comb(2 * j, j) / 4**j * math.cos(angle) ** (2 * j) for j in range(df // 2))
+        return 1 - math.sin(angle) * terms
+    terms = sum(4**j / (math.comb(2 * j, j) * (2 * j + 1)) * math.cos(angle) ** (2 * j + 1) for j in range((df - 1) // 2))
+    return 1 - 2 / math.pi * (angle + math.sin(angle) * terms)
+
+
+def test_p_values(spark):
+    close = lambda want, tol=1e-10: pytest.approx(want, rel=tol, abs=1e-12)
+    assert p_values(spark, t_p, [(2.0, 10.0), (-2.0, 10.0)]) == close([0.0733880347707] * 2)
+    cases = [(t, df) for df in (1, 2, 3, 7, 10, 60, 101) for t in (0.0, 0.01, 0.7, 1.96, 4.0)]
+    assert p_values(spark, t_p, [(t, float(df)) for t, df in cases]) == close([t_by_hand(*c) for c in cases])
+    # as many degrees of freedom as a table of a billion rows has: all but normal
+    many = p_values(spark, t_p, [(1.96, 1e9), (5.0, 1e12)])
+    assert many == close([math.erfc(v / math.sqrt(2)) for v in (1.96, 5.0)], 1e-7)
+    assert p_values(spark, normal_p, [(z,) for z in (0.0, 0.1, -1.0, 1.96, 8.0, 30.0)]) == close(
+        [math.erfc(z / math.sqrt(2)) for z in (0.0, 0.1, 1.0, 1.96, 8.0, 30.0)])
+    assert p_values(spark, chi2_p, [(3.841458820694124, 1.0), (9.487729036781154, 4.0)]) == close([0.05, 0.05])
+    # even degrees of freedom: a Poisson sum; one degree: the normal tail
+    cases = [(x, k) for k in (2, 4, 10, 60) for x in (1e-3, 0.5, 5.0, 40.0, 90.0)]
+    poisson = lambda x, k: sum(math.exp(-x / 2 + j * math.log(x / 2) - math.lgamma(j + 1)) for j in range(k // 2))
+    assert p_values(spark, chi2_p, [(x, float(k)) for x, k in cases]) == close([poisson(*c) for c in cases])
+    assert p_values(spark, chi2_p, [(x, 1.0) for x in (0.01, 1.0, 50.0)]) == close([math.erfc(math.sqrt(x / 2)) for x in (0.01, 1.0, 50.0)])
+    assert p_values(spark, chi2_p, [(0.0, 3.0), (5.0, 0.0)]) == [1.0, 1.0]
+    assert p_values(spark, fisher_p, [(8, 2, 1, 5), (0, 0, 0, 0)]) == close([0.034965034965, 1.0], 1e-9)
+
+
+def test_undefined_statistics_have_no_p_value(spark):
+    nan = float("nan")
+    assert p_values(spark, t_p, [(None, 3.0), (nan, 3.0), (1.0, None), (1.0, 0.0)]) == [None] * 4
+    assert p_values(spark, chi2_p, [(None, 3.0), (nan, 3.0), (1.0, None)]) == [None] * 3
+    assert p_values(spark, normal_p, [(None,), (nan,)]) == [None] * 2
+    assert p_values(spark, fisher_p, [(None, 1, 1, 1), (1, 1, 1, 1)]) == [None, 1.0]
 
 
 def test_group_tests(spark):
@@ -221,20 +259,17 @@ def test_calibration_leaves_out_missing(spark):
     assert [tuple(r) for r in evaluate.calibration(df, []).collect()] == [(10, 1, 1.0, 0.95)]
 
 
-def test_fisher_of_large_tables():
-    from daygrid.functions.pvalues import fisher_two_sided
-
-    def choose(n, k):
-        return math.comb(n, k)
-
-    for a, b, c, d in [(3, 1, 1, 3), (10, 2, 3, 15), (0, 5, 5, 0), (0, 0, 3, 4), (12, 7, 0, 9)]:
+def test_fisher_of_large_tables(spark):
+    cases = [(3, 1, 1, 3), (10, 2, 3, 15), (0, 5, 5, 0), (0, 0, 3, 4), (12, 7, 0, 9), (1, 400, 90, 2000), (700, 500, 400, 600)]
+    got = p_values(spark, fisher_p, cases)
+    for (a, b, c, d), p in zip(cases, got, strict=True):
         row, col, n = a + b, a + c, a + b + c + d
-        p = {k: choose(col, k) * choose(n - col, row - k) for k in range(max(0, row + col - n), min(row, col) + 1)}
-        want = sum(v for v in p.values() if v <= p[a] * (1 + 1e-7)) / sum(p.values())
-        assert abs(fisher_two_sided(a, b, c, d) - want) < 1e-9
+        each = {k: math.comb(col, k) * math.comb(n - col, row - k) for k in range(max(0, row + col - n), min(row, col) + 1)}
+        want = sum(v for v in each.values() if v * 10**7 <= each[a] * (10**7 + 1)) * 10**30 // sum(each.values()) / 10**30
+        assert p == pytest.approx(want, rel=1e-9, abs=1e-25)
     big = 10**9
-    assert abs(fisher_two_sided(big, big, big, big) - 1) < 1e-6
-    assert 0 < fisher_two_sided(big, big, big + 10**5, big) < 1
+    equal, near, far = p_values(spark, fisher_p, [(big, big, big, big), (big, big, big + 10**5, big), (big, 0, 0, big)])
+    assert abs(equal - 1) < 1e-6 and 0 < near < 1 and far == 0.0
 
 
 def test_bootstrap_weights_have_no_cap():
