@@ -56,6 +56,23 @@ def t_test_with_p(t):
     return stats.t_test(t.static, ["acctbal", "age"], "sex", ["male", "female"])
 
 
+def normal_tail(z: str) -> str:
+    """Two-sided normal tail in SQL, as one less the alternating series of the middle; beyond
+    6 it has no digit among the six that are compared."""
+    term = f"(CASE WHEN j % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * j + 1) * ln({z}) - j * ln(2) - lgamma(j + 1) - ln(2 * j + 1))"
+    series = f"list_sum(list_transform(range(0, 100), lambda j: {term}))"
+    return f"CASE WHEN {z} > 6 THEN 0 WHEN {z} > 0 THEN least(1, 1 - 2 / sqrt(2 * pi()) * {series}) ELSE 1 END"
+
+
+def chi2_tail(x: str, df: str) -> str:
+    """Upper chi-square tail in SQL: a finite sum for whole degrees of freedom, beside the
+    normal tail where they are odd."""
+    half = f"({x} / CAST(2 AS DOUBLE))"
+    even = f"list_sum(list_transform(range(0, {df} // 2), lambda i: exp(i * ln({half}) - {half} - lgamma(i + 1))))"
+    odd = f"coalesce(list_sum(list_transform(range(1, ({df} + 1) // 2), lambda i: exp((i - 0.5) * ln({half}) - {half} - lgamma(i + 0.5)))), 0)"
+    return f"CASE WHEN {x} <= 0 THEN 1 WHEN {df} % 2 = 0 THEN {even} ELSE {normal_tail(f'sqrt({x})')} + {odd} END"
+
+
 U_SQL = LONG + """
 , r AS (SELECT variable, g, v, (rank() OVER o + rank() OVER o + count(*) OVER (PARTITION BY variable, v) - 1) / CAST(2 AS DOUBLE) AS rk,
                count(*) OVER (PARTITION BY variable, v) AS t FROM long WHERE v IS NOT NULL WINDOW o AS (PARTITION BY variable ORDER BY v)),
@@ -71,6 +88,13 @@ def mann_whitney(t):
     return stats.mann_whitney(t.static, ["acctbal", "age"], "sex", ["male", "female"]).drop("p_value")
 
 
+@query("mann_whitney_with_p", "T3 W9", U_SQL + f"""
+, z AS (SELECT variable, u, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sigma AS z FROM u)
+SELECT variable, 'mann_whitney' AS test, u AS statistic, z, {normal_tail("z")} AS p_value FROM z""", STATIC, "statistic z p_value")
+def mann_whitney_with_p(t):
+    return stats.mann_whitney(t.static, ["acctbal", "age"], "sex", ["male", "female"])
+
+
 @query("mann_whitney_large", "T3", """
 , long AS (SELECT 'l_extendedprice' AS variable, CASE l_returnflag WHEN 'A' THEN 1 ELSE 2 END AS g, l_extendedprice AS v FROM lineitem WHERE l_returnflag IN ('A', 'R')
            UNION ALL SELECT 'l_quantity', CASE l_returnflag WHEN 'A' THEN 1 ELSE 2 END, l_quantity FROM lineitem WHERE l_returnflag IN ('A', 'R'))
@@ -107,6 +131,15 @@ def chi_square(t):
     return stats.chi_square(with_old(t), ["segment", "crs", "old"], "sex").drop("p_value")
 
 
+@query("chi_square_with_p", "T4", CELLS + f"""
+, d AS (SELECT variable, (count(DISTINCT value) - 1) * (count(DISTINCT g) - 1) AS df FROM cells GROUP BY 1),
+x AS (SELECT c.variable, d.df, sum(pow(o - e, 2) / e) AS statistic FROM cells c JOIN d ON d.variable = c.variable GROUP BY 1, 2)
+SELECT variable, 'chi_square' AS test, CAST(df AS DOUBLE) AS df, statistic, {chi2_tail("statistic", "df")} AS p_value FROM x""",
+       STATIC, "statistic df p_value")
+def chi_square_with_p(t):
+    return stats.chi_square(with_old(t), ["segment", "crs", "old"], "sex", yates=False)
+
+
 @query("cochran_rule", "T6", CELLS + """
 SELECT variable, min(e) AS min_expected, count(*) FILTER (WHERE e >= 5) / CAST(count(*) AS DOUBLE) AS share_ge_5,
        min(e) >= 1 AND count(*) FILTER (WHERE e >= 5) / CAST(count(*) AS DOUBLE) >= 0.8 AS ok FROM cells GROUP BY 1""",
@@ -153,7 +186,55 @@ def baseline_table(t):
     return stats.baseline_table(t.static, "sex", ["male", "female"], ["age"], ["segment", "crs"]).drop("p_value")
 
 
-@query("baseline_table_by_split", "T7")
+def one_digit(x: str) -> str:
+    """A number with one digit after the point, halves upwards."""
+    return f"CAST(CAST(round(CAST({x} AS DECIMAL(28, 10)), 1) AS DECIMAL(28, 1)) AS VARCHAR)"
+
+
+def _median_text(part: str) -> str:
+    q1, med, q3 = (one_digit(f"quantile_cont(v, {x}) {part}") for x in (0.25, 0.5, 0.75))
+    return f"{med} || ' (' || {q1} || '-' || {q3} || ')'"
+
+
+def _mean_text(part: str) -> str:
+    return one_digit(f"avg(v) {part}") + " || ' ± ' || " + one_digit(f"stddev_samp(v) {part}")
+
+
+def _share_text(count: str) -> str:
+    return f"{count} || ' (' || " + one_digit(f"{count} * CAST(100 AS DOUBLE) / sum({count}) OVER (PARTITION BY variable)") + " || '%)'"
+
+
+_PARTS = {"overall": "", "group_1": "FILTER (WHERE g = 1)", "group_2": "FILTER (WHERE g = 2)"}
+SPLIT_TABLE_SQL = """
+, halves AS (SELECT *, CASE WHEN row_number() OVER w <= round(count(*) OVER (PARTITION BY region) * CAST(0.3 AS DOUBLE)) THEN 2 ELSE 1 END AS half
+             FROM static WINDOW w AS (PARTITION BY region ORDER BY md5(concat('42-', entity_id)))),
+long AS (SELECT 'acctbal' AS variable, half AS g, CAST(acctbal AS DOUBLE) AS v FROM halves
+         UNION ALL SELECT 'age', half, CAST(age AS DOUBLE) FROM halves)""" + MOMENTS + """
+, j AS (SELECT variable, exp(-(n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4)) / 2) > 0.05 AS is_normal FROM k)""" \
+    + T_P_SQL[T_P_SQL.index(", g AS"):T_P_SQL.index("SELECT a.variable")].rstrip() + """
+, tp AS (""" + T_P_SQL[T_P_SQL.index("SELECT a.variable"):] + ")" + U_SQL[U_SQL.index(", r AS"):] + f"""
+, z AS (SELECT variable, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sigma AS z FROM u),
+up AS (SELECT variable, {normal_tail("z")} AS p_value FROM z),
+texts AS (SELECT variable, {", ".join(f"{_median_text(f)} AS med_{n}, {_mean_text(f)} AS mean_{n}" for n, f in _PARTS.items())}
+          FROM long WHERE v IS NOT NULL GROUP BY 1),
+num AS (SELECT variable, CAST(NULL AS VARCHAR) AS level, 'continuous' AS type,
+               {", ".join(f"CASE WHEN is_normal THEN mean_{n} ELSE med_{n} END AS {n}" for n in _PARTS)},
+               CASE WHEN is_normal THEN 't' ELSE 'mann_whitney' END AS test, CASE WHEN is_normal THEN tp.p_value ELSE up.p_value END AS p_value
+        FROM texts JOIN j USING (variable) JOIN tp USING (variable) JOIN up USING (variable)),
+kinds AS (SELECT 'segment' AS variable, segment AS value, half AS g FROM halves
+          UNION ALL SELECT 'crs', CAST(crs AS VARCHAR), half FROM halves WHERE crs IS NOT NULL UNION ALL SELECT 'sex', sex, half FROM halves),
+c AS (SELECT variable, value, count(*) AS n0, count(*) FILTER (WHERE g = 1) AS n1, count(*) FILTER (WHERE g = 2) AS n2 FROM kinds GROUP BY 1, 2),
+margins AS (SELECT variable, sum(n0) AS s0, sum(n1) AS s1, sum(n2) AS s2, count(*) - 1 AS df FROM c GROUP BY 1),
+each AS (SELECT variable, df, abs(n1 - n0 * s1 / CAST(s0 AS DOUBLE)) AS d1, n0 * s1 / CAST(s0 AS DOUBLE) AS e1, abs(n2 - n0 * s2 / CAST(s0 AS DOUBLE)) AS d2,
+                n0 * s2 / CAST(s0 AS DOUBLE) AS e2 FROM c JOIN margins USING (variable)),
+chi AS (SELECT variable, df, sum(pow(d1 - CASE WHEN df = 1 THEN least(0.5, d1) ELSE 0 END, 2) / e1
+                               + pow(d2 - CASE WHEN df = 1 THEN least(0.5, d2) ELSE 0 END, 2) / e2) AS x FROM each GROUP BY 1, 2),
+cat AS (SELECT variable, value AS level, 'categorical' AS type, {", ".join(f"{_share_text(f'n{i}')} AS {n}" for i, n in enumerate(_PARTS))} FROM c)
+SELECT * FROM num UNION ALL
+SELECT cat.*, 'chi_square' AS test, {chi2_tail("x", "df")} AS p_value FROM cat JOIN chi USING (variable)"""
+
+
+@query("baseline_table_by_split", "T7", SPLIT_TABLE_SQL, STATIC, "p_value")
 def baseline_table_by_split(t):
     split = splits.stratified_split(t.static, "entity_id", "region", 0.3)
     return stats.baseline_table(split, "split", ["train", "test"], ["age", "acctbal"], ["segment", "crs", "sex"])
