@@ -154,19 +154,13 @@ def dense_numbers(df: DataFrame, key: str, name: str = "number", by: Sequence[st
     return run.select(*by, key, F.col("cum_n").alias(name))
 
 
-def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]
-) -> DataFrame:
-    """Linearly interpolated quantiles per group, exact for groups of any size.
-
-    ``percentile`` keeps every distinct value of a group in one task; this walks
-    the running counts instead.
-    """
-    run = running_sums(df, by, value, {"n": F.lit(1)})
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+def quantile_picks(value: str, n: str, probs: dict[str, float]) -> tuple[list[Column], list[Column]]:
+    """Over rows of ``running_sums`` with a count ``n``: the aggregates that find the values
+    beside each quantile, and the interpolated quantiles of what they find."""
+    first, last = F.col(f"cum_{n}") - F.col(n), F.col(f"cum_{n}") - 1
     picks, outs = [], []
     for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("total_n") - 1)
+        at = F.lit(float(p)) * (F.col(f"total_{n}") - 1)
         lo, hi = F.floor(at), F.ceil(at)
         picks += [
             F.max(F.when((first <= lo) & (lo <= last), F.col(value))).alias(f"_lo_{name}"),
@@ -175,6 +169,19 @@ def exact_quantiles(
         ]
         lo_v, hi_v, w = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_w_{name}")
         outs.append((lo_v + (hi_v - lo_v) * w).alias(name))
+    return picks, outs
+
+
+def exact_quantiles(
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]
+) -> DataFrame:
+    """Linearly interpolated quantiles per group, exact for groups of any size.
+
+    ``percentile`` keeps every distinct value of a group in one task; this walks
+    the running counts instead.
+    """
+    run = running_sums(df, by, value, {"n": F.lit(1)})
+    picks, outs = quantile_picks(value, "n", probs)
     grouped = run.groupBy(*by).agg(*picks) if by else run.agg(*picks)
     return grouped.select(*by, *outs)
 

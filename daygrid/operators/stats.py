@@ -17,17 +17,15 @@ from daygrid.functions.pvalues import chi2_p, fisher_p, normal_p, t_p
 from daygrid.functions.recode import count_pct_text, mean_sd_text, median_iqr_text
 from daygrid.operators.columns import q
 from daygrid.operators.profile import crosstab, melted
-from daygrid.operators.running import attach, exact_quantiles, running_sums
+from daygrid.operators.running import attach, quantile_picks, running_sums
 from daygrid.session import bounded, durable
 
 
-def normality(df: DataFrame, variables: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """Jarque-Bera per variable: one pass of moments, any number of rows."""
-    long = melted(df, variables, "double").where(F.col("value").isNotNull())
-    moments = long.groupBy("variable").agg(
-        F.count("value").alias("n"), F.skewness("value").alias("skewness"),
-        F.kurtosis("value").alias("kurtosis"),
-    )
+def _shape() -> list[Column]:
+    return [F.count("value").alias("n"), F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis")]
+
+
+def _judged(moments: DataFrame, alpha: float) -> DataFrame:
     jb = F.col("n") / 6.0 * (F.pow("skewness", F.lit(2.0)) + F.pow("kurtosis", F.lit(2.0)) / 4)
     # the upper tail of chi-square with two degrees of freedom is exp(-x/2)
     return moments.withColumn("statistic", jb).withColumn(
@@ -35,6 +33,12 @@ def normality(df: DataFrame, variables: Sequence[str], alpha: float = 0.05) -> D
     ).withColumn("is_normal", F.col("p_value") > alpha)
 
 
+def normality(df: DataFrame, variables: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """Jarque-Bera per variable: one pass of moments, any number of rows."""
+    long = melted(df, variables, "double").where(F.col("value").isNotNull())
+    return _judged(long.groupBy("variable").agg(*_shape()), alpha)
+
+
 def _two_groups(df: DataFrame, group: str, levels: Sequence) -> DataFrame:
     a, b = levels
     return df.withColumn("_g", F.when(F.col(q(group)) == a, 1).when(F.col(q(group)) == b, 2)).where(
@@ -42,47 +46,64 @@ def _two_groups(df: DataFrame, group: str, levels: Sequence) -> DataFrame:
     )
 
 
-def t_test(df: DataFrame, variables: Sequence[str], group: str, levels: Sequence) -> DataFrame:
-    """Two-sample t test with pooled variance."""
-    long = melted(_two_groups(df, group, levels), variables, "double", keep=["_g"])
-    first, second = F.col("_g") == 1, F.col("_g") == 2
+def _group_moments() -> list[Column]:
     v = F.col("value")
-    m = long.where(v.isNotNull()).groupBy("variable").agg(
-        F.count_if(first).alias("n1"), F.count_if(second).alias("n2"),
-        F.avg(F.when(first, v)).alias("m1"), F.avg(F.when(second, v)).alias("m2"),
-        F.var_samp(F.when(first, v)).alias("v1"), F.var_samp(F.when(second, v)).alias("v2"),
-    )
+    one, two = (F.when(F.col("_g") == g, v) for g in (1, 2))
+    return [F.count(one).alias("n1"), F.count(two).alias("n2"), F.avg(one).alias("m1"), F.avg(two).alias("m2"),
+            F.var_samp(one).alias("v1"), F.var_samp(two).alias("v2")]
+
+
+def _t_of_moments() -> tuple[Column, Column]:
+    """t and its degrees of freedom over the columns of ``_group_moments``."""
     dof = (F.col("n1") + F.col("n2") - 2).cast("double")
     pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / dof
     t = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2"))))
+    return t, dof
+
+
+def t_test(df: DataFrame, variables: Sequence[str], group: str, levels: Sequence) -> DataFrame:
+    """Two-sample t test with pooled variance."""
+    long = melted(_two_groups(df, group, levels), variables, "double", keep=["_g"])
+    m = long.where(F.col("value").isNotNull()).groupBy("variable").agg(*_group_moments())
+    t, dof = _t_of_moments()
     out = m.select("variable", F.lit("t").alias("test"), t.alias("statistic"), dof.alias("df"))
     return out.withColumn("p_value", t_p("statistic", "df"))
 
 
-def mann_whitney(df: DataFrame, variables: Sequence[str], group: str, levels: Sequence) -> DataFrame:
-    """Two-sided Mann-Whitney U with tie and continuity correction; z and p are null where
-    they are undefined (one row, or all values equal)."""
-    long = melted(_two_groups(df, group, levels), variables, "double", keep=["_g"])
-    run = running_sums(
-        long, ["variable"], "value",
-        {"n": F.lit(1).cast("double"), "a": (F.col("_g") == 1).cast("double")},
-    )
+def _rank_moments() -> list[Column]:
+    """Rank sum, sizes and ties over running sums of ``n`` (all rows) and ``a`` (first group)."""
     rank = F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2
-    sums = run.groupBy("variable").agg(
-        F.sum(F.col("a") * rank).alias("r1"), F.max("total_a").alias("n1"),
-        (F.max("total_n") - F.max("total_a")).alias("n2"),
-        F.sum(F.pow("n", F.lit(3.0)) - F.col("n")).alias("ties"),
-    )
+    return [F.sum(F.col("a") * rank).alias("r1"), F.max("total_a").alias("n1"),
+            (F.max("total_n") - F.max("total_a")).alias("n2"), F.sum(F.pow("n", F.lit(3.0)) - F.col("n")).alias("ties")]
+
+
+def _u_of_moments() -> tuple[Column, Column]:
+    """U and z over the columns of ``_rank_moments``."""
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
     sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
-    z = F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, sigma)
-    out = sums.select(
+    return u, F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, sigma)
+
+
+def _u_p(z: str) -> Column:
+    return F.when(F.col(z).isNotNull(), F.when(F.col(z) > 0, normal_p(z)).otherwise(1.0))
+
+
+def _counted(g: int) -> Column:
+    return (F.col("_g") == g).cast("double")
+
+
+def mann_whitney(df: DataFrame, variables: Sequence[str], group: str, levels: Sequence) -> DataFrame:
+    """Two-sided Mann-Whitney U with tie and continuity correction; z and p are null where
+    they are undefined (one row, or all values equal)."""
+    long = melted(_two_groups(df, group, levels), variables, "double", keep=["_g"])
+    run = running_sums(long, ["variable"], "value", {"n": F.lit(1).cast("double"), "a": _counted(1)})
+    u, z = _u_of_moments()
+    out = run.groupBy("variable").agg(*_rank_moments()).select(
         "variable", F.lit("mann_whitney").alias("test"), u.alias("statistic"), z.alias("z")
     )
-    upper = F.least(F.lit(1.0), F.when(F.col("z") > 0, normal_p("z")).otherwise(1.0))
-    return out.withColumn("p_value", F.when(F.col("z").isNotNull(), upper))
+    return out.withColumn("p_value", _u_p("z"))
 
 
 def chi_square(
@@ -158,33 +179,38 @@ def baseline_table(
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _continuous_rows(df, group, levels, continuous) -> DataFrame:
+def _continuous_rows(df, group, levels, continuous, alpha: float = 0.05) -> DataFrame:
+    """One pass of moments for every variable, and one order of the values of those alone
+    that are not normal: it gives their ranks and the quartiles of all parts."""
     two = _two_groups(df, group, levels)
     long = melted(two, continuous, "double", keep=["_g"]).where(F.col("value").isNotNull())
-    stat = [F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")]
-    # overall (0) and per group in one grouping-sets aggregate
-    moments = long.groupingSets([["variable", "_g"], ["variable"]], "variable", "_g").agg(*stat)
-    moments = moments.withColumn("part", F.coalesce("_g", F.lit(0))).drop("_g")
-    parts = long.select("variable", "value", F.explode(F.array(F.lit(0), F.col("_g"))).alias("part"))
-    keyed = parts.withColumn("_k", F.concat_ws("|", "variable", "part"))
-    quart = exact_quantiles(keyed, ["_k"], "value", {"q1": 0.25, "med": 0.5, "q3": 0.75})
-    flags = normality(two, continuous).select("variable", "is_normal")
-    text = F.when(F.col("is_normal"), mean_sd_text(F.col("mean"), F.col("sd"))).otherwise(
-        median_iqr_text(F.col("med"), F.col("q1"), F.col("q3"))
-    )
-    rows = (
-        moments.withColumn("_k", F.concat_ws("|", "variable", "part")).join(quart, "_k")
-        .join(flags, "variable").withColumn("text", text)
-    )
-    wide = rows.groupBy("variable", "is_normal").pivot("part", [0, 1, 2]).agg(F.first("text"))
-    tests = t_test(df, continuous, group, levels).select("variable", F.col("p_value").alias("_pt")).join(
-        mann_whitney(df, continuous, group, levels).select("variable", F.col("p_value").alias("_pu")), "variable"
-    )
-    return wide.join(tests, "variable").select(
+    moments = long.groupBy("variable").agg(
+        *_shape(), *_group_moments(), F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"))
+    t, dof = _t_of_moments()
+    judged = bounded(_judged(moments, alpha).withColumns({"_t": t, "_dof": dof}).drop("statistic", "p_value"))
+    normal = F.coalesce("is_normal", F.lit(False))
+    ranked = running_sums(
+        long.join(judged.where(~normal).select("variable"), "variable", "left_semi"), ["variable"], "value",
+        {"n": F.lit(1).cast("double"), "a": _counted(1), "b": _counted(2)})
+    picks, quartiles = [], []
+    for part in ("n", "a", "b"):
+        found, out = quantile_picks("value", part, {f"{part}_{name}": p for name, p in (("q1", 0.25), ("med", 0.5), ("q3", 0.75))})
+        picks += found
+        quartiles += out
+    u, z = _u_of_moments()
+    ranks = ranked.groupBy("variable").agg(*_rank_moments(), *picks).select("variable", z.alias("_z"), *quartiles)
+    rows = judged.join(ranks, "variable", "left")
+
+    def text(size: str, mean: str, sd: Column, part: str) -> Column:
+        middle = median_iqr_text(*[F.col(f"{part}_{name}") for name in ("med", "q1", "q3")])
+        return F.when(F.col(size) > 0, F.when(normal, mean_sd_text(F.col(mean), sd)).otherwise(middle))
+
+    return rows.select(
         "variable", F.lit(None).cast("string").alias("level"), F.lit("continuous").alias("type"),
-        F.col("0").alias("overall"), F.col("1").alias("group_1"), F.col("2").alias("group_2"),
-        F.when(F.col("is_normal"), "t").otherwise("mann_whitney").alias("test"),
-        F.when(F.col("is_normal"), F.col("_pt")).otherwise(F.col("_pu")).alias("p_value"),
+        text("n", "m", F.col("sd"), "n").alias("overall"), text("n1", "m1", F.sqrt("v1"), "a").alias("group_1"),
+        text("n2", "m2", F.sqrt("v2"), "b").alias("group_2"),
+        F.when(normal, "t").otherwise("mann_whitney").alias("test"),
+        F.when(normal, t_p("_t", "_dof")).otherwise(_u_p("_z")).alias("p_value"),
     )
 
 
