@@ -2,8 +2,8 @@
 
 Every distinct shingle set has a sketch of minwise tokens. In each of ``TREES`` independent
 trees a document walks from node to node by tokens that the node selects; in nodes with more
-than ``LEAF`` documents it goes on by tokens that are rare there and is compared with the
-most central members, smaller nodes are compared exhaustively on their sketches. A pair at
+than ``LEAF`` documents it goes on by tokens that are rare there, counted over all members,
+and is compared with the most central members, smaller nodes are compared exhaustively on their sketches. A pair at
 the threshold survives one tree with a probability of about three quarters, hence all trees
 fail it once in a million. What the trees link loosely (a spanning forest per node) is
 grouped, and links are then confirmed on full sets: first against the most central member of
@@ -27,9 +27,9 @@ from daygrid.operators.skew import lookup
 from daygrid.session import durable
 
 LANES, TREES, BRANCHES, DEPTH, LEAF = 64, 10, 2, 8, 500
-#: Members that show what is common in a large node, the share that makes a token common
-#: (one in COMMON), and the members that all others are compared with.
-SAMPLE, COMMON, HUBS = 256, 16, 4
+#: The share of all members of a large node that makes a token common there (one in COMMON),
+#: the members that all others are compared with, and members that are counted at a time.
+COMMON, HUBS, CHUNK = 16, 4, 1 << 14
 #: Lanes of a deep path, lanes that must agree for a loose link to a deep path's first
 #: member, and for a loose link inside a leaf (at 0.8 the mean is 51, the deviation 3.2).
 DEEP, LOOSE_DEEP, LOOSE_LEAF = 4, 32, 36
@@ -100,40 +100,112 @@ def _roots(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sketch").mapInArrow(walk, "rep long, deep array<long>, nodes array<long>")
 
 
-def _profiles(large: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(node, common, hubs, hub_reps, hub_labels) of every large node, from SAMPLE members: the
-    tokens of each lane that a COMMON-th of them has, and the HUBS members with the most of these."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """(key, rows) for every run of a sorted stream with equal values in its first ``keys`` columns."""
+    last, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.stack([c.to_numpy() for c in batch.columns[:keys]], axis=1)
+        edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1), len(names)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            key = tuple(names[lo].tolist())
+            if key != last and held:
+                yield last, held
+                held = []
+            last = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield last, held
+
+
+def _common(rows: DataFrame) -> DataFrame:
+    """(node, size, common) of the nodes in (node, n, rep, label, sketch): the tokens of each
+    lane that a COMMON-th of all ``n`` members has, or the most frequent one.
+
+    Members are counted in chunks, and the counts of a node's chunks added up lane by lane.
+    """
 
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            members = batch.column(1)
-            off = members.offsets.to_numpy()
-            flat = members.values
-            reps, labels, lanes = flat.field(0).to_numpy(), flat.field(1).to_numpy(), _lanes(flat.field(2))
-            common, hubs, hub_reps, hub_labels = [], [], [], []
-            for lo, hi in zip(off[:-1], off[1:], strict=True):
-                order = np.argsort(reps[lo:hi])
-                own, rep, tag = lanes[lo:hi][order], reps[lo:hi][order], labels[lo:hi][order]
-                # COMMON entries a lane; a lane with fewer common tokens repeats one of them
-                table = np.zeros((LANES, COMMON), dtype=np.uint16)
-                usual = np.zeros(own.shape, dtype=bool)
-                for lane in range(LANES):
-                    token, at, n = np.unique(own[:, lane], return_inverse=True, return_counts=True)
-                    often = token[COMMON * n >= len(own)]
-                    usual[:, lane] = (COMMON * n >= len(own))[at]
-                    table[lane] = np.resize(often, COMMON) if len(often) else np.resize(token[n.argmax()], COMMON)
-                best = np.argsort(-usual.sum(axis=1), kind="stable")[:HUBS]
-                common.append(table.tobytes())
-                hubs.append(np.resize(own[best], (HUBS, LANES)).tobytes())
-                hub_reps.append(np.resize(rep[best], HUBS).tolist())
-                hub_labels.append(np.resize(tag[best], HUBS).tolist())
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(common, pa.binary()), pa.array(hubs, pa.binary()), pa.array(hub_reps, longs),
-                                              pa.array(hub_labels, longs)], names=["node", "common", "hubs", "hub_reps", "hub_labels"])
-
-    drawn = large.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("rep", "node"), "rep"))).where(F.col("place") <= SAMPLE)
-    rows = drawn.select("node", "rep", "label").join(sketches, "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "label", "sketch")).alias("members"))
-    return rows.mapInArrow(profile, "node long, common binary, hubs binary, hub_reps array<long>, hub_labels array<long>")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (node, _, n), held in _groups(batches, 3):
+            lanes = np.concatenate([_lanes(b.column(3)) for b in held])
+            cell, hits = np.unique(lanes + (np.arange(LANES, dtype=np.int32) << 16), return_counts=True)
+            if len(lanes) == n:
+                # the whole node: what is not common here is not common
+                keep = COMMON * hits >= n
+                keep[np.lexsort((-hits, cell >> 16))[np.searchsorted(cell >> 16, np.arange(LANES))]] = True
+                cell, hits = cell[keep], hits[keep]
+            edges = np.searchsorted(cell >> 16, np.arange(LANES + 1))
+            parts = [slice(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False)]
+            tokens, hits = cell.astype(np.uint16), hits.astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([node] * LANES, pa.int64()), pa.array(range(LANES), pa.int32()), pa.array([n] * LANES, pa.int64()),
+                 pa.array([tokens[p].tobytes() for p in parts], pa.binary()), pa.array([hits[p].tobytes() for p in parts], pa.binary())],
+                names=["node", "lane", "size", "tokens", "hits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, dtype=np.int64)
+        for (node, lane, n), held in _groups(batches, 3):
+            seen = [np.frombuffer(x, np.uint16) for b in held for x in b.column(3).to_pylist()]
+            for token, hits in zip(seen, (x for b in held for x in b.column(4).to_pylist()), strict=True):
+                total[token] += np.frombuffer(hits, np.int32)
+            token = np.unique(np.concatenate(seen))
+            hits = total[token]
+            total[token] = 0
+            often = token[COMMON * hits >= n]
+            # COMMON entries a lane; a lane with fewer common tokens repeats one of them
+            table = np.resize(often if len(often) else token[hits.argmax()], COMMON)
+            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([lane], pa.int32()), pa.array([n], pa.int64()),
+                                              pa.array([table.tobytes()], pa.binary())], names=["node", "lane", "size", "tokens"])
+
+    part = F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("n") / CHUNK))
+    dealt = rows.select("node", part.alias("part"), "n", "sketch").repartition("node", "part").sortWithinPartitions("node", "part")
+    counts = dealt.mapInArrow(count, "node long, lane int, size long, tokens binary, hits binary")
+    tables = counts.repartition("node", "lane").sortWithinPartitions("node", "lane").mapInArrow(merge, "node long, lane int, size long, tokens binary")
+    lanes = tables.groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("lane", "tokens"))).alias("lanes"))
+    return lanes.select("node", "size", _joined("lanes", "tokens").alias("common"))
+
+
+def _joined(rows: str, field: str):
+    return F.aggregate(rows, F.lit(b""), lambda out, x: F.concat(out, x[field]))
+
+
+def _hub_members(met: DataFrame) -> DataFrame:
+    """(node, hubs, hub_reps, hub_labels) from (node, rep, label, sketch, common): of all members
+    of a node the HUBS with the most tokens that are common there."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), 1000):
+                batch = whole.slice(start, 1000)
+                node, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                common = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint16).reshape(-1, LANES, COMMON)
+                usual = (common == _lanes(batch.column(3))[:, :, None]).any(axis=2).sum(axis=1)
+                order = np.lexsort((rep, -usual, node))
+                # the best of each node among these rows
+                first = np.searchsorted(node[order], node[order])
+                best = order[np.arange(len(order)) - first < HUBS]
+                took = batch.take(pa.array(best))
+                yield pa.RecordBatch.from_arrays([*took.columns[:4], pa.array(usual[best], pa.int64())], names=["node", "rep", "label", "sketch", "usual"])
+
+    judged = met.select("node", "rep", "label", "sketch", "common").mapInArrow(judge, "node long, rep long, label long, sketch binary, usual long")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("usual"), "rep"))
+    best = judged.withColumn("place", place).where(F.col("place") <= HUBS)
+    members = best.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "rep", "label", "sketch"))).alias("m"))
+    return members.select("node", _joined("m", "sketch").alias("hubs"), F.col("m.rep").alias("hub_reps"), F.col("m.label").alias("hub_labels"))
+
+
+def _profiles(rows: DataFrame, total: int) -> DataFrame:
+    """(node, size, common, hubs, hub_reps, hub_labels) of every large node, from all its
+    members (node, n, rep, label, sketch), which are ``total`` rows and stored."""
+    common = durable(_common(rows), "common")
+    hubs = _hub_members(lookup(rows, common, ["node"], _hot(total)))
+    return durable(common.join(hubs, "node"), "profiles")
+
+
+def _hot(total: int):
+    """A node with a 4096th of the rows is hot; there are at most so many."""
+    return F.col("size") >= total / 4096
 
 
 def _branched(large: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -172,12 +244,9 @@ def _branched(large: DataFrame, sketches: DataFrame) -> DataFrame:
                      pa.array(np.concatenate([label[row], label[near]])), pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(ids[near, best[near]])])],
                     names=["node", "rep", "label", "hub"])
 
-    total = large.agg(F.count("*")).first()[0]
-    sizes = large.groupBy("node").agg(F.count("*").alias("size"))
-    profiles = durable(_profiles(large, sketches).join(sizes, "node"), "profiles")
-    rows = durable(large.select("node", "rep", "label").join(sketches, "rep"), "large")
-    # a node with a 4096th of the rows is hot; there are at most so many
-    met = lookup(rows, profiles, ["node"], F.col("size") >= total / 4096)
+    rows = durable(large.select("node", "n", "rep", "label").join(sketches, "rep"), "large")
+    total = rows.count()
+    met = lookup(rows, _profiles(rows, total), ["node"], _hot(total))
     return met.select("node", "rep", "label", "sketch", "common", "hubs", "hub_reps", "hub_labels").mapInArrow(
         walk, "node long, rep long, label long, hub long")
 

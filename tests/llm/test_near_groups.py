@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from daygrid.llm import near_dedup
 
 WORDS = [f"w{i}" for i in range(20_000)]
@@ -55,3 +57,39 @@ def test_links_inside_a_loose_group_are_found(spark, monkeypatch):
     assert len(similar) > 100
     assert all(names.get(u, u) == names.get(v, v) for u, v in similar)
     assert len({names.get(k, k) for k in range(900)}) > 300  # not because all became one
+
+
+def test_large_nodes_are_profiled_by_all_members(spark, monkeypatch):
+    """What is common in a large node is counted exactly, over any number of chunks, and its
+    hubs are the most central of all members."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    size = {7: 3200, -8: 700}
+    rows, want, hubs = [], {}, {}
+    for node, n in size.items():
+        lanes = rng.integers(100, 60_000, (n, near_dedup.LANES)).astype(np.uint16)
+        lanes[: n // 16 + 1, 0] = 5  # just common, and just not
+        lanes[: n // 16 - 1, 1] = 6
+        lanes[n // 2 :, 1] = 8
+        lanes[rng.permutation(n)[: n // 10], 2:40] = 7
+        lanes[n - 4 :, :40] = 7
+        lanes[n - 4 :, 0] = 5
+        reps = rng.permutation(n) + (10_000 if node < 0 else 0)
+        rows += [(node, n, int(r), int(r), bytearray(x.tobytes())) for r, x in zip(reps, lanes, strict=True)]
+        common = []
+        for lane in range(near_dedup.LANES):
+            token, hits = np.unique(lanes[:, lane], return_counts=True)
+            often = token[near_dedup.COMMON * hits >= n]
+            common.append(set(often.tolist()) or {int(token[hits.argmax()])})
+        usual = [sum(int(t) in common[k] for k, t in enumerate(x)) for x in lanes]
+        want[node] = common
+        hubs[node] = [int(r) for _, r in sorted(zip([-u for u in usual], reps, strict=True))[: near_dedup.HUBS]]
+    table = near_dedup.durable(spark.createDataFrame(rows, "node long, n long, rep long, label long, sketch binary").repartition(5))
+    for chunk in (1 << 14, 300):
+        monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+        got = {r["node"]: r for r in near_dedup._profiles(table, len(rows)).collect()}
+        assert set(got) == set(size)
+        for node, r in got.items():
+            tokens = np.frombuffer(r["common"], np.uint16).reshape(near_dedup.LANES, near_dedup.COMMON)
+            assert [set(t.tolist()) for t in tokens] == want[node] and r["size"] == size[node]
+            assert 5 in want[node][0] and 6 not in want[node][1]
+            assert r["hub_reps"] == r["hub_labels"] == hubs[node] and len(r["hubs"]) == 2 * near_dedup.LANES * near_dedup.HUBS
