@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daygrid.functions.recode import number
+from daygrid.session import durable
 
 # Texts that stand for a missing cell.
 MISSING_TEXTS = ("NA", "", "nan", "NaN", "null", "N/A")
@@ -71,7 +72,8 @@ def read_series_lines(spark: SparkSession, path: str, entity: str = "stem") -> D
     their file. Within a file, (split start, row number in the split) is the line
     order, and the smallest of them is the header. Files are read in splits, so one
     very large file does not end up in one task. Entities come from the file stem
-    or from an ``entity_id=`` folder; other names are skipped.
+    or from an ``entity_id=`` folder; other names are skipped. The lines are stored on
+    the way, so that no file is opened twice.
     """
     lines = spark.read.text(path, recursiveFileLookup=True).where(F.trim("value") != "").select(
         "value",
@@ -82,7 +84,7 @@ def read_series_lines(spark: SparkSession, path: str, entity: str = "stem") -> D
     )
     pattern = r"/([^/]+)\.csv$" if entity == "stem" else r"/entity_id=([^/]+)/"
     name = F.regexp_extract("file", pattern, 1)
-    named = lines.withColumn("entity_id", name.try_cast("long")).where(F.col("entity_id").isNotNull())
+    named = durable(lines.withColumn("entity_id", name.try_cast("long")).where(F.col("entity_id").isNotNull()), "text-lines")
     # only the first split of a file can hold its header: one row per file remains
     # and its header is split once
     headers = named.where("line.start = 0").groupBy("file").agg(
@@ -110,7 +112,11 @@ def read_series_dir(spark: SparkSession, path: str, entity: str = "stem", only:
     Unparseable cells become null; lines with an unparseable day are dropped. ``only``
     names the files (``file``) to take; by default all are.
     """
-    lines = read_series_lines(spark, path, entity)
+    return series_values(read_series_lines(spark, path, entity), only)
+
+
+def series_values(lines: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(entity_id, day, channel, value) of lines already read, as ``read_series_dir`` gives them."""
     cells = series_cells(lines if only is None else lines.join(only.select("file"), "file", "left_semi"))
     day = number(F.col("raw_day")).try_cast("int")
     return cells.select("entity_id", day.alias("day"), "channel", number(F.col("raw")).alias("value")).where(

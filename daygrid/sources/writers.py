@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daygrid.operators.cohort import partition_series
+from daygrid.session import spread
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
@@ -40,9 +41,14 @@ def write_partitioned(
 
 
 def write_series_files(wide: DataFrame, path: str, entity: str = "entity_id") -> None:
-    """One ``entity_id=<id>`` folder of CSV per entity, days in order within a file."""
-    rows = wide.repartition(entity).sortWithinPartitions(entity, "day")
-    rows.write.mode("overwrite").partitionBy(entity).option("header", True).option("nullValue", "NA").csv(path)
+    """One ``entity_id=<id>`` folder of CSV per entity, days in order within a file.
+
+    Making a file costs more than its rows, so the entities are spread over all tasks, and
+    each task moves its own files into place; the driver would move them one by one.
+    """
+    rows = spread(wide, entity).sortWithinPartitions(entity, "day")
+    moved = rows.write.mode("overwrite").partitionBy(entity).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    moved.option("header", True).option("nullValue", "NA").csv(path)
 
 
 def write_split(split: DataFrame, metadata: DataFrame, path: str) -> None:
