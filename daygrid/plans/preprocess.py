@@ -83,18 +83,20 @@ def validate_and_process(
 
     Fails if no file is valid; the report says why.
     """
-    report = validate_series(durable(readers.read_series_lines(spark, path, entity), "lines"), expected, lo, hi)
+    lines = durable(readers.read_series_lines(spark, path, entity), "lines")
+    report = validate_series(lines, expected, lo, hi)
     if not Q.any_valid(report.verdicts):
         raise ValueError(f"no valid series file in {path}")
-    return report, process_series(spark, path, entity=entity, valid=report.verdicts.where("valid"), **options)
+    return report, process_series(spark, path, entity=entity, valid=report.verdicts.where("valid"), lines=lines, **options)
 
 
 def process_series(
     spark: SparkSession, path: str, drop: Mapping[str, Iterable[int]] | None = None,
-    renumber: Sequence[str] = (), entity: str = "stem", valid: DataFrame | None = None,
+    renumber: Sequence[str] = (), entity: str = "stem", valid: DataFrame | None = None, lines: DataFrame | None = None,
 ) -> DataFrame:
     """Series files as a long table without the dropped channels, numbering closed up.
-    ``valid``, if given, names the files (``file``) to take."""
-    series = readers.read_series_dir(spark, path, entity, valid)
+    ``valid``, if given, names the files (``file``) to take; ``lines`` are those of the
+    folder, where they are read already."""
+    series = readers.read_series_dir(spark, path, entity, valid) if lines is None else readers.series_values(lines, valid)
     kept = C.drop_channels(series, C.indexed_names(drop)) if drop else series
     return C.rename_channels(kept, C.renumber_channels(kept, renumber)) if renumber else kept
