@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from daygrid.functions.recode import clip
 from daygrid.operators.running import BUCKET, INF, default_buckets, numeric_bucket, numeric_cuts, running_sums
-from daygrid.session import durable
+from daygrid.session import durable, spread
 
 def _pos() -> Column:
     return (F.col("y") == 1).cast("long")
@@ -351,7 +351,8 @@ def _resampled_buckets(dealt: DataFrame, replicates: int, seed: int) -> DataFram
             yield out()
 
     rows = dealt.select(BUCKET, "score", F.col("y").cast("int"), F.col("_id").cast("string"), "_salt")
-    return rows.repartition(BUCKET, "_salt").sortWithinPartitions(BUCKET, "_salt", F.desc("score")).mapInArrow(
+    # a row is a few bytes and costs ``replicates`` draws
+    return spread(rows, BUCKET, "_salt").sortWithinPartitions(BUCKET, "_salt", F.desc("score")).mapInArrow(
         walk, f"{BUCKET} int, pos array<long>, neg array<long>, pairs array<double>")
 
 
