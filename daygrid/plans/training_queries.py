@@ -13,7 +13,7 @@ from daygrid.plans.bindings import FOLDS, SERIES, STATIC
 from daygrid.plans.feature_table import feature_table
 from daygrid.plans.model_table import model_table
 from daygrid.plans.registry import query
-from daygrid.session import durable
+from daygrid.session import durable, spread
 
 FEATURES = ["size", "blank_share", "line_count", "phase"]
 
@@ -29,8 +29,8 @@ def model_rows(t):
     )
     rows = t.folds.join(docs, "id").withColumnRenamed("y", "label")
     scaled = prep.scale(rows, prep.learn_scaling(rows.where("split = 'train'"), FEATURES))
-    # every fit reads the rows many times
-    return training.assemble(durable(scaled, "model_rows"), FEATURES)
+    # every fit reads the rows many times: in one file, whatever its length, one task would
+    return training.assemble(durable(spread(scaled, "id"), "model_rows"), FEATURES)
 
 
 MODELS = ("logistic_regression", "random_forest", "decision_tree", "gradient_boosting", "naive_bayes", "linear_svm",

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from daygrid.operators import evaluate
+from daygrid.plans import training_queries
+from daygrid.plans.bindings import Tables
 
 
 def test_resampled_rows_are_not_gathered_by_size(spark):
@@ -12,3 +14,8 @@ def test_resampled_rows_are_not_gathered_by_size(spark):
     plan = cells._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
     assert cells.count() == 16
+
+
+def test_model_rows_are_stored_in_many_files(spark):
+    """A fit has a task for each file at most, if the files are short."""
+    assert len(training_queries.model_rows(Tables(spark, "/root/testdata/sf0.001")).inputFiles()) > 4
